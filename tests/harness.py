@@ -82,7 +82,7 @@ def main(argv):
         try:
             msg = compare(spark, con, n, sf_dir)
         except Exception as e:  # report and go on with the next query
-            msg = f"{type(e).__name__}: {str(e)[:1500]}"
+            msg = f"{type(e).__name__}: {str(e)[:400]}"
         bad += bool(msg)
         print(f"{'FAIL' if msg else 'ok  '} {n} {time.time() - t:.2f}s {msg}", flush=True)
     print(f"{len(names) - bad} of {len(names)} equal")

@@ -2,6 +2,6 @@
 
 from tidemark.plans.catalog import CATALOG, query
 from tidemark.plans.tables import Tables
-from tidemark.plans import delivery, intake  # noqa: F401
+from tidemark.plans import delivery, intake, reconciliation  # noqa: F401
 
 __all__ = ["CATALOG", "Tables", "query"]
