@@ -118,6 +118,26 @@ SELECT event_id, event_id % 24 AS fault,
   END AS raw
 FROM events"""
 
+# Run reports with every kind of limit and status.
+VIEWS["v_runs"] = """
+SELECT c_custkey AS run_id, c_custkey % 120 AS case_id, 1 + c_custkey % 3 AS repetition,
+  CASE WHEN c_custkey % 8 = 1 THEN c_custkey % 7 ELSE 0 END AS generator_missed, CASE WHEN c_custkey % 9 = 2 THEN 3 ELSE 0 END AS late_schedules,
+  CASE WHEN c_custkey % 10 = 3 THEN 2 ELSE 0 END AS rejected, CASE WHEN c_custkey % 11 = 4 THEN 5 ELSE 0 END AS ambiguous,
+  CASE WHEN c_custkey % 12 = 5 THEN 1 ELSE 0 END AS attempted_after_window, CASE WHEN c_custkey % 13 = 6 THEN 1 ELSE 0 END AS accepted_after_window,
+  CASE WHEN c_custkey % 14 = 7 THEN 1 ELSE 0 END AS observer_late_polls, CASE WHEN c_custkey % 15 = 8 THEN 1 ELSE 0 END AS observer_outages,
+  CASE WHEN c_custkey % 16 = 9 THEN 1 ELSE 0 END AS observer_slow_queries,
+  CASE c_custkey % 17 WHEN 10 THEN 'failed' WHEN 11 THEN 'partial' WHEN 12 THEN 'not_run' ELSE 'complete' END AS observation_status,
+  c_custkey % 31 <> 13 AS correct, c_custkey % 37 = 14 AS aborted, c_custkey % 5 <> 2 AS control_ok,
+  c_custkey * 1000003 % 90000 AS p95_ns, c_custkey % 29 AS peak_open, c_custkey * 7919 % 1000000007 AS acquire_ns, c_custkey % 41 AS requests
+FROM customer"""
+
+# Fault traces: up to six per run.
+VIEWS["v_faults"] = """
+SELECT o_custkey AS run_id, o_custkey % 120 AS case_id, o_orderkey AS fault_id, o_orderkey % 100000 * 1000 AS planned_ns,
+  o_orderkey % 100000 * 1000 + CASE WHEN o_orderkey % 211 = 7 THEN 300000000 ELSE 1000 END AS elapsed_ns,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'stop_requested' ELSE 'restored' END AS action
+FROM orders WHERE o_orderkey % 3 = 1"""
+
 _NAME = re.compile(r"\bv_[a-z_]+\b")
 
 
@@ -142,6 +162,8 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]}\n)" for n in names)
     body = sql.lstrip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
