@@ -2,6 +2,6 @@
 
 from tidemark.plans.catalog import CATALOG, query
 from tidemark.plans.tables import Tables
-from tidemark.plans import delivery, evidence, intake, reconciliation, reports, timelines  # noqa: F401
+from tidemark.plans import delivery, evidence, intake, reconciliation, reports, streams, timelines  # noqa: F401
 
 __all__ = ["CATALOG", "Tables", "query"]

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.session import scratch_dir
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -169,6 +171,10 @@ def with_views(sql: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+_SAVED: dict[tuple[str, str, str], str] = {}
+_BUILT: dict[tuple[str, str, str], object] = {}
+
+
 class Tables:
     """Attribute access to one scale's tables: ``t.orders``, ``t.v_log``."""
 
@@ -189,6 +195,26 @@ class Tables:
                 raise AttributeError(name)
         return self._seen[name]
 
+    def saved(self, name: str, build) -> DataFrame:
+        """A derived table written once per application to the shared folder, then read back.
+
+        This cuts long plans and lets several queries share the work; a lost executor
+        costs nothing that is already written.
+        """
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _SAVED:
+            path = scratch_dir(self.spark, name)
+            build().write.mode("overwrite").parquet(path)
+            _SAVED[key] = path
+        return self.spark.read.parquet(_SAVED[key])
+
+    def once(self, name: str, build):
+        """Whatever ``build`` returns, built once per application and scale."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _BUILT:
+            _BUILT[key] = build()
+        return _BUILT[key]
+
     def sql(self, text: str) -> DataFrame:
         """Run SQL over the given tables and views by name."""
         body = with_views(text) if _NAME.search(text) else text

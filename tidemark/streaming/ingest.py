@@ -1,3 +1,110 @@
-from tidemark.operators.store import merge_first_wins
-def replay_gap(log, table):
-    return merge_first_wins(table, log)
+"""Streams over the log: ingest, bounded dedupe, pending observation and live counters."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tidemark.operators.store import EVENT_KEY, first_wins, merge_first_wins
+from tidemark.operators.tenancy import WRITER_POLICY
+from tidemark.operators.validation import validate_events
+from tidemark.sources.sink import committed_batches, write_batch
+
+
+def with_retries(work: Callable[[], dict], policy: dict = WRITER_POLICY, sleep=time.sleep, clock=time.monotonic) -> dict:
+    """Run a batch write again after a failure, waiting longer each time, within the policy's window.
+
+    When the window is used up the last error is raised: the batch fails, the
+    stream stops, and its progress stays where it was.
+    """
+    start, wait = clock(), policy["min_ms"] / 1000
+    while True:
+        try:
+            return work()
+        except Exception:
+            if clock() - start + wait > policy["window_ms"] / 1000:
+                raise
+            sleep(wait)
+            wait = min(wait * 2, policy["max_ms"] / 1000)
+
+
+def start_ingest(
+    spark: SparkSession,
+    source: DataFrame,
+    table: str,
+    quarantine: str,
+    checkpoint: str,
+    metrics: str | None = None,
+    dedupe_horizon: str | None = None,
+    after_write: Callable[[int], None] | None = None,
+    policy: dict = WRITER_POLICY,
+) -> StreamingQuery:
+    """Log stream to table and quarantine; progress is saved only after both are written.
+
+    With ``dedupe_horizon`` repeats are dropped by bounded state instead of against
+    the table: cheaper, but a repeat later than the horizon would be stored again.
+    ``after_write`` runs between the write and the saved progress.
+    """
+    if dedupe_horizon is not None:
+        return _start_bounded(source, table, quarantine, checkpoint, dedupe_horizon)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        result = with_retries(lambda: write_batch(batch, batch_id, table, quarantine), policy)
+        if metrics is not None:
+            row = spark.range(1).select(*[F.lit(v).cast("bigint").alias(k) for k, v in result.items() if k != "batch_id"])
+            row.write.mode("overwrite").parquet(f"{metrics}/batch_id={batch_id}")
+        if after_write is not None:
+            after_write(batch_id)
+
+    return source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _start_bounded(source: DataFrame, table: str, quarantine: str, checkpoint: str, horizon: str) -> StreamingQuery:
+    checked = validate_events(source, "value", kind="envelope")
+    good = checked.where("valid").withWatermark("received_at", horizon).dropDuplicatesWithinWatermark(list(EVENT_KEY))
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        cols = ("tenant_id", "event_id", "event_type", "occurred_at", "received_at", "payload")
+        batch.select(*cols).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+
+    return good.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def replay_gap(log: DataFrame, table: DataFrame, order_cols=("part", "off")) -> DataFrame:
+    """A restored table after a read of the whole log from its start; what it held stays."""
+    return merge_first_wins(table, log, order_cols=order_cols)
+
+
+def start_observer(spark: SparkSession, stored: DataFrame, pending: DataFrame, out: str, checkpoint: str, keys=("event_id",)) -> StreamingQuery:
+    """Record, batch by batch, which pending IDs have become visible; each is recorded once.
+
+    ``out/batch_id=N`` holds the IDs first seen in batch N. What is still pending is
+    ``pending`` without the recorded IDs.
+    """
+    keys = list(keys)
+
+    def observe(batch: DataFrame, batch_id: int) -> None:
+        seen = first_wins(batch, keys, ["received_at"]).select(*keys, "received_at").join(pending.select(*keys).distinct(), keys)
+        earlier = [f"{out}/batch_id={b}" for b in committed_batches(spark, out) if b != batch_id]
+        if earlier:
+            seen = seen.join(spark.read.parquet(*earlier).select(*keys), keys, "left_anti")
+        seen.withColumn("observed_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return stored.writeStream.foreachBatch(observe).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def start_counters(stream: DataFrame, by: list[str], out: str, checkpoint: str, aggregates: list) -> StreamingQuery:
+    """Running counters per bounded label: every batch writes all labels it knows to ``out/version=N``."""
+    counts = stream.groupBy(*by).agg(*aggregates)
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+
+    return (
+        counts.writeStream.outputMode("complete").foreachBatch(publish)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
