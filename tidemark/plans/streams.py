@@ -168,7 +168,7 @@ def _(t):
     keyed_state(t)
     path = folder_of(t, "bucket_requests", lambda: bucket_requests(t).withColumn("seq", F.col("request_id")), parts=2)
     stream = t.spark.readStream.schema("tenant_id string, at_ns bigint, request_id bigint").option("maxFilesPerTrigger", 2).parquet(path)
-    return drained(t, stateful.token_bucket_stream(stream, 1), "bucket_stream")
+    return drained(t, stateful.token_bucket_stream(stream, 1, idle_ttl_ms=None), "bucket_stream")
 
 
 @query("t5_alert_stream")

@@ -31,12 +31,13 @@ def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 
 
 class BucketProcessor(StatefulProcessor):
-    def __init__(self, rps: int):
+    def __init__(self, rps: int, idle_ttl_ms: int | None):
         self.rps = rps
+        self.idle_ttl_ms = idle_ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = StructType([StructField("tokens", DoubleType()), StructField("last", LongType())])
-        self.state = handle.getValueState("bucket", schema, ttlDurationMs=BUCKET_TTL_MS)
+        self.state = handle.getValueState("bucket", schema, ttlDurationMs=self.idle_ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _ordered(rows, ["at_ns", "request_id"])
@@ -87,10 +88,16 @@ class AlertProcessor(StatefulProcessor):
         pass
 
 
-def token_bucket_stream(requests: DataFrame, rps: int) -> DataFrame:
-    """Decisions over a live stream of (tenant_id, at_ns, request_id); idle state is dropped after five minutes."""
+def token_bucket_stream(requests: DataFrame, rps: int, idle_ttl_ms: int | None = BUCKET_TTL_MS) -> DataFrame:
+    """Decisions over a live stream of (tenant_id, at_ns, request_id); idle state is dropped after five minutes.
+
+    State expiry follows the wall clock, so such a stream runs until it is stopped.
+    For a bounded run pass ``idle_ttl_ms=None``: the decisions are the same, because
+    a bucket is full again after one second.
+    """
     return requests.groupBy("tenant_id").transformWithStateInPandas(
-        BucketProcessor(rps), outputStructType=BUCKET_OUT, outputMode="Append", timeMode="ProcessingTime"
+        BucketProcessor(rps, idle_ttl_ms), outputStructType=BUCKET_OUT, outputMode="Append",
+        timeMode="None" if idle_ttl_ms is None else "ProcessingTime",
     )
 
 
