@@ -68,7 +68,9 @@ def number_fits(text: str) -> bool:
 
 
 def depth_of(text: str) -> int:
-    """Deepest bracket nesting of a well-formed document."""
+    """Deepest bracket nesting of a well-formed document, or an upper bound that is within the limit."""
+    if text.count("{") + text.count("[") <= MAX_DEPTH:
+        return text.count("{") + text.count("[")
     depth = deepest = 0
     for m in _BRACKETS.finditer(text):
         c = m.group()
@@ -99,6 +101,10 @@ class _Numbers:
         return ""
 
 
+# One scanner per Python worker: a worker reads one document at a time.
+_NUMBERS = _Numbers()
+
+
 def fold(name: str) -> str:
     """Field names match without regard to case, including the two letters that fold to ASCII."""
     return name.lower().replace("ſ", "s").replace("K", "k")
@@ -147,7 +153,8 @@ def read_event(raw: bytes, fields: tuple[str, ...]) -> dict:
     if not escapes_ok(raw):
         return {"fault": "unicode"}
     text = raw.decode("utf-8")
-    numbers = _Numbers()
+    numbers = _NUMBERS
+    numbers.ok = True
     out: dict = {}
     payload_ok = True
     try:
@@ -183,7 +190,7 @@ def split_batch(raw: bytes):
     if not escapes_ok(raw):
         return "unicode", None
     text = raw.decode("utf-8")
-    scan = _Numbers().scan
+    scan = _NUMBERS.scan
     items: list[bytes] = []
     try:
         for name, _, start, end in members(text, scan):

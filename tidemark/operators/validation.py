@@ -52,14 +52,18 @@ def validate_events(df: DataFrame, raw_col: str, max_bytes: int | None = None, k
     d = d.withColumn("__utf8", F.is_valid_utf8(raw))
     d = d.withColumn("__doc", parse_event(kind)(F.when(~F.col("__large") & F.col("__utf8"), raw)))
     p = F.col("__doc")
-    broken = first_broken(p, F.col("__large"), F.col("__utf8"), kind)
+    # Typed fields become columns first: they are used several times and parsed once.
+    typed = event_columns(p, kind)
+    d = d.select("*", *[c.alias(f"__{n}") for n, c in typed.items()])
+    typed = {n: F.col(f"__{n}") for n in typed}
+    broken = first_broken(p, typed, F.col("__large"), F.col("__utf8"), kind)
     d = d.withColumn("error_class", F.when(raw.isNull(), F.lit("json")).otherwise(broken))
     ok = F.col("error_class").isNull()
     out = {
         "valid": ok,
         "error": message(F.col("error_class")),
         "too_large": F.coalesce(F.col("__large"), F.lit(False)),
-        **{n: F.when(ok, c) for n, c in event_columns(p, kind).items()},
+        **{n: F.when(ok, c) for n, c in typed.items()},
     }
     kept = [c for c in df.columns if c not in out and c != "error_class"]
     return d.select(*kept, "error_class", *[c.alias(n) for n, c in out.items()])
@@ -79,9 +83,8 @@ def event_columns(p: Column, kind: str) -> dict[str, Column]:
     return cols
 
 
-def first_broken(p: Column, large: Column, utf8: Column, kind: str) -> Column:
+def first_broken(p: Column, cols: dict[str, Column], large: Column, utf8: Column, kind: str) -> Column:
     """The class of the first rule a parsed document breaks, NULL when it is valid."""
-    cols = event_columns(p, kind)
     uuid, occurred = cols["event_id"], cols["occurred_at"]
     # A present but malformed UUID or time breaks decoding; a missing one breaks its own rule.
     decodes = (p["event_id"].isNull() | uuid.isNotNull()) & _time_decodes(p["occurred_at"], occurred)
@@ -129,11 +132,16 @@ def explode_batches(df: DataFrame, body_col: str, max_bytes: int = MAX_REQUEST_B
     d = d.withColumn("__shape", shape)
     d = d.withColumn("__parsed", parse_items(MAX_EVENT_BYTES)(F.when(F.col("__shape").isNull(), F.col("__items"))))
 
-    def judged(p: Column) -> Column:
-        broken = first_broken(p, p["large"], F.lit(True), "event")
-        return F.struct(broken.alias("error_class"), *[c.alias(n) for n, c in event_columns(p, "event").items()])
+    names = ("event_id", "event_type", "occurred_at", "payload")
 
-    d = d.withColumn("__events", F.transform("__parsed", judged))
+    def typed(p: Column) -> Column:
+        return F.struct(p.alias("doc"), *[c.alias(n) for n, c in event_columns(p, "event").items()])
+
+    def judged(e: Column) -> Column:
+        broken = first_broken(e["doc"], {n: e[n] for n in names}, e["doc"]["large"], F.lit(True), "event")
+        return F.struct(broken.alias("error_class"), *[e[n].alias(n) for n in names])
+
+    d = d.withColumn("__events", F.transform(F.transform("__parsed", typed), judged))
     faults = F.filter(F.col("__events.error_class"), lambda c: c.isNotNull())
     d = d.withColumn("request_error", F.coalesce(F.col("__shape"), F.get(faults, F.lit(0))))
     keep = [c for c in df.columns if c != body_col]

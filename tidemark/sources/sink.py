@@ -55,12 +55,15 @@ def write_batch(df: DataFrame, batch_id: int, table: str, quarantine: str, bucke
     another batch are left alone: the first content stays.
     """
     spark = df.sparkSession
-    checked = validate_events(df, "value", kind="envelope").persist(StorageLevel.MEMORY_AND_DISK)
+    checked = validate_events(df, "value", kind="envelope").withColumn("key_bucket", F.when(F.col("valid"), key_bucket(buckets)))
+    checked = checked.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        counts = checked.groupBy("key_bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # at most one row per bucket
+        per_bucket = {r["key_bucket"]: r["n"] for r in counts}
+        bad = per_bucket.pop(None, 0)
+        rows, touched = sum(per_bucket.values()), list(per_bucket)
         quarantine_rows(checked.where("NOT valid")).write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
-        good = checked.where("valid").withColumn("key_bucket", key_bucket(buckets))
-        counts = good.groupBy("key_bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # at most one row per bucket
-        rows, touched = sum(r["n"] for r in counts), [r["key_bucket"] for r in counts]
+        good = checked.where("valid")
         stored = read_table(spark, table, without=batch_id)
         if len(touched) < buckets:
             stored = stored.where(F.col("key_bucket").isin(touched))
@@ -74,7 +77,6 @@ def write_batch(df: DataFrame, batch_id: int, table: str, quarantine: str, bucke
             inserted = spark.read.schema(TABLE_SCHEMA).option("basePath", table).parquet(f"{table}/batch_id={batch_id}").count()
         else:
             inserted = 0
-        bad = checked.where("NOT valid").count()
     finally:
         checked.unpersist()
     return {"batch_id": batch_id, "rows": rows, "inserted": inserted, "duplicates": rows - inserted, "quarantined": bad}
