@@ -213,7 +213,7 @@ def _(t):
     method = F.get(F.array(*[F.lit(m) for m in runs.METHODS]), (cell % 3).cast("int"))
     size = F.when(cell % 3 == 0, 1).otherwise(100)
     whole = t.customer.groupBy().agg(F.floor((F.max("c_custkey") + 1) / 9).alias("cases"))
-    rec = t.customer.join(whole, case_id < F.col("cases")).select(
+    rec = t.customer.where(case_id < whole.scalar()).select(
         case_id.alias("case_id"), method.alias("method"), F.when((n == 0) & (cell == 8), 1).otherwise(F.floor(cell / 3) + 1).alias("repetition"),
         F.lit(5000).alias("submitted"), F.when((n == 1) & (cell == 4), 4499).otherwise(4500).alias("inserted"), F.lit(500).alias("duplicates"),
         (key * 1000 + 100000).alias("elapsed_ns"), F.ceil(F.lit(5000) / size).alias("batch_count"),
@@ -298,9 +298,15 @@ def _(t):
     return rows.select("position", c["payload"].alias("payload"), c["occurred_at"].cast("timestamp_ntz").alias("occurred_at"), c["event_type"].alias("event_type"))
 
 
-@query("g2_varied_payloads")
+LETTERS = ids.ALPHABET
+DIGESTS = ", ".join(f"sha256(concat('n/42/', CAST(event_id AS STRING), '/{o}'))" for o in range(0, 245, 32))
+
+
+@query("g2_varied_payloads", f"""
+WITH d AS (SELECT event_id AS position, concat({DIGESTS}) AS d FROM events)
+SELECT position, concat('{{"data":"', array_to_string(list_transform(range(0, 245), lambda i: substr('{LETTERS}', CAST(
+  (instr('0123456789abcdef', substr(d, 2 * i + 1, 1)) - 1) % 4 * 16 + instr('0123456789abcdef', substr(d, 2 * i + 2, 1)) AS BIGINT), 1)), ''), '"}}') AS payload FROM d""")
 def _(t):
-    """Checked byte for byte against hashlib in the tests."""
     spec = gen.DatasetSpec(count=1, payload_bytes=256, seed=42, namespace="n", payload_profile="varied")
     rows = t.events.select(F.col("event_id").alias("position"))
     return rows.select("position", gen.event_content(F.col("position"), spec)["payload"].alias("payload"))
@@ -312,7 +318,8 @@ SELECT o_orderkey AS row_id, CASE WHEN o_orderkey < u THEN o_orderkey ELSE (o_or
 def _(t):
     unique = t.orders.groupBy().agg((F.count(F.lit(1)) - F.floor(F.count(F.lit(1)) * 0.25)).alias("u"))
     source = gen.duplicate_source(F.col("o_orderkey"), F.col("u"))
-    return t.orders.join(unique, F.lit(True)).select(F.col("o_orderkey").alias("row_id"), source.alias("source_id"))
+    orders = t.orders.withColumn("u", unique.scalar())
+    return orders.select(F.col("o_orderkey").alias("row_id"), source.alias("source_id"))
 
 
 @query("j12_decode_population", """

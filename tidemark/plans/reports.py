@@ -135,12 +135,15 @@ def bucket_requests(t):
     return t.v_operations.select("tenant_id", F.unix_micros(F.col("at").cast("timestamp")).alias("at_ns"), F.col("seq").alias("request_id"))
 
 
-@query("w10_token_bucket", """
+BUCKET_SQL = """
 WITH RECURSIVE r AS MATERIALIZED (SELECT tenant_id, epoch_us("at") AS at_ns, seq AS request_id, row_number() OVER (PARTITION BY tenant_id ORDER BY "at", seq) AS rn FROM v_operations),
 f AS (SELECT tenant_id, at_ns, request_id, rn, CAST(0 AS DOUBLE) AS tokens, true AS allowed, CAST(0 AS BIGINT) AS remaining FROM r WHERE rn = 1
 UNION ALL SELECT tenant_id, at_ns, request_id, rn, CASE WHEN t >= 1 THEN t - 1 ELSE t END, t >= 1, CASE WHEN t >= 1 THEN CAST(floor(t - 1) AS BIGINT) ELSE 0 END
   FROM (SELECT r.*, least(CAST(1 AS DOUBLE), f.tokens + (r.at_ns - f.at_ns) / 1e9 * 1) AS t FROM f JOIN r ON r.tenant_id = f.tenant_id AND r.rn = f.rn + 1))
-SELECT tenant_id, at_ns, request_id, allowed, remaining FROM f""")
+SELECT tenant_id, at_ns, request_id, allowed, remaining FROM f"""
+
+
+@query("w10_token_bucket", BUCKET_SQL)
 def _(t):
     return folds.token_bucket(bucket_requests(t), 1)
 
@@ -152,7 +155,7 @@ def alert_operations(t):
     return t.v_operations.select("kind", "seq", (F.unix_micros(F.col("at").cast("timestamp")) * 1000).alias("at_ns"), (~(F.col("seq") % 9 == 0)).alias("failed"))
 
 
-@query("w11_alert_cooldown", f"""
+ALERT_SQL = f"""
 WITH RECURSIVE r AS MATERIALIZED (SELECT kind, seq, epoch_us("at") * 1000 AS at_ns, seq % 9 <> 0 AS failed, row_number() OVER (PARTITION BY kind ORDER BY seq) AS rn FROM v_operations),
 f AS (SELECT kind, seq, at_ns, rn, failed AS state, at_ns AS last, CAST(0 AS BIGINT) AS held, CASE WHEN failed THEN 'failed' END AS line, CAST(0 AS BIGINT) AS suppressed FROM r WHERE rn = 1
 UNION ALL SELECT r.kind, r.seq, r.at_ns, r.rn, r.failed,
@@ -160,7 +163,10 @@ UNION ALL SELECT r.kind, r.seq, r.at_ns, r.rn, r.failed,
   CASE WHEN r.failed AND f.state AND r.at_ns - f.last < {COOLDOWN} THEN f.held + 1 ELSE 0 END,
   CASE WHEN r.failed AND NOT (f.state AND r.at_ns - f.last < {COOLDOWN}) THEN 'failed' WHEN NOT r.failed AND f.state THEN 'recovered' END, f.held
   FROM f JOIN r ON r.kind = f.kind AND r.rn = f.rn + 1)
-SELECT kind, seq, at_ns, line AS state, suppressed FROM f WHERE line IS NOT NULL""")
+SELECT kind, seq, at_ns, line AS state, suppressed FROM f WHERE line IS NOT NULL"""
+
+
+@query("w11_alert_cooldown", ALERT_SQL)
 def _(t):
     return folds.alert_cooldown(alert_operations(t), COOLDOWN)
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import labels
 from tidemark.plans.catalog import query
 from tidemark.plans.delivery import STORED
-from tidemark.plans.reports import COOLDOWN, alert_operations, bucket_requests
+from tidemark.plans.reports import ALERT_SQL, BUCKET_SQL, COOLDOWN, alert_operations, bucket_requests
 from tidemark.session import ROCKSDB_PROVIDER, scratch_dir
 from tidemark.sources import export, files, sink
 from tidemark.streaming import ingest, stateful
@@ -162,18 +162,16 @@ def _(t):
     return t.spark.read.parquet(f"{base}/out/version={newest}")
 
 
-@query("t4_token_bucket_stream")
+@query("t4_token_bucket_stream", BUCKET_SQL)
 def _(t):
-    """Equal to the batch fold (see w10_token_bucket and the tests)."""
     keyed_state(t)
     path = folder_of(t, "bucket_requests", lambda: bucket_requests(t).withColumn("seq", F.col("request_id")), parts=2)
     stream = t.spark.readStream.schema("tenant_id string, at_ns bigint, request_id bigint").option("maxFilesPerTrigger", 2).parquet(path)
     return drained(t, stateful.token_bucket_stream(stream, 1, idle_ttl_ms=None), "bucket_stream")
 
 
-@query("t5_alert_stream")
+@query("t5_alert_stream", ALERT_SQL)
 def _(t):
-    """Equal to the batch fold (see w11_alert_cooldown and the tests)."""
     keyed_state(t)
     path = folder_of(t, "alert_operations", lambda: alert_operations(t), parts=2)
     stream = t.spark.readStream.schema("kind string, seq bigint, at_ns bigint, failed boolean").option("maxFilesPerTrigger", 2).parquet(path)
