@@ -75,6 +75,16 @@ def test_any_split_gives_the_same_table(spark, tmp_path):
         assert got == {(UUIDS[i], f"v{i}") for i in range(5)}
 
 
+def test_bounded_dedupe_keeps_poison(spark, tmp_path):
+    d = str(tmp_path)
+    write_log(spark, f"{d}/log", [(i, value(i)) for i in range(4)] + [(4, b"not-json")])
+    write_log(spark, f"{d}/log", [(5 + i, value(i, "again")) for i in range(6)])
+    run(spark, d, dedupe_horizon="7 days")
+    assert {(r.event_id, r.event_type) for r in spark.read.parquet(f"{d}/table").collect()} == {
+        (UUIDS[i], "a" if i < 4 else "again") for i in range(6)}
+    assert [r.offset for r in spark.read.parquet(f"{d}/bad").collect()] == [4]
+
+
 def test_retries_stop_at_the_window():
     clock, waits = [0.0], []
 

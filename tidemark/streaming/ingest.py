@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.operators.store import EVENT_KEY, first_wins, merge_first_wins
 from tidemark.operators.tenancy import WRITER_POLICY
 from tidemark.operators.validation import validate_events
-from tidemark.sources.sink import committed_batches, write_batch
+from tidemark.sources.sink import committed_batches, quarantine_rows, write_batch
 
 
 def with_retries(work: Callable[[], dict], policy: dict = WRITER_POLICY, sleep=time.sleep, clock=time.monotonic) -> dict:
@@ -64,14 +64,21 @@ def start_ingest(
 
 
 def _start_bounded(source: DataFrame, table: str, quarantine: str, checkpoint: str, horizon: str) -> StreamingQuery:
+    """Two streams over the same source: the poison goes to the quarantine first, then the valid rows are deduped."""
     checked = validate_events(source, "value", kind="envelope")
+
+    def set_aside(batch: DataFrame, batch_id: int) -> None:
+        quarantine_rows(batch).write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
+
+    bad = checked.where("NOT valid").writeStream.foreachBatch(set_aside).option("checkpointLocation", f"{checkpoint}/quarantine")
+    bad.trigger(availableNow=True).start().awaitTermination()
     good = checked.where("valid").withWatermark("received_at", horizon).dropDuplicatesWithinWatermark(list(EVENT_KEY))
 
     def store(batch: DataFrame, batch_id: int) -> None:
         cols = ("tenant_id", "event_id", "event_type", "occurred_at", "received_at", "payload")
         batch.select(*cols).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
-    return good.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return good.writeStream.foreachBatch(store).option("checkpointLocation", f"{checkpoint}/table").trigger(availableNow=True).start()
 
 
 def replay_gap(log: DataFrame, table: DataFrame, order_cols=("part", "off")) -> DataFrame:
