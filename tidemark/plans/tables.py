@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.session import scratch_dir
+from tidemark.session import scratch_dir, ship_package
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -179,6 +179,7 @@ class Tables:
     """Attribute access to one scale's tables: ``t.orders``, ``t.v_log``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        ship_package(spark)
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._seen: dict[str, DataFrame] = {}

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from tidemark.functions.labels import OPERATION_KINDS
+from tidemark.operators import folds
 from tidemark.operators.folds import COOLDOWN_NS, bucket_step
 
+# Spark first runs a processor beside the driver, where shipped packages are not on the path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(folds)
+
 BUCKET_TTL_MS = 300_000
 
 BUCKET_OUT = StructType([
