@@ -9,7 +9,8 @@ Steps, each over written tables:
 1. Frequent shingles are found, so that every set can order its columns with the rare ones first. Any set of frequent shingles
    gives the same links; it only keeps shared passages out of the leading columns. That is why its size may be bounded.
 2. Leading columns meet by shingle. Copies of one set are one row of the matrix.
-3. Each set is tried with one partner (the smallest set of most of its columns). That joins groups of near copies in linear work.
+3. Each set is tried with one partner: of the sets that lead its columns by their share of common columns, the most frequent. The original of
+   a group of copies has the largest share, so this joins such groups in linear work.
 4. What is left are pairs of sets in different classes that share a column; those in one class are linked already and need no test.
 5. Candidates are verified on their whole sets, block by block; then components are taken.
 
@@ -34,8 +35,8 @@ MAX_FREQUENT = 1_000_000  # size bound of the ordering hint
 FREQUENT = 24  # sets that hold a shingle, for it to be called frequent
 TILE = 2048  # rows of a column multiplied together
 
-_LISTS = pa.schema([("kind", pa.int8()), ("h", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("at", pa.int64()), ("partner", pa.int64()), ("partner_n", pa.int32())])
-_LISTS_DDL = "kind byte, h long, key long, n int, at long, partner long, partner_n int"
+_LISTS = pa.schema([("kind", pa.int8()), ("h", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("at", pa.int64())])
+_LISTS_DDL = "kind byte, h long, key long, n int, at long"
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -84,7 +85,7 @@ def _columns(width: int, percent: int, frequent):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, seen = frequent.value, set()
-        schema = pa.schema([f for f in _LISTS][:5])
+        schema = _LISTS
         for batch in batches:
             ids = batch.column(0)
             h, key, n, at, kind = [], [], [], [], []
@@ -118,13 +119,12 @@ def _columns(width: int, percent: int, frequent):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns that two sets share, each row with the smallest set of its column; documents pass."""
+    """Columns that two sets share; documents pass."""
     for table in whole_groups(batches, "h"):
         kind = table["kind"].to_numpy()
         docs = table.filter(pa.array(kind == 1))
         if docs.num_rows:
-            nulls = pa.nulls(docs.num_rows, pa.int64())
-            yield batch_of(_LISTS, *(docs[c].combine_chunks() for c in ("kind", "h", "key", "n", "at")), nulls, nulls.cast(pa.int32()))
+            yield batch_of(_LISTS, *(docs[c].combine_chunks() for c in _LISTS.names))
         cells = table.filter(pa.array(kind == 0))
         if not cells.num_rows:
             continue
@@ -135,9 +135,8 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         size = np.diff(np.concatenate((begin, [len(h)])))
         keep = np.repeat(size > 1, size)
-        first = np.repeat(begin, size)[keep]
         if keep.any():
-            yield batch_of(_LISTS, np.zeros(keep.sum(), np.int8), h[keep], key[keep], n[keep], at[keep], key[first], n[first])
+            yield batch_of(_LISTS, np.zeros(keep.sum(), np.int8), h[keep], key[keep], n[keep], at[keep])
 
 
 def _pairs(percent: int):
@@ -245,12 +244,16 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
     top = top.where(F.col("sets") >= FREQUENT).orderBy(F.desc("sets"), "h").limit(MAX_FREQUENT).select("h").toArrow()
     frequent = spark.sparkContext.broadcast(np.sort(top["h"].to_numpy().view(np.uint64)))
 
-    rows = docs.mapInArrow(_columns(width, percent, frequent), "kind byte, h long, key long, n int, at long")
+    rows = docs.mapInArrow(_columns(width, percent, frequent), _LISTS_DDL)
     lists = stored(rows.repartition("h").sortWithinPartitions("h", "kind", "key").mapInArrow(_lists, _LISTS_DDL), "jaccard-lists")
     cells, owners = lists.where("kind = 0"), lists.where("kind = 1")
     keys = stored(owners.where("key IS NOT NULL").groupBy("key").agg(F.min("at").alias("first_id")), "jaccard-keys")
 
-    tried = cells.where(f"partner <> key AND 100 * least(n, partner_n) >= {percent} * greatest(n, partner_n)")
+    # the centre of a group of copies shares nearly all its columns, a copy lacks those that it has changed
+    own = cells.groupBy("key").agg(F.count("*").alias("c"), F.first("n").alias("n")).selectExpr("key", f"c / (n - ceil({percent} * n / 100.0) + 1) AS share")
+    ranked = cells.select("h", "key", "n").join(own, "key")
+    middle = ranked.groupBy("h").agg(F.max(F.struct("share", "key", "n")).alias("m")).select("h", F.col("m.key").alias("partner"), F.col("m.n").alias("partner_n"))
+    tried = cells.select("h", "key", "n").join(middle, "h").where(f"partner <> key AND 100 * least(n, partner_n) >= {percent} * greatest(n, partner_n)")
     tried = tried.groupBy("key", "partner").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "partner")).alias("best"))
     stars = stored(tried.select(F.col("best.partner").alias("a"), F.col("key").alias("b")), "jaccard-stars")
     links = stored(_verified(docs, keys, stars, width, percent), "jaccard-links")
