@@ -46,36 +46,56 @@ def leaf_of(line: str) -> int:
     return _hash(f"{line.count(' ')} {' '.join(tokens[:DEPTH])}")
 
 
+def _forms(text: str | None) -> set[str]:
+    """The distinct masked lines of a text."""
+    return {masked(x) for x in (text or "").split("\n")} - {""}
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each distinct masked line of a text once, with its leaf."""
-    schema = pa.schema([("leaf", pa.int64()), ("line", pa.string())])
+    """Leaf and hash of each distinct masked line of a text."""
+    schema = pa.schema([("leaf", pa.int64()), ("h", pa.int64())])
     for batch in batches:
-        leaf, lines = [], []
-        for text in batch.column(0).to_pylist():
-            for line in {masked(x) for x in (text or "").split("\n")} - {""}:
-                leaf.append(leaf_of(line))
-                lines.append(line)
-        yield batch_of(schema, leaf, lines)
-
-
-def recurring_templates(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(line): masked lines whose template occurs in ``min_docs`` documents. A line that does so itself is its own template."""
-    prepared(documents)
-    lines = documents.select("text").mapInArrow(_lines, "leaf long, line string")
+        forms = [x for text in batch.column(0).to_pylist() for x in _forms(text)]
+        yield batch_of(schema, [leaf_of(x) for x in forms], [_hash(x) for x in forms])
+
+
+def _texts(wanted):
+    """Lines with their hashes, those of ``wanted`` only if that is given; a line once for each block of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("h", pa.int64()), ("line", pa.string())])
+        for batch in batches:
+            forms = {_hash(x): x for text in batch.column(0).to_pylist() for x in _forms(text)}
+            kept = [h for h in forms if wanted is None or h in wanted.value]
+            yield batch_of(schema, kept, [forms[h] for h in kept])
+
+    return run
+
+
+def recurring_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(h): hashes of masked lines whose template occurs in ``min_docs`` documents. A line that does so itself is its own template."""
+    spark = prepared(documents)
+    texts = documents.select("text")
     # copies of a line are one row with a count from here on
-    counted = stored(lines.groupBy("leaf", "line").agg(F.count("*").alias("docs")), "template-lines")
+    counted = stored(texts.mapInArrow(_lines, "leaf long, h long").groupBy("leaf", "h").agg(F.count("*").alias("docs")), "template-lines")
     leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs")).where(F.col("leaf_docs") >= min_docs)
-    rows = stored(counted.join(leaves, "leaf"), "template-leaves")
-    tokens = rows.selectExpr("leaf", "leaf_docs", "docs", "posexplode(split(line, ' ')) AS (place, token)")
+    rows = counted.where(F.col("docs") < min_docs).join(leaves, "leaf").select("leaf", "h", "docs", "leaf_docs")
+    rows = stored(rows, "template-leaves")
+    wanted = None
+    if rows.count() <= SMALL_ROWS:
+        wanted = spark.sparkContext.broadcast(frozenset(rows.select("h").toArrow()["h"].to_pylist()))
+    lines = texts.mapInArrow(_texts(wanted), "h long, line string").groupBy("h").agg(F.min("line").alias("line"))
+    rows = stored(rows.join(lines, "h").selectExpr("leaf", "h", "docs", "leaf_docs", "split(line, ' ') AS tokens"), "template-tokens")
+    tokens = rows.selectExpr("leaf", "leaf_docs", "docs", "posexplode(tokens) AS (place, token)")
     common = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n"), F.first("leaf_docs").alias("leaf_docs"))
     common = common.where((F.col("n") >= min_docs) & (F.col("n") >= SHARE * F.col("leaf_docs")) & (F.col("token") != WILD))
     leaf_tokens = common.groupBy("leaf").agg(F.collect_set(F.struct("place", "token")).alias("constant"))  # at most 1 / SHARE for each place
-    fixed = f"transform(split(line, ' '), (t, i) -> CASE WHEN array_contains(constant, struct(i AS place, t AS token)) THEN t ELSE '{WILD}' END)"
-    template = rows.join(leaf_tokens, "leaf").selectExpr("leaf", "line", "docs", f"{fixed} AS template")
-    template = template.where(f"docs < {min_docs} AND size(filter(template, t -> t <> '{WILD}')) >= {CONSTANT} * size(template)").selectExpr("leaf", "line", "docs", "xxhash64(leaf, template) AS template")
+    fixed = f"transform(tokens, (t, i) -> CASE WHEN array_contains(constant, struct(i AS place, t AS token)) THEN t ELSE '{WILD}' END)"
+    template = rows.join(leaf_tokens, "leaf").selectExpr("leaf", "h", "docs", f"{fixed} AS template")
+    template = template.where(f"size(filter(template, t -> t <> '{WILD}')) >= {CONSTANT} * size(template)").selectExpr("h", "docs", "xxhash64(leaf, template) AS template")
     template = stored(template, "templates")
     frequent = template.groupBy("template").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
-    return template.join(frequent, "template").select("line").unionAll(rows.where(F.col("docs") >= min_docs).select("line"))
+    return template.join(frequent, "template").select("h").unionAll(counted.where(F.col("docs") >= min_docs).select("h"))
 
 
 _OUT = pa.schema([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
@@ -103,13 +123,7 @@ def drop_recurring_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> Data
     own. All other columns pass, whatever their names.
     """
     spark = prepared(documents)
-    lines = recurring_templates(documents, min_docs).select("line")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch_of(pa.schema([("h", pa.int64())]), [_hash(x) for x in batch.column(0).to_pylist()])
-
-    known = stored(lines.mapInArrow(hashed, "h long"), "template-hashes")
+    known = stored(recurring_lines(documents, min_docs), "template-hashes")
     others = [c for c in documents.columns if c != "text"]
     rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), "text")
     kind = rows.schema["row"].dataType.simpleString() if others else None
@@ -121,7 +135,7 @@ def drop_recurring_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> Data
 
         def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                pairs = [(u, _hash(m)) for u, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in {masked(x) for x in (t or "").split("\n")} - {""}]
+                pairs = [(u, _hash(m)) for u, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in _forms(t)]
                 yield batch_of(pa.schema([("uid", pa.int64()), ("h", pa.int64())]), [u for u, _ in pairs], [h for _, h in pairs])
 
         rows = rows.withColumn("uid", F.xxhash64("text"))
