@@ -98,19 +98,30 @@ class WordTokens:
         new = [i for i, k in enumerate(keys) if k not in self.place]
         if new:
             texts = [data[words.starts[f] : words.ends[f]].tobytes().decode("utf-8", "replace") for f in first[new]]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            # one call for all words: an encoding for each would cost more than its tokens
+            found = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+            sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(texts))
             ends = len(self.flat) + np.cumsum(sizes)
             self.place.update(zip((keys[i] for i in new), range(len(self.begin), len(self.begin) + len(new))))
-            self.flat = np.concatenate((self.flat, np.fromiter((x for e in ids for x in e), np.uint32, int(sizes.sum()))))
+            self.flat = np.concatenate((self.flat, np.array(found.ids, np.uint32)))
             self.begin, self.end = np.concatenate((self.begin, ends - sizes)), np.concatenate((self.end, ends))
         return np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[back]
 
 
+_caches: dict[str, WordTokens] = {}
+
+
+def word_tokens(vocabulary: str) -> WordTokens:
+    """The cache of this worker, kept from task to task."""
+    if vocabulary not in _caches:
+        _caches[vocabulary] = WordTokens(vocabulary)
+    return _caches[vocabulary]
+
+
 def _tokenised(vocabulary: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cache, projection = WordTokens(vocabulary), _projection()
+        cache, projection = word_tokens(vocabulary), _projection()
         schema = pa.schema([("curve", pa.int64()), ("doc_id", pa.int64()), ("check", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
             for low, high, offsets, data in blocks(batch.column(1)):
@@ -182,4 +193,4 @@ def pack(documents: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAP
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenised(vocabulary, end_id), "curve long, doc_id long, check long, ids binary")
     rows = stored(rows, "packing-tokens")  # so that finding the ranges doesn't tokenise again
     dealt = rows.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id", "check", "ids")
-    return dealt.select("doc_id", "ids").mapInArrow(_packed(capacity, WordTokens(vocabulary).dtype), _PIECES_DDL)
+    return dealt.select("doc_id", "ids").mapInArrow(_packed(capacity, word_tokens(vocabulary).dtype), _PIECES_DDL)
