@@ -1,6 +1,6 @@
 """Packing along a space-filling curve.
 
-Hashed word vectors of documents are projected to a few dimensions; documents are range-sorted by the Hilbert key of the projection and
+Hashed token vectors of documents are projected to a few dimensions; documents are range-sorted by the Hilbert key of the projection and
 packed in that order, so that the pieces of one sequence come from alike documents. Documents are cut wherever a sequence is full. What is
 left at the end of a range is cut at powers of two, so no sequence needs padding.
 """
@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import batch_of, prepared, stored
-from tidemark.llm.words import MULTIPLIER, PUNCTUATION, SPACES, blocks, find_words, mix
+from tidemark.llm.words import MULTIPLIER, SPACES, blocks, find_words, mix
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -60,12 +60,13 @@ def hilbert_key(places: np.ndarray, bits: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def curve_places(data: np.ndarray, offsets: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    words = find_words(data, offsets, PUNCTUATION)
-    n = len(offsets) - 1
-    doc = np.repeat(np.arange(n), words.counts())
-    sign = np.where(words.hashes >> np.uint64(63), 1.0, -1.0)
-    vectors = np.bincount(doc * HASHED + (words.hashes % np.uint64(HASHED)).astype(np.int64), sign, n * HASHED).reshape(n, HASHED)
+def curve_places(ids: np.ndarray, cuts: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    """Of texts whose token ids lie between ``cuts``."""
+    n, known = len(cuts) - 1, np.arange(int(ids.max(initial=0)) + 1, dtype=np.uint64)
+    hashed = mix((known + np.uint64(1)) * MULTIPLIER)
+    bucket, sign = (hashed % np.uint64(HASHED)).astype(np.int64), np.where(hashed >> np.uint64(63), 1.0, -1.0)
+    doc = np.repeat(np.arange(n) * HASHED, np.diff(cuts))
+    vectors = np.bincount(doc + bucket[ids], sign[ids], n * HASHED).reshape(n, HASHED)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     share = 1 / (1 + np.exp(-1.702 * (vectors @ projection)))  # near the normal distribution function, so places fill the cube
     return hilbert_key(np.minimum(share * (1 << BITS), (1 << BITS) - 1).astype(np.uint64), BITS)
@@ -134,7 +135,7 @@ def _tokenised(vocabulary: str, end_id: int):
                 cuts = total[words.first]
                 texts = [np.append(ids[a:b], cache.dtype(end_id)).tobytes() for a, b in zip(cuts, cuts[1:])]
                 check = [len(t) for t in texts]
-                yield batch_of(schema, curve_places(data, offsets, projection), batch.column(0).slice(low, high - low).cast(pa.int64()), check, texts)
+                yield batch_of(schema, curve_places(ids, cuts, projection), batch.column(0).slice(low, high - low).cast(pa.int64()), check, texts)
 
     return run
 
