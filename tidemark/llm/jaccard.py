@@ -11,7 +11,8 @@ Steps, each over written tables:
 2. Leading columns meet by shingle. Copies of one set are one row of the matrix.
 3. Each set is tried with one partner: of the sets that lead its columns by their share of common columns, the most frequent. The original of
    a group of copies has the largest share, so this joins such groups in linear work.
-4. What is left are pairs of sets in different classes that share a column; those in one class are linked already and need no test.
+4. What is left are pairs of sets in different classes that share a column; those in one class are linked already and need no test. In
+   columns of many classes, bitmaps of the sets bound the overlap of a pair first, so unlike copies of one original make few candidates.
 5. Candidates are verified on their whole sets, block by block; then components are taken.
 
 Shingles and sets are compared by 64-bit hashes.
@@ -27,13 +28,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import SMALL_ROWS, batch_of, prepared, stored, whole_groups
 from tidemark.llm.components import components
-from tidemark.llm.words import SPACES, blocks, find_words, mix, sequences
+from tidemark.llm.words import MULTIPLIER, SPACES, blocks, find_words, mix, sequences
 
 WIDTH = 5
 PERCENT = 75
 MAX_FREQUENT = 1_000_000  # size bound of the ordering hint
 FREQUENT = 24  # sets that hold a shingle, for it to be called frequent
-TILE = 2048  # rows of a column multiplied together
+TILE = 1024  # rows of a column multiplied together
+BROAD = 64  # classes of a column from which its pairs are first held against bitmaps
+BITS = 2048  # of a bitmap
 
 _LISTS = pa.schema([("kind", pa.int8()), ("h", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("at", pa.int64())])
 _LISTS_DDL = "kind byte, h long, key long, n int, at long"
@@ -52,6 +55,12 @@ def set_key(items: np.ndarray) -> int:
     return int(mix(np.sum(mix(items + np.uint64(len(items))), keepdims=True)).view(np.int64)[0])
 
 
+def bitmap(items: np.ndarray) -> bytes:
+    bits = np.zeros(BITS, np.uint8)
+    bits[(mix(items + MULTIPLIER) % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def _frequent(width: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("h", pa.int64()), ("sets", pa.int64())])
@@ -143,14 +152,21 @@ def _pairs(percent: int):
     """Pairs of sets of different classes and like sizes in one column, with the number of columns of this task that they share."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("a_n", pa.int32()), ("b_n", pa.int32()), ("shared", pa.int64())])
 
-    def product(key, cls, n):
+    def product(key, cls, n, bits):
         for x in range(0, len(key), TILE):
             for y in range(x, len(key), TILE):
                 i, j = np.arange(x, min(x + TILE, len(key))), np.arange(y, min(y + TILE, len(key)))
                 low, high = np.minimum(n[i][:, None], n[j][None, :]), np.maximum(n[i][:, None], n[j][None, :])
                 ok = (100 * low >= percent * high) & (cls[i][:, None] != cls[j][None, :]) & (i[:, None] < j[None, :])
                 p, q = np.nonzero(ok)
-                if len(p):
+                if bits is not None:  # every bit of one set that the other lacks is at least one item that it lacks
+                    for at in range(0, len(p), 1 << 16):
+                        a, b = i[p[at : at + (1 << 16)]], j[q[at : at + (1 << 16)]]
+                        most = np.minimum(n[a] - np.bitwise_count(bits[a] & ~bits[b]).sum(1), n[b] - np.bitwise_count(bits[b] & ~bits[a]).sum(1))
+                        keep = (100 + percent) * most >= percent * (n[a].astype(np.int64) + n[b])
+                        if keep.any():
+                            yield a[keep], b[keep]
+                elif len(p):
                     yield i[p], j[q]
 
     def summed(parts):
@@ -169,7 +185,9 @@ def _pairs(percent: int):
                 if (cls[low:high] == cls[low]).all():
                     continue
                 own = slice(low, high)
-                for i, j in product(key[own], cls[own], n[own]):
+                raw = table["bits"].slice(low, high - low)
+                bits = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(high - low, BITS // 64) if not raw.null_count else None
+                for i, j in product(key[own], cls[own], n[own], bits):
                     p, q = low + i, low + j
                     swap = key[p] > key[q]
                     p, q = np.where(swap, q, p), np.where(swap, p, q)
@@ -187,6 +205,21 @@ def _pairs(percent: int):
     return multiply
 
 
+def _bitmaps(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(key, bits) of the sets ``wanted`` (key, first_id)."""
+    schema = pa.schema([("key", pa.int64()), ("bits", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, bitmap(items)) for row, items in shingle_sets(batch.column(0), width) if len(items) and (k := set_key(items)) == batch.column(1)[row].as_py()]
+            yield batch_of(schema, [k for k, _ in found], [b for _, b in found])
+
+    if wanted.count() <= SMALL_ROWS:
+        wanted = F.broadcast(wanted)
+    rows = documents.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("first_id")).select("text", "key")
+    return rows.mapInArrow(run, "key long, bits binary").dropDuplicates(["key"])
+
+
 def _verified(documents: DataFrame, keys: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets link: each set is sent to the blocks of its partners and multiplied there."""
     fan = pairs.groupBy("a").agg(F.count("*").alias("fan"))
@@ -260,6 +293,11 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
     classes = stored(components(links, "jaccard"), "jaccard-classes")
 
     marked = cells.join(classes, cells.key == classes.node, "left").select("h", "key", F.coalesce("component", "key").alias("cls"), "n")
+    # a column of many classes holds a group of copies that mostly don't link: there a bitmap of each set rules out pairs at once
+    broad = stored(marked.groupBy("h").agg(F.approx_count_distinct("cls").alias("classes"), F.count("*").alias("rows")).where(f"classes >= {BROAD}").select("h"), "jaccard-broad")
+    within = marked.join(broad, "h")
+    bits = stored(_bitmaps(docs, stored(within.select("key").distinct().join(keys, "key"), "jaccard-wanted"), width), "jaccard-bitmaps")
+    marked = marked.join(broad, "h", "left_anti").withColumn("bits", F.lit(None).cast("binary")).unionByName(within.join(bits, "key"))
     pairs = marked.repartition("h").sortWithinPartitions("h").mapInArrow(_pairs(percent), "a long, b long, a_n int, b_n int, shared long")
     pairs = pairs.groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"), F.sum("shared").alias("shared"))
     # beyond its leading columns a set has ceil(p n) - 1 more

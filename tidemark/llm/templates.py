@@ -26,7 +26,7 @@ SHARE = 0.2  # of a leaf's documents, for a token to be constant at its place
 CONSTANT = 0.5  # share of a template's places that must be constant
 _FIELD = re.compile(r"\S*\d\S*")
 WILD = "<*>"
-COPY = 0.9  # share of a document's words in recurring lines from which it is a copy, left to near-duplicate removal
+COPY = 0.5  # share of a document's words in recurring lines from which it is a copy, left whole to near-duplicate removal
 _DIGIT = re.compile(r"\d")
 
 
@@ -118,7 +118,7 @@ def _kept(text: str | None, known) -> tuple[str | None, int, int]:
 def drop_recurring_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``documents`` with ``text`` less its recurring lines, and ``n_lines`` (lines with a word) and ``n_dropped``.
 
-    A null text stays null, an empty one empty; lines without a word are never dropped. A document nearly all of whose words stand in
+    A null text stays null, an empty one empty; lines without a word are never dropped. A document half of whose words stand in
     recurring lines is a copy of others: it stays whole, for near-duplicate removal to judge. Repeated rows count as documents of their
     own. All other columns pass, whatever their names.
     """
