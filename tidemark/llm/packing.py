@@ -66,7 +66,7 @@ def curve_places(ids: np.ndarray, cuts: np.ndarray, projection: np.ndarray) -> n
     hashed = mix((known + np.uint64(1)) * MULTIPLIER)
     bucket, sign = (hashed % np.uint64(HASHED)).astype(np.int64), np.where(hashed >> np.uint64(63), 1.0, -1.0)
     doc = np.repeat(np.arange(n) * HASHED, np.diff(cuts))
-    vectors = np.bincount(doc + bucket[ids], sign[ids], n * HASHED).reshape(n, HASHED)
+    vectors = np.bincount(doc + bucket[ids], sign[ids], n * HASHED).astype(float).reshape(n, HASHED)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     share = 1 / (1 + np.exp(-1.702 * (vectors @ projection)))  # near the normal distribution function, so places fill the cube
     return hilbert_key(np.minimum(share * (1 << BITS), (1 << BITS) - 1).astype(np.uint64), BITS)
