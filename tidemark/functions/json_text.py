@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from decimal import Decimal
 from json.decoder import scanstring
 
 # Storable numbers have at most this many digits on each side of the point.
@@ -51,20 +52,20 @@ def escapes_ok(raw: bytes) -> bool:
     return True
 
 
+_POWER = re.compile(r"[eE]([+-]?)0*([0-9]*)$")
+
+
 def number_fits(text: str) -> bool:
-    """Digit positions only, never a float: integer digits and fraction digits within bounds."""
-    mantissa, _, exponent = text.lstrip("-").replace("E", "e").partition("e")
-    digits = exponent.lstrip("+-").lstrip("0")
-    shift = int(exponent) if digits and len(digits) <= 10 else (EXPONENT_LIMIT if digits else 0)
-    if not -EXPONENT_LIMIT <= shift < EXPONENT_LIMIT:
-        return False
-    slack = len(mantissa)
-    if shift > MAX_WHOLE_DIGITS + slack or shift < -MAX_FRACTION_DIGITS - slack:
-        return False
-    whole, _, fraction = mantissa.partition(".")
-    significant = (whole + fraction).lstrip("0")
-    whole_digits = len(whole) + shift - (len(whole) + len(fraction) - len(significant)) if significant else 0
-    return whole_digits <= MAX_WHOLE_DIGITS and len(fraction) - shift <= MAX_FRACTION_DIGITS
+    """Whether a number has at most the allowed digits before and behind its point once written out; no float is made."""
+    power = _POWER.search(text)
+    if power is None and len(text) <= MAX_FRACTION_DIGITS:
+        return True
+    if power is not None:
+        size = int(power[2] or 0) if len(power[2]) <= 12 else EXPONENT_LIMIT + 1
+        if size > EXPONENT_LIMIT or (size == EXPONENT_LIMIT and power[1] != "-"):
+            return False
+    value = Decimal(text)
+    return (not value or value.adjusted() < MAX_WHOLE_DIGITS) and -value.as_tuple().exponent <= MAX_FRACTION_DIGITS
 
 
 def depth_of(text: str) -> int:

@@ -12,7 +12,6 @@ from tidemark.functions import ids
 # Bytes around the payload's data, the first instant, limits and names.
 PAYLOAD_FRAME_BYTES = 11
 FIRST_INSTANT = "2026-01-01 00:00:00"
-MAX_COUNT = 1_000_000
 MAX_PAYLOAD_BYTES = 262144 - 2048
 MIN_PAYLOAD_BYTES = 16
 DEFAULT_TYPE = "checkout_event"
@@ -50,7 +49,7 @@ class DatasetSpec:
 
     def check(self) -> None:
         fraction = self.duplicate_fraction
-        if not 0 < self.count <= MAX_COUNT or len(self.namespace) > 256 or self.payload_profile not in ("", "fixed", "varied"):
+        if self.count <= 0 or len(self.namespace) > 256 or self.payload_profile not in ("", "fixed", "varied"):
             raise ValueError("invalid count, namespace or payload profile")
         if not MIN_PAYLOAD_BYTES <= self.payload_bytes <= MAX_PAYLOAD_BYTES or not 0 <= fraction < 1:
             raise ValueError("invalid payload size or duplicate fraction")

@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import join_nullsafe, running
 
-# Fixed value: partitions of the event log.
+# Fixed value: partitions of the event log, unless the caller names another number.
 LOG_PARTITIONS = 3
 
 
-def snapshots(positions: DataFrame) -> DataFrame:
+def _all_parts(partitions: int) -> Column:
+    """Whether the ends are of exactly the partitions 0 to ``partitions - 1``."""
+    return F.array_sort(F.map_keys("end")) == F.expr(f"transform(sequence(0, {partitions - 1}), p -> cast(p AS int))")
+
+
+def snapshots(positions: DataFrame, partitions: int = LOG_PARTITIONS) -> DataFrame:
     """Map form (snapshot_id, status, end, committed) from rows per partition."""
     return positions.groupBy("snapshot_id").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("part", "end_off")))).alias("end"),
         F.map_from_entries(
             F.array_sort(F.collect_list(F.when(F.col("committed_off").isNotNull(), F.struct("part", "committed_off"))))
         ).alias("committed"),
-    ).withColumn("status", F.when(F.size("end") == LOG_PARTITIONS, "available").otherwise("unavailable"))
+    ).withColumn("status", F.when(_all_parts(partitions), "available").otherwise("unavailable"))
 
 
 def _ends() -> Column:
@@ -35,7 +40,7 @@ def offset_lag(snaps: DataFrame, partitions: int = LOG_PARTITIONS) -> DataFrame:
     lag = F.aggregate(
         _ends(), F.lit(0).cast("bigint"), lambda s, e: s + e["value"] - F.greatest(F.lit(0), F.col("committed")[e["key"]])
     )
-    usable = (F.col("status") == "available") & (F.size("end") == partitions) & same & possible
+    usable = (F.col("status") == "available") & _all_parts(partitions) & same & possible
     return snaps.withColumn("lag", F.when(usable, lag))
 
 

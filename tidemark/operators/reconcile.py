@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,6 @@ from tidemark.functions.json_udfs import canonical_json
 from tidemark.operators.store import first_wins
 
 SETS = ("attempted", "accepted", "ambiguous", "stored")
-# Fixed value: the largest set a run can have; the flat digest is defined up to here.
-MAX_FLAT_IDS = 1_000_000
 
 
 def id_flags(sets: DataFrame, run: str = "run_id") -> DataFrame:
@@ -55,12 +55,37 @@ def set_sizes(sets: DataFrame, run: str = "run_id") -> DataFrame:
     )
 
 
+def flat_digest(ids: DataFrame, by: Sequence[str]) -> DataFrame:
+    """SHA-256 of the members ``m`` of each set, sorted and joined by newlines; a set's members stream through one task."""
+    by = list(by)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, digest = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            starts = (pdf[by] != pdf[by].shift()).any(axis=1).to_numpy().nonzero()[0]
+            for low, high in zip(starts, [*starts[1:], len(pdf)], strict=True):
+                key = tuple(pdf[by].iloc[low])
+                text = "\n".join(pdf["m"].iloc[low:high])
+                if digest is not None and key == at:
+                    digest.update(b"\n" + text.encode())
+                    continue
+                if digest is not None:
+                    yield pd.DataFrame([[*at, digest.hexdigest()]], columns=[*by, "sha256"])
+                at, digest = key, hashlib.sha256(text.encode())
+        if digest is not None:
+            yield pd.DataFrame([[*at, digest.hexdigest()]], columns=[*by, "sha256"])
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in ids.select(*by).dtypes), "sha256 string"])
+    return ids.where("m IS NOT NULL").repartition(*by).sortWithinPartitions(*by, "m").select(*by, "m").mapInPandas(fold, schema)
+
+
 def set_digest(sets: DataFrame, by: Sequence[str] = ("run_id", "set_name"), member: str = "event_id") -> DataFrame:
     """Digests of the distinct members of each set.
 
-    ``sha256`` is the SHA-256 of the sorted members joined by newlines, for sets up
-    to the fixed size limit; larger sets have no such digest (NULL). ``tree_sha256``
-    exists at any size: members fall into 65,536 leaves by their own hash, each leaf
+    ``sha256`` is the SHA-256 of the sorted members joined by newlines: one ordered
+    pass over each set, in constant memory. ``tree_sha256`` has no such pass: members fall into 65,536 leaves by their own hash, each leaf
     is digested alone, then the list of leaf digests. No group exceeds its bound.
     """
     by = list(by)
@@ -73,10 +98,7 @@ def set_digest(sets: DataFrame, by: Sequence[str] = ("run_id", "set_name"), memb
         F.sum("c").alias("ids"),
         F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("leaf", F.lit(":"), "d"))), "\n"), 256).alias("tree_sha256"),
     )
-    small = tree.where(F.col("ids") <= MAX_FLAT_IDS).select(*by)
-    flat = ids.join(small, by, "left_semi").groupBy(*by).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("m")), "\n"), 256).alias("sha256")
-    )
+    flat = flat_digest(ids, by)
     return tree.join(flat, by, "left").select(*by, "ids", "sha256", "tree_sha256")
 
 

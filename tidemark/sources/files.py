@@ -18,9 +18,6 @@ LOG_SCHEMA = T.StructType([
     T.StructField("headers", T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.BinaryType())]))),
     T.StructField("value", T.BinaryType()),
 ])
-# Fixed value: bytes of one file that is still read whole.
-MAX_FILE_BYTES = 64 * 1024 * 1024
-MAX_RAW_BYTES = 128 * 1024 * 1024
 
 
 def read_log(spark: SparkSession, path: str, streaming: bool = False, max_files: int = 16, kafka: dict | None = None) -> DataFrame:
@@ -52,20 +49,29 @@ def read_captures(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def _unpacked(data: bytes) -> int:
+    """Bytes in all members of a gzip file; -1 if it is damaged or cut."""
+    size = 0
+    while data:
+        unpack = zlib.decompressobj(31)
+        try:
+            while data and not unpack.eof:
+                size += len(unpack.decompress(data, 1 << 20))
+                data = unpack.unconsumed_tail or (unpack.unused_data if unpack.eof else b"")
+        except zlib.error:
+            return -1
+        if not unpack.eof:
+            return -1
+    return size
+
+
 def _gzip_sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         sizes = []
         for path, content in zip(pdf["path"], pdf["content"], strict=True):
             size = len(content)
             if path.endswith(".gz"):
-                unpack, size = zlib.decompressobj(31), 0
-                try:
-                    data = bytes(content)
-                    while data and size <= MAX_RAW_BYTES:
-                        size += len(unpack.decompress(data, 1 << 20))
-                        data = unpack.unconsumed_tail
-                except zlib.error:
-                    size = -1
+                size = _unpacked(bytes(content))
             sizes.append(size)
         yield pd.DataFrame({"path": pdf["path"], "raw_bytes": sizes})
 
@@ -73,7 +79,7 @@ def _gzip_sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def file_inventory(spark: SparkSession, path: str, raw_sizes: bool = False) -> DataFrame:
     """(path, size, sha256, gzip_time_zero[, raw_bytes]) of every file below a folder, paths relative to it.
 
-    Files beyond the artifact size bound are listed but not read.
+    Every file is read; Spark reads a file as one value, so one may have at most 2 GiB.
     """
     base = path.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
@@ -81,14 +87,13 @@ def file_inventory(spark: SparkSession, path: str, raw_sizes: bool = False) -> D
     plain = base.split("://", 1)[-1] if "://" in base else base.removeprefix("file:")
     relative = F.substring(name, F.lit(len(plain) + 2), F.length(name))
     listed = files.select(F.col("path").alias("__p"), relative.alias("path"), F.col("length").alias("size"))
-    small = files.where(F.col("length") <= MAX_FILE_BYTES)
-    read = small.select(
+    read = files.select(
         F.col("path").alias("__p"), F.sha2("content", 256).alias("sha256"),
         (F.substring("content", 5, 4) == F.unhex(F.lit("00000000"))).alias("gzip_time_zero"),
     )
     out = listed.join(read, "__p", "left")
     if raw_sizes:
-        sizes = small.select("path", "content").mapInPandas(_gzip_sizes, "path string, raw_bytes bigint")
+        sizes = files.select("path", "content").mapInPandas(_gzip_sizes, "path string, raw_bytes bigint")
         out = out.join(sizes.withColumnRenamed("path", "__p"), "__p", "left")
     return out.drop("__p")
 

@@ -43,7 +43,8 @@ def read_table(spark: SparkSession, table: str, without: int | None = None) -> D
 
 def quarantine_rows(bad: DataFrame) -> DataFrame:
     """The original record, byte for byte, with its error (at most 1024 bytes) and the time."""
-    cut = F.decode(F.substring(F.encode("error", "utf-8"), 1, MAX_ERROR_BYTES), "utf-8")
+    # the longest cut that doesn't end inside a character, which has four bytes at most
+    cut = F.coalesce(*[F.try_validate_utf8(F.substring(F.encode("error", "utf-8"), 1, MAX_ERROR_BYTES - k).cast("string")) for k in range(4)])
     return bad.select("topic", "partition", "offset", "key", "headers", "value", cut.alias("error"), F.current_timestamp().alias("failed_at"))
 
 
@@ -83,11 +84,14 @@ def write_batch(df: DataFrame, batch_id: int, table: str, quarantine: str, bucke
 
 
 def compact(spark: SparkSession, table: str, target: str) -> None:
-    """Rewrite all committed batches as batch 0 of a new table: few files per bucket, sorted by key."""
+    """Rewrite all committed batches as one folder of a new table: few files per bucket, sorted by key.
+
+    The folder has number -1, which no stream gives to a batch, so later batches never replace it.
+    """
     rows = read_table(spark, table).drop("batch_id")
     rows.repartition("key_bucket").sortWithinPartitions("key_bucket", *EVENT_KEY).write.mode("errorifexists").partitionBy(
         "key_bucket"
-    ).parquet(f"{target}/batch_id=0")
+    ).parquet(f"{target}/batch_id=-1")
 
 
 def snapshot(spark: SparkSession, table: str, target: str) -> None:
