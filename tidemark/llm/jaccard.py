@@ -12,7 +12,8 @@ Steps, each over written tables:
 3. Each set is tried with one partner: of the sets that lead its columns by their share of common columns, the most frequent. The original of
    a group of copies has the largest share, so this joins such groups in linear work.
 4. What is left are pairs of sets in different classes that share a column; those in one class are linked already and need no test. In
-   columns of many classes, bitmaps of the sets bound the overlap of a pair first, so unlike copies of one original make few candidates.
+   columns of many classes, bitmaps of the sets bound the overlap of a pair first, so unlike copies of one original make few candidates;
+   a pair that passes needs no count, and is not made again where the sets show that they also meet in an earlier broad column.
 5. Candidates are verified on their whole sets, block by block; then components are taken.
 
 Shingles and sets are compared by 64-bit hashes.
@@ -37,6 +38,7 @@ FREQUENT = 24  # sets that hold a shingle, for it to be called frequent
 TILE = 1024  # rows of a column multiplied together
 BROAD = 64  # classes of a column from which its pairs are first held against bitmaps
 BITS = 2048  # of a bitmap
+SLOTS = 16  # classes of broad columns, of which a set carries its least one each
 
 _LISTS = pa.schema([("kind", pa.int8()), ("h", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("at", pa.int64())])
 _LISTS_DDL = "kind byte, h long, key long, n int, at long"
@@ -149,10 +151,15 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(percent: int):
-    """Pairs of sets of different classes and like sizes in one column, with the number of columns of this task that they share."""
+    """Pairs of sets of different classes and like sizes in one column, with the number of columns of this task that they share.
+
+    Where bitmaps bound the overlap, the smaller size stands for that number: such a pair is a candidate without a count. If the least
+    columns of one slot are the same for both sets, they meet in that column, so it alone of the two makes the pair.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("a_n", pa.int32()), ("b_n", pa.int32()), ("shared", pa.int64())])
 
-    def product(key, cls, n, bits):
+    def product(h, key, cls, n, bits, least):
+        slot = h % SLOTS
         for x in range(0, len(key), TILE):
             for y in range(x, len(key), TILE):
                 i, j = np.arange(x, min(x + TILE, len(key))), np.arange(y, min(y + TILE, len(key)))
@@ -164,6 +171,10 @@ def _pairs(percent: int):
                         a, b = i[p[at : at + (1 << 16)]], j[q[at : at + (1 << 16)]]
                         most = np.minimum(n[a] - np.bitwise_count(bits[a] & ~bits[b]).sum(1), n[b] - np.bitwise_count(bits[b] & ~bits[a]).sum(1))
                         keep = (100 + percent) * most >= percent * (n[a].astype(np.int64) + n[b])
+                        a, b = a[keep], b[keep]
+                        met = (least[a, : slot + 1] == least[b, : slot + 1]) & (least[a, : slot + 1] != 0)
+                        met[:, slot] &= least[a, slot] != h
+                        keep = ~met.any(1)
                         if keep.any():
                             yield a[keep], b[keep]
                 elif len(p):
@@ -187,11 +198,12 @@ def _pairs(percent: int):
                 own = slice(low, high)
                 raw = table["bits"].slice(low, high - low)
                 bits = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(high - low, BITS // 64) if not raw.null_count else None
-                for i, j in product(key[own], cls[own], n[own], bits):
+                least = np.array(table["least"].slice(low, high - low).to_pylist()) if bits is not None else None
+                for i, j in product(int(h[low]), key[own], cls[own], n[own], bits, least):
                     p, q = low + i, low + j
                     swap = key[p] > key[q]
                     p, q = np.where(swap, q, p), np.where(swap, p, q)
-                    parts.append((key[p], key[q], n[p], n[q], np.ones(len(p), np.int64)))
+                    parts.append((key[p], key[q], n[p], n[q], np.ones(len(p), np.int64) if bits is None else np.minimum(n[p], n[q]).astype(np.int64)))
                     size += len(p)
                     if size > 1 << 20:
                         done = summed(parts)
@@ -297,7 +309,9 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
     broad = stored(marked.groupBy("h").agg(F.approx_count_distinct("cls").alias("classes"), F.count("*").alias("rows")).where(f"classes >= {BROAD}").select("h"), "jaccard-broad")
     within = marked.join(broad, "h")
     bits = stored(_bitmaps(docs, stored(within.select("key").distinct().join(keys, "key"), "jaccard-wanted"), width), "jaccard-bitmaps")
-    marked = marked.join(broad, "h", "left_anti").withColumn("bits", F.lit(None).cast("binary")).unionByName(within.join(bits, "key"))
+    slots = F.array(*(F.coalesce(F.min(F.expr(f"CASE WHEN pmod(h, {SLOTS}) = {i} THEN h END")), F.lit(0)) for i in range(SLOTS)))
+    within = within.join(bits.join(within.groupBy("key").agg(slots.alias("least")), "key"), "key")
+    marked = marked.join(broad, "h", "left_anti").selectExpr("*", "cast(NULL AS binary) AS bits", "cast(NULL AS array<long>) AS least").unionByName(within)
     pairs = marked.repartition("h").sortWithinPartitions("h").mapInArrow(_pairs(percent), "a long, b long, a_n int, b_n int, shared long")
     pairs = pairs.groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"), F.sum("shared").alias("shared"))
     # beyond its leading columns a set has ceil(p n) - 1 more
