@@ -165,12 +165,13 @@ def _(t):
 
 
 @query("s16_lost_ranges", """
-WITH committed AS (SELECT part, max(off) + 1 AS committed_off FROM v_log WHERE attempt = 0 AND occurred_at < TIMESTAMP '2024-01-03 00:00:00' GROUP BY part),
-earliest AS (SELECT part, min(off) AS earliest_off FROM v_log WHERE attempt = 0 AND occurred_at >= TIMESTAMP '2024-01-08 00:00:00' GROUP BY part)
+WITH committed AS (SELECT part, min(off) AS committed_off FROM v_log WHERE occurred_at >= TIMESTAMP '2024-01-03 00:00:00' GROUP BY part),
+earliest AS (SELECT part, min(off) AS earliest_off FROM v_log WHERE occurred_at >= TIMESTAMP '2024-01-08 00:00:00' GROUP BY part)
 SELECT c.part, greatest(committed_off, 0) AS first_lost, earliest_off - 1 AS last_lost, earliest_off - greatest(committed_off, 0) AS lost
 FROM committed c JOIN earliest e ON c.part = e.part WHERE earliest_off > greatest(committed_off, 0)""")
 def _(t):
-    log = t.v_log.where("attempt = 0")
-    committed = log.where("occurred_at < TIMESTAMP_NTZ '2024-01-03 00:00:00'").groupBy("part").agg((F.max("off") + 1).alias("committed_off"))
+    """A reader stopped before its first record of the third day; retention then purged the log up to the eighth."""
+    log = t.v_log
+    committed = log.where("occurred_at >= TIMESTAMP_NTZ '2024-01-03 00:00:00'").groupBy("part").agg(F.min("off").alias("committed_off"))
     earliest = log.where("occurred_at >= TIMESTAMP_NTZ '2024-01-08 00:00:00'").groupBy("part").agg(F.min("off").alias("earliest_off"))
     return store.lost_ranges(committed, earliest)

@@ -297,7 +297,7 @@ def _(t):
 
 
 LEDGER = """ledger AS (SELECT event_id, arg_max(state, seq) AS state, CASE WHEN arg_max(state, seq) = 'acknowledged' THEN NULL ELSE max(error) END AS last_error,
-  count(*) FILTER (WHERE seq > 0) AS attempts FROM v_outbox_feed WHERE seq < 2 GROUP BY event_id)"""
+  count(*) FILTER (WHERE seq > 0) AS attempts FROM v_outbox_feed GROUP BY event_id)"""
 
 
 @query("l2_apply_dispatch", f"""WITH {LEDGER}, res AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'acknowledged' WHEN event_id % 4 = 1 THEN 'rejected' ELSE 'pending' END AS s,
@@ -306,7 +306,7 @@ SELECT l.event_id, CASE WHEN l.state = 'pending' AND r.s IS NOT NULL THEN r.s EL
   attempts + CASE WHEN l.state = 'pending' AND r.s IS NOT NULL THEN 1 ELSE 0 END AS attempts,
   CASE WHEN l.state = 'pending' AND r.s IS NOT NULL THEN r.e ELSE last_error END AS last_error FROM ledger l LEFT JOIN res r ON r.event_id = l.event_id""")
 def _(t):
-    ledger = outbox.outbox_state(t.v_outbox_feed.where("seq < 2")).withColumn("acknowledged_at", F.lit(None).cast("timestamp"))
+    ledger = outbox.outbox_state(t.v_outbox_feed).withColumn("acknowledged_at", F.lit(None).cast("timestamp"))
     eid = F.col("event_id")
     results = t.v_outbox_feed.where("seq = 0 AND (event_id % 3 = 0 OR event_id % 5 = 2)").select(
         "event_id", F.when(eid % 4 == 0, "acknowledged").when(eid % 4 == 1, "rejected").otherwise("pending").alias("state"),
@@ -316,24 +316,24 @@ def _(t):
 
 
 @query("l3_dispatch_summary", """
-SELECT event_id % 50 AS batch, count(*) FILTER (WHERE seq = 1) AS attempted, count(*) FILTER (WHERE seq = 1 AND state = 'acknowledged') AS acknowledged,
-  count(*) FILTER (WHERE seq = 1 AND state = 'rejected') AS rejected, count(*) FILTER (WHERE state = 'pending') AS pending, max(error) FILTER (WHERE seq = 1) AS error
-FROM v_outbox_feed WHERE seq < 2 GROUP BY 1""")
+SELECT event_id % 50 AS batch, count(*) FILTER (WHERE seq > 0) AS attempted, count(*) FILTER (WHERE seq > 0 AND state = 'acknowledged') AS acknowledged,
+  count(*) FILTER (WHERE seq > 0 AND state = 'rejected') AS rejected, count(*) FILTER (WHERE state = 'pending') AS pending, max(error) FILTER (WHERE seq > 0) AS error
+FROM v_outbox_feed GROUP BY 1""")
 def _(t):
-    d = t.v_outbox_feed.where("seq < 2").withColumn("batch", F.col("event_id") % 50).withColumn("attempted", F.col("seq") == 1)
+    d = t.v_outbox_feed.withColumn("batch", F.col("event_id") % 50).withColumn("attempted", F.col("seq") > 0)
     return outbox.dispatch_summary(d, ["batch"])
 
 
 @query("a27_outbox_status", f"WITH {LEDGER} SELECT s.state, count(l.event_id) AS n FROM (VALUES ('pending'), ('acknowledged'), ('rejected')) s(state) LEFT JOIN ledger l ON l.state = s.state GROUP BY s.state")
 def _(t):
-    return outbox.outbox_status(outbox.outbox_state(t.v_outbox_feed.where("seq < 2")))
+    return outbox.outbox_status(outbox.outbox_state(t.v_outbox_feed))
 
 
 @query("k2_next_pending", f"WITH {LEDGER} SELECT event_id, state, attempts FROM ledger WHERE state = 'pending' ORDER BY event_id LIMIT 25")
 def _(t):
-    return outbox.next_pending(outbox.outbox_state(t.v_outbox_feed.where("seq < 2")), 25, "event_id").select("event_id", "state", "attempts")
+    return outbox.next_pending(outbox.outbox_state(t.v_outbox_feed), 25, "event_id").select("event_id", "state", "attempts")
 
 
 @query("k3_first_issues", f"WITH {LEDGER} SELECT event_id, attempts, last_error FROM ledger WHERE last_error IS NOT NULL ORDER BY event_id LIMIT 100")
 def _(t):
-    return outbox.first_issues(outbox.outbox_state(t.v_outbox_feed.where("seq < 2")), "event_id").select("event_id", "attempts", "last_error")
+    return outbox.first_issues(outbox.outbox_state(t.v_outbox_feed), "event_id").select("event_id", "attempts", "last_error")

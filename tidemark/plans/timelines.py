@@ -260,11 +260,11 @@ def _(t):
 
 
 @query("j11_offset_progress", """
-WITH e AS (SELECT part, max(off) + 1 AS end_off FROM v_log WHERE attempt = 0 GROUP BY part),
-c AS (SELECT part, max(off) + 1 AS committed_off FROM v_log WHERE attempt = 0 AND valid AND occurred_at < TIMESTAMP '2024-01-20 00:00:00' AND part <> 2 GROUP BY part)
+WITH e AS (SELECT part, max(off) + 1 AS end_off FROM v_log GROUP BY part),
+c AS (SELECT part, max(off) + 1 AS committed_off FROM v_log WHERE valid AND occurred_at < TIMESTAMP '2024-01-20 00:00:00' AND part <> 2 GROUP BY part)
 SELECT e.part, end_off, committed_off, end_off - greatest(0, coalesce(committed_off, 0)) AS behind FROM e LEFT JOIN c ON c.part = e.part""")
 def _(t):
-    log = t.v_log.where("attempt = 0")
+    log = t.v_log
     end = log.groupBy("part").agg((F.max("off") + 1).alias("end_off"))
     done = log.where("valid AND occurred_at < TIMESTAMP_NTZ '2024-01-20 00:00:00' AND part <> 2").groupBy("part").agg((F.max("off") + 1).alias("committed_off"))
     return offsets.progress(end, done)
