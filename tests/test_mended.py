@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.json_text import number_fits
-from tidemark.operators import diffs, offsets, reconcile
+from tidemark.operators import diffs, offsets, reconcile, runs
 from tidemark.sources import files, sink
 
 
@@ -61,3 +61,14 @@ def test_numbers_that_fit(text):
 @pytest.mark.parametrize("text", ["1e999999999999999999", "1e-999999999999999999", "1e200000", "0." + "1" * 20000])
 def test_numbers_that_do_not(text):
     assert not number_fits(text)
+
+
+def test_completeness_judges_signs_and_verdicts(spark):
+    rows = [(1, m, r, 10, 10, 0, 5, True) for m in runs.METHODS for r in (1, 2)]
+    rows[0], rows[1] = (*rows[0][:4], 11, -1, 5, True), (*rows[1][:7], False)
+    df = spark.createDataFrame(rows, "case_id long, method string, repetition long, submitted long, inserted long, duplicates long, elapsed_ns long, correct boolean")
+    assert sorted((r.repetition, r.fault) for r in runs.completeness(df, df, 2).collect()) == [(1, "counts"), (2, "incorrect")]
+    assert [r.repetition for r in runs.completed_repetitions(df).collect()] == [1]
+    one = df.where("method = 'copy-merge'")
+    assert runs.repetition_sets(one, 2).first().complete
+    assert not runs.repetition_sets(df.where("method = 'insert'"), 2).first().complete

@@ -331,7 +331,7 @@ def r14_calibration(runs: DataFrame, requests: DataFrame, digests: DataFrame) ->
 def r15_database(runs: DataFrame, cases: DataFrame, repetitions: int = 3) -> DataFrame:
     """Per case: the method by repetition grid, counts, and the number and sum of timed batches.
 
-    ``runs`` has batch_count and batch_sum_ns; ``cases`` count, duplicate_fraction and batch_size.
+    ``runs`` has correct, batch_count and batch_sum_ns; ``cases`` count, duplicate_fraction and batch_size.
     """
     j = runs.join(cases, "case_id")
     unique = F.col("count") - (F.col("count") * F.col("duplicate_fraction")).cast("bigint")
@@ -341,11 +341,12 @@ def r15_database(runs: DataFrame, cases: DataFrame, repetitions: int = 3) -> Dat
     in_grid = F.col("method").isin(*METHODS) & F.col("repetition").between(1, repetitions)
     g = j.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("method", "repetition").alias("cells"), F.bool_and(in_grid).alias("grid"),
-        F.bool_and(counts).alias("counts"), F.bool_and(timed).alias("timed"),
+        F.bool_and(counts).alias("counts"), F.bool_and(timed).alias("timed"), F.bool_and(F.coalesce(F.col("correct"), F.lit(False))).alias("correct"),
     ).withColumnRenamed("case_id", "run_id")
     want = len(METHODS) * repetitions
     return verdict(g, "R15", {
         "grid": F.col("grid") & (F.col("n") == want) & (F.col("cells") == want), "counts": F.col("counts"), "batches": F.col("timed"),
+        "correct": F.col("correct"),
     })
 
 

@@ -80,35 +80,42 @@ def method_summary(runs: DataFrame, by: Sequence[str] = ("method",)) -> DataFram
     return upper_median(rated, "elapsed_ns", by, "median_elapsed_ns").join(upper_median(rated, "eps", by, "median_eps"), by)
 
 
+def _correct() -> Column:
+    """A run without a verdict counts as incorrect."""
+    return F.coalesce(F.col("correct"), F.lit(False))
+
+
 def completeness(runs: DataFrame, cases: DataFrame, repetitions: int) -> DataFrame:
-    """Faults of each case's method by repetition grid: missing, repeated, unknown or inconsistent."""
+    """Faults of each case's method by repetition grid: missing, repeated, unknown, inconsistent or not correct."""
     grid = cases.select("case_id").distinct().select(
         "case_id", F.explode(F.array(*[F.lit(m) for m in METHODS])).alias("method")
     ).select("case_id", "method", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(repetitions).cast("bigint"))).alias("repetition"))
-    sums = (F.col("inserted") + F.col("duplicates") == F.col("submitted")) & (F.col("elapsed_ns") > 0) & (F.col("submitted") > 0)
-    seen = runs.groupBy("case_id", "method", "repetition").agg(F.count(F.lit(1)).alias("n"), F.bool_and(sums).alias("adds_up"))
+    signs = (F.col("inserted") >= 0) & (F.col("duplicates") >= 0) & (F.col("elapsed_ns") > 0) & (F.col("submitted") > 0)
+    sums = (F.col("inserted") + F.col("duplicates") == F.col("submitted")) & signs
+    seen = runs.groupBy("case_id", "method", "repetition").agg(F.count(F.lit(1)).alias("n"), F.bool_and(sums).alias("adds_up"), F.bool_and(_correct()).alias("correct"))
     j = grid.withColumn("planned", F.lit(True)).join(seen, ["case_id", "method", "repetition"], "full")
     fault = (
         F.when(F.col("n").isNull(), "missing").when(F.col("planned").isNull(), "unknown")
-        .when(F.col("n") > 1, "repeated").when(~F.col("adds_up"), "counts")
+        .when(F.col("n") > 1, "repeated").when(~F.col("adds_up"), "counts").when(~F.col("correct"), "incorrect")
     )
     return j.select("case_id", "method", "repetition", fault.alias("fault")).where("fault IS NOT NULL")
 
 
 def completed_repetitions(runs: DataFrame) -> DataFrame:
-    """Repetitions of a case that hold all three methods."""
-    return runs.groupBy("case_id", "repetition").agg(F.countDistinct("method").alias("methods")).where(
+    """Repetitions of a case that hold correct runs of all three methods."""
+    return runs.where(_correct()).groupBy("case_id", "repetition").agg(F.countDistinct("method").alias("methods")).where(
         F.col("methods") == len(METHODS)
     ).drop("methods")
 
 
 def repetition_sets(runs: DataFrame, repetitions: int) -> DataFrame:
-    """Whether a case has each repetition exactly once."""
+    """Whether a case has each repetition exactly once, and all of them correct."""
     g = runs.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("runs"), F.countDistinct("repetition").alias("distinct"),
-        F.min("repetition").alias("low"), F.max("repetition").alias("high"),
+        F.min("repetition").alias("low"), F.max("repetition").alias("high"), F.bool_and(_correct()).alias("correct"),
     )
     ok = (F.col("runs") == repetitions) & (F.col("distinct") == repetitions) & (F.col("low") == 1) & (F.col("high") == repetitions)
+    ok = ok & F.col("correct")
     return g.select("case_id", ok.alias("complete"))
 
 

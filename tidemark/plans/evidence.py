@@ -203,7 +203,7 @@ def _(t):
 
 
 @query("r15_database_grid", """
-SELECT CAST(floor(c_custkey / 9.0) AS BIGINT) AS run_id, 'R15' AS rule, run_id % 20 > 2 AND count(*) = 9 AS passed FROM customer GROUP BY 1""")
+SELECT CAST(floor(c_custkey / 9.0) AS BIGINT) AS run_id, 'R15' AS rule, run_id % 20 > 3 AND count(*) = 9 AS passed FROM customer GROUP BY 1""")
 def _(t):
     key = F.col("c_custkey")
     case_id = F.floor(key / 9)
@@ -216,6 +216,7 @@ def _(t):
         F.lit(5000).alias("submitted"), F.when((n == 1) & (cell == 4), 4499).otherwise(4500).alias("inserted"), F.lit(500).alias("duplicates"),
         (key * 1000 + 100000).alias("elapsed_ns"), F.ceil(F.lit(5000) / size).alias("batch_count"),
         (key * 1000 + F.when((n == 2) & (cell == 5), 100001).otherwise(100000)).alias("batch_sum_ns"),
+        ((n != 3) | (cell != 7)).alias("correct"),
     )
     cases = rec.select("case_id").distinct().select("case_id", F.lit(5000).alias("count"), F.lit(0.1).alias("duplicate_fraction"), F.lit(100).alias("batch_size"))
     return au.r15_database(rec, cases).select("run_id", "rule", "passed")
@@ -267,11 +268,11 @@ def _(t):
 
 
 @query("r21_repetition_sets", """
-SELECT case_id, count(*) = 3 AND count(DISTINCT repetition) = 3 AND min(repetition) = 1 AND max(repetition) = 3 AS complete
-FROM (SELECT CAST(floor(c_custkey / 3.0) AS BIGINT) AS case_id, CASE WHEN c_custkey % 30 = 7 THEN 1 ELSE 1 + c_custkey % 3 END AS repetition FROM customer WHERE c_custkey % 41 <> 3) GROUP BY case_id""")
+SELECT case_id, count(*) = 3 AND count(DISTINCT repetition) = 3 AND min(repetition) = 1 AND max(repetition) = 3 AND bool_and(c_custkey % 53 <> 8) AS complete
+FROM (SELECT c_custkey, CAST(floor(c_custkey / 3.0) AS BIGINT) AS case_id, CASE WHEN c_custkey % 30 = 7 THEN 1 ELSE 1 + c_custkey % 3 END AS repetition FROM customer WHERE c_custkey % 41 <> 3) GROUP BY case_id""")
 def _(t):
     key = F.col("c_custkey")
-    r = t.customer.where(key % 41 != 3).select(F.floor(key / 3).alias("case_id"), F.when(key % 30 == 7, 1).otherwise(1 + key % 3).alias("repetition"))
+    r = t.customer.where(key % 41 != 3).select(F.floor(key / 3).alias("case_id"), F.when(key % 30 == 7, 1).otherwise(1 + key % 3).alias("repetition"), (key % 53 != 8).alias("correct"))
     return runs.repetition_sets(r, 3)
 
 

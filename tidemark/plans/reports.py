@@ -55,16 +55,16 @@ GRID = """grid AS (SELECT c.case_id, m.method, r.repetition FROM (SELECT DISTINC
 
 
 @query("a14_completeness", f"""WITH {GRID},
-seen AS (SELECT case_id, method, repetition, count(*) AS n FROM v_method_runs GROUP BY case_id, method, repetition)
+seen AS (SELECT case_id, method, repetition, count(*) AS n, bool_and(correct) AS ok FROM v_method_runs GROUP BY case_id, method, repetition)
 SELECT coalesce(g.case_id, s.case_id) AS case_id, coalesce(g.method, s.method) AS method, coalesce(g.repetition, s.repetition) AS repetition,
-  CASE WHEN s.n IS NULL THEN 'missing' WHEN g.case_id IS NULL THEN 'unknown' ELSE 'repeated' END AS fault
-FROM grid g FULL JOIN seen s ON s.case_id = g.case_id AND s.method = g.method AND s.repetition = g.repetition WHERE s.n IS NULL OR g.case_id IS NULL OR s.n > 1""")
+  CASE WHEN s.n IS NULL THEN 'missing' WHEN g.case_id IS NULL THEN 'unknown' WHEN s.n > 1 THEN 'repeated' ELSE 'incorrect' END AS fault
+FROM grid g FULL JOIN seen s ON s.case_id = g.case_id AND s.method = g.method AND s.repetition = g.repetition WHERE s.n IS NULL OR g.case_id IS NULL OR s.n > 1 OR NOT s.ok""")
 def _(t):
     return runs.completeness(t.v_method_runs, t.v_method_runs, 3)
 
 
 @query("a15_completed_repetitions", """
-SELECT case_id, repetition FROM v_method_runs GROUP BY case_id, repetition HAVING count(DISTINCT method) = 3""")
+SELECT case_id, repetition FROM v_method_runs GROUP BY case_id, repetition HAVING count(DISTINCT method) FILTER (WHERE correct) = 3""")
 def _(t):
     return runs.completed_repetitions(t.v_method_runs)
 

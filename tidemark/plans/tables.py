@@ -96,7 +96,7 @@ SELECT CAST(floor((s_suppkey - 1) / 9.0) AS BIGINT) AS case_id,
        CASE WHEN s_suppkey % 3 = 0 THEN 'insert' WHEN s_suppkey % 3 = 1 THEN 'batch-insert' ELSE 'copy-merge' END AS method,
        CAST(floor(((s_suppkey - 1) % 9) / 3.0) AS BIGINT) + 1 AS repetition,
        CAST(5000 AS BIGINT) AS submitted, 5000 - s_suppkey % 7 AS inserted, s_suppkey % 7 AS duplicates,
-       (s_suppkey * 104729) % 1000000000 + 1 AS elapsed_ns
+       (s_suppkey * 104729) % 1000000000 + 1 AS elapsed_ns, s_suppkey % 29 <> 4 AS correct
 FROM supplier WHERE s_suppkey % 37 <> 0"""
 
 # Raw single-event documents; fault 0 and 1 are valid, each other number is one kind of damage.
