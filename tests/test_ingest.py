@@ -20,7 +20,8 @@ def write_log(spark, path, rows):
 
 
 def run(spark, d, **kw):
-    q = ingest.start_ingest(spark, files.read_log(spark, f"{d}/log", True, 1), f"{d}/table", f"{d}/bad", f"{d}/ckpt", f"{d}/metrics", policy=ONCE, **kw)
+    metrics = None if "dedupe_horizon" in kw else f"{d}/metrics"
+    q = ingest.start_ingest(spark, files.read_log(spark, f"{d}/log", True, 1), f"{d}/table", f"{d}/bad", f"{d}/ckpt", metrics, policy=ONCE, **kw)
     q.awaitTermination()
 
 
@@ -79,12 +80,29 @@ def test_bounded_dedupe_keeps_poison(spark, tmp_path):
     d = str(tmp_path)
     write_log(spark, f"{d}/log", [(i, value(i)) for i in range(4)] + [(4, b"not-json")])
     write_log(spark, f"{d}/log", [(5 + i, value(i, "again")) for i in range(6)])
-    run(spark, d, dedupe_horizon="7 days")
+    written = []
+    run(spark, d, dedupe_horizon="7 days", after_write=written.append)
+    assert written[:2] == [0, 1]
     assert {(r.event_id, r.event_type) for r in spark.read.parquet(f"{d}/table").collect()} == {
         (UUIDS[i], "a" if i < 4 else "again") for i in range(6)}
     assert [r.offset for r in spark.read.parquet(f"{d}/bad").collect()] == [4]
 
 
+def test_a_stream_keeps_running(spark, tmp_path):
+    d = str(tmp_path)
+    write_log(spark, f"{d}/log", [(0, value(0))])
+    source = files.read_log(spark, f"{d}/log", True, 1)
+    q = ingest.start_ingest(spark, source, f"{d}/table", f"{d}/bad", f"{d}/ckpt", policy=ONCE, trigger={"processingTime": "100 milliseconds"})
+    try:
+        q.processAllAvailable()
+        write_log(spark, f"{d}/log", [(1, value(1)), (2, value(0, "again"))])
+        q.processAllAvailable()
+        assert q.isActive
+    finally:
+        q.stop()
+    assert {(r.event_id, r.event_type) for r in sink.read_table(spark, f"{d}/table").collect()} == {(UUIDS[0], "a"), (UUIDS[1], "a")}
+
+
 def test_retries_stop_at_the_window():
     clock, waits = [0.0], []
 

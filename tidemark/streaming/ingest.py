@@ -15,7 +15,11 @@ from tidemark.operators.validation import validate_events
 from tidemark.sources.sink import committed_batches, quarantine_rows, write_batch
 
 
-def with_retries(work: Callable[[], dict], policy: dict = WRITER_POLICY, sleep=time.sleep, clock=time.monotonic) -> dict:
+#: Read what is there and stop. Give ``{"processingTime": "5 seconds"}`` for a stream that keeps running.
+DRAIN = {"availableNow": True}
+
+
+def with_retries(work: Callable[[], dict | None], policy: dict = WRITER_POLICY, sleep=time.sleep, clock=time.monotonic) -> dict | None:
     """Run a batch write again after a failure, waiting longer each time, within the policy's window.
 
     When the window is used up the last error is raised: the batch fails, the
@@ -42,15 +46,19 @@ def start_ingest(
     dedupe_horizon: str | None = None,
     after_write: Callable[[int], None] | None = None,
     policy: dict = WRITER_POLICY,
+    trigger: dict = DRAIN,
 ) -> StreamingQuery:
     """Log stream to table and quarantine; progress is saved only after both are written.
 
     With ``dedupe_horizon`` repeats are dropped by bounded state instead of against
-    the table: cheaper, but a repeat later than the horizon would be stored again.
+    the table: cheaper, but a repeat later than the horizon would be stored again, and
+    no ``metrics``, since what was dropped isn't counted.
     ``after_write`` runs between the write and the saved progress.
     """
     if dedupe_horizon is not None:
-        return _start_bounded(source, table, quarantine, checkpoint, dedupe_horizon)
+        if metrics is not None:
+            raise ValueError("metrics are not kept with dedupe_horizon")
+        return _start_bounded(source, table, quarantine, checkpoint, dedupe_horizon, after_write, policy, trigger)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         result = with_retries(lambda: write_batch(batch, batch_id, table, quarantine), policy)
@@ -60,25 +68,34 @@ def start_ingest(
         if after_write is not None:
             after_write(batch_id)
 
-    return source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def _start_bounded(source: DataFrame, table: str, quarantine: str, checkpoint: str, horizon: str) -> StreamingQuery:
-    """Two streams over the same source: the poison goes to the quarantine first, then the valid rows are deduped."""
+def _start_bounded(
+    source: DataFrame, table: str, quarantine: str, checkpoint: str, horizon: str, after_write: Callable[[int], None] | None, policy: dict, trigger: dict
+) -> StreamingQuery:
+    """Two streams over the same source, one for the poison and one that dedupes the valid rows; the second is returned.
+
+    Where the input is drained, the poison is in the quarantine before the second stream starts. Otherwise both keep running.
+    """
     checked = validate_events(source, "value", kind="envelope")
 
     def set_aside(batch: DataFrame, batch_id: int) -> None:
-        quarantine_rows(batch).write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
+        with_retries(lambda: quarantine_rows(batch).write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}"), policy)
 
     bad = checked.where("NOT valid").writeStream.foreachBatch(set_aside).option("checkpointLocation", f"{checkpoint}/quarantine")
-    bad.trigger(availableNow=True).start().awaitTermination()
+    poison = bad.trigger(**trigger).start()
+    if "availableNow" in trigger or "once" in trigger:
+        poison.awaitTermination()
     good = checked.where("valid").withWatermark("received_at", horizon).dropDuplicatesWithinWatermark(list(EVENT_KEY))
 
     def store(batch: DataFrame, batch_id: int) -> None:
         cols = ("tenant_id", "event_id", "event_type", "occurred_at", "received_at", "payload")
-        batch.select(*cols).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        with_retries(lambda: batch.select(*cols).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}"), policy)
+        if after_write is not None:
+            after_write(batch_id)
 
-    return good.writeStream.foreachBatch(store).option("checkpointLocation", f"{checkpoint}/table").trigger(availableNow=True).start()
+    return good.writeStream.foreachBatch(store).option("checkpointLocation", f"{checkpoint}/table").trigger(**trigger).start()
 
 
 def replay_gap(log: DataFrame, table: DataFrame, order_cols=("part", "off")) -> DataFrame:
@@ -86,7 +103,9 @@ def replay_gap(log: DataFrame, table: DataFrame, order_cols=("part", "off")) ->
     return merge_first_wins(table, log, order_cols=order_cols)
 
 
-def start_observer(spark: SparkSession, stored: DataFrame, pending: DataFrame, out: str, checkpoint: str, keys=("event_id",)) -> StreamingQuery:
+def start_observer(
+    spark: SparkSession, stored: DataFrame, pending: DataFrame, out: str, checkpoint: str, keys=("event_id",), trigger: dict = DRAIN
+) -> StreamingQuery:
     """Record, batch by batch, which pending IDs have become visible; each is recorded once.
 
     ``out/batch_id=N`` holds the IDs first seen in batch N. What is still pending is
@@ -101,10 +120,10 @@ def start_observer(spark: SparkSession, stored: DataFrame, pending: DataFrame, o
             seen = seen.join(spark.read.parquet(*earlier).select(*keys), keys, "left_anti")
         seen.withColumn("observed_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    return stored.writeStream.foreachBatch(observe).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stored.writeStream.foreachBatch(observe).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def start_counters(stream: DataFrame, by: list[str], out: str, checkpoint: str, aggregates: list) -> StreamingQuery:
+def start_counters(stream: DataFrame, by: list[str], out: str, checkpoint: str, aggregates: list, trigger: dict = DRAIN) -> StreamingQuery:
     """Running counters per bounded label: every batch writes all labels it knows to ``out/version=N``."""
     counts = stream.groupBy(*by).agg(*aggregates)
 
@@ -113,5 +132,5 @@ def start_counters(stream: DataFrame, by: list[str], out: str, checkpoint: str,
 
     return (
         counts.writeStream.outputMode("complete").foreachBatch(publish)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
