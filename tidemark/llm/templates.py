@@ -22,11 +22,11 @@ from tidemark.llm.common import SMALL_ROWS, batch_of, prepared, stored
 
 DEPTH = 3  # leading tokens of a path
 MIN_DOCS = 3  # documents a template must occur in to be dropped
+LONG_WORDS, LONG_DOCS = 50, 2  # a line of more words is a passage, which recurs from so many documents on
 SHARE = 0.2  # of a leaf's documents, for a token to be constant at its place
 CONSTANT = 0.5  # share of a template's places that must be constant
 _FIELD = re.compile(r"\S*\d\S*")
 WILD = "<*>"
-COPY = 0.5  # share of a document's words in recurring lines from which it is a copy, left whole to near-duplicate removal
 _DIGIT = re.compile(r"\d")
 
 
@@ -52,11 +52,11 @@ def _forms(text: str | None) -> set[str]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaf and hash of each distinct masked line of a text."""
-    schema = pa.schema([("leaf", pa.int64()), ("h", pa.int64())])
+    """Leaf and hash of each distinct masked line of a text, and whether it is a passage, which all lines of a leaf are or none is."""
+    schema = pa.schema([("leaf", pa.int64()), ("h", pa.int64()), ("passage", pa.bool_())])
     for batch in batches:
         forms = [x for text in batch.column(0).to_pylist() for x in _forms(text)]
-        yield batch_of(schema, [leaf_of(x) for x in forms], [_hash(x) for x in forms])
+        yield batch_of(schema, [leaf_of(x) for x in forms], [_hash(x) for x in forms], [x.count(" ") >= LONG_WORDS for x in forms])
 
 
 def _texts(wanted):
@@ -73,54 +73,57 @@ def _texts(wanted):
 
 
 def recurring_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(h): hashes of masked lines whose template occurs in ``min_docs`` documents. A line that does so itself is its own template."""
+    """(h): hashes of masked lines whose template occurs in ``min_docs`` documents, of passages in ``LONG_DOCS``.
+
+    A line that does so itself is its own template.
+    """
     spark = prepared(documents)
     texts = documents.select("text")
     # copies of a line are one row with a count from here on
-    counted = stored(texts.mapInArrow(_lines, "leaf long, h long").groupBy("leaf", "h").agg(F.count("*").alias("docs")), "template-lines")
-    leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs")).where(F.col("leaf_docs") >= min_docs)
-    rows = counted.where(F.col("docs") < min_docs).join(leaves, "leaf").select("leaf", "h", "docs", "leaf_docs")
+    counted = texts.mapInArrow(_lines, "leaf long, h long, passage boolean").groupBy("leaf", "h").agg(F.count("*").alias("docs"), F.max("passage").alias("passage"))
+    counted = stored(counted.withColumn("least", F.when(F.col("passage"), min(LONG_DOCS, min_docs)).otherwise(min_docs)).drop("passage"), "template-lines")
+    leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.max("least").alias("leaf_least")).where("leaf_docs >= leaf_least")
+    rows = counted.where("docs < least").join(leaves, "leaf").select("leaf", "h", "docs", "least", "leaf_docs")
     rows = stored(rows, "template-leaves")
     wanted = None
     if rows.count() <= SMALL_ROWS:
         wanted = spark.sparkContext.broadcast(frozenset(rows.select("h").toArrow()["h"].to_pylist()))
     lines = texts.mapInArrow(_texts(wanted), "h long, line string").groupBy("h").agg(F.min("line").alias("line"))
-    rows = stored(rows.join(lines, "h").selectExpr("leaf", "h", "docs", "leaf_docs", "split(line, ' ') AS tokens"), "template-tokens")
-    tokens = rows.selectExpr("leaf", "leaf_docs", "docs", "posexplode(tokens) AS (place, token)")
-    common = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n"), F.first("leaf_docs").alias("leaf_docs"))
-    common = common.where((F.col("n") >= min_docs) & (F.col("n") >= SHARE * F.col("leaf_docs")) & (F.col("token") != WILD))
+    rows = stored(rows.join(lines, "h").selectExpr("leaf", "h", "docs", "least", "leaf_docs", "split(line, ' ') AS tokens"), "template-tokens")
+    tokens = rows.selectExpr("leaf", "leaf_docs", "least", "docs", "posexplode(tokens) AS (place, token)")
+    common = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n"), F.first("leaf_docs").alias("leaf_docs"), F.first("least").alias("least"))
+    common = common.where((F.col("n") >= F.col("least")) & (F.col("n") >= SHARE * F.col("leaf_docs")) & (F.col("token") != WILD))
     leaf_tokens = common.groupBy("leaf").agg(F.collect_set(F.struct("place", "token")).alias("constant"))  # at most 1 / SHARE for each place
     fixed = f"transform(tokens, (t, i) -> CASE WHEN array_contains(constant, struct(i AS place, t AS token)) THEN t ELSE '{WILD}' END)"
-    template = rows.join(leaf_tokens, "leaf").selectExpr("leaf", "h", "docs", f"{fixed} AS template")
-    template = template.where(f"size(filter(template, t -> t <> '{WILD}')) >= {CONSTANT} * size(template)").selectExpr("h", "docs", "xxhash64(leaf, template) AS template")
+    template = rows.join(leaf_tokens, "leaf").selectExpr("leaf", "h", "docs", "least", f"{fixed} AS template")
+    template = template.where(f"size(filter(template, t -> t <> '{WILD}')) >= {CONSTANT} * size(template)").selectExpr("h", "docs", "least", "xxhash64(leaf, template) AS template")
     template = stored(template, "templates")
-    frequent = template.groupBy("template").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs)
-    return template.join(frequent, "template").select("h").unionAll(counted.where(F.col("docs") >= min_docs).select("h"))
+    frequent = template.groupBy("template").agg(F.sum("docs").alias("n"), F.max("least").alias("least")).where("n >= least").select("template")
+    return template.join(frequent, "template").select("h").unionAll(counted.where("docs >= least").select("h"))
 
 
-_OUT = pa.schema([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
+_OUT = pa.schema([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("n_recurring", pa.int64())])
 
 
-def _kept(text: str | None, known) -> tuple[str | None, int, int]:
-    """The text without known lines, its lines with a word, and how many of them went."""
+def _kept(text: str | None, known) -> tuple[str | None, int, int, int]:
+    """The text without known lines, its lines with a word, how many of them went, and how many are known."""
     if text is None:
-        return None, 0, 0
+        return None, 0, 0, 0
     lines = text.split("\n")
     forms = [masked(x) for x in lines]
     gone = [bool(m) and known(_hash(m)) for m in forms]
     n = sum(map(bool, forms))
-    words = [m.count(" ") + 1 if m else 0 for m in forms]
-    if not any(gone) or sum(w for w, g in zip(words, gone) if g) >= COPY * sum(words):
-        return text, n, 0
-    return "\n".join(x for x, g in zip(lines, gone) if not g), n, sum(gone)
+    if sum(gone) in (0, n):
+        return text, n, 0, sum(gone)
+    return "\n".join(x for x, g in zip(lines, gone) if not g), n, sum(gone), sum(gone)
 
 
 def drop_recurring_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``documents`` with ``text`` less its recurring lines, and ``n_lines`` (lines with a word) and ``n_dropped``.
+    """``documents`` with ``text`` less its recurring lines, and ``n_lines`` (lines with a word), ``n_dropped`` and ``n_recurring``.
 
-    A null text stays null, an empty one empty; lines without a word are never dropped. A document half of whose words stand in
-    recurring lines is a copy of others: it stays whole, for near-duplicate removal to judge. Repeated rows count as documents of their
-    own. All other columns pass, whatever their names.
+    A null text stays null, an empty one empty; lines without a word are never dropped. Recurring lines go whatever their share of a
+    document; only one that has no other line stays whole, and ``n_recurring = n_lines`` tells it. Repeated rows count as documents of
+    their own. All other columns pass, whatever their names.
     """
     spark = prepared(documents)
     known = stored(recurring_lines(documents, min_docs), "template-hashes")
@@ -149,6 +152,6 @@ def drop_recurring_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> Data
             done = [pa.array([o[i] for o in out], f.type) for i, f in enumerate(_OUT)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *done], names=["row", *_OUT.names])
 
-    out = rows.mapInArrow(apply, f"row {kind}, text string, n_lines long, n_dropped long")
+    out = rows.mapInArrow(apply, f"row {kind}, text string, n_lines long, n_dropped long, n_recurring long")
     named = [F.col("text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in documents.columns]
-    return out.select(*named, F.col("n_lines"), F.col("n_dropped"))
+    return out.select(*named, F.col("n_lines"), F.col("n_dropped"), F.col("n_recurring"))
