@@ -29,3 +29,26 @@ def test_pipeline_empties_texts_of_recurring_lines_only(spark):
     got = {r.doc_id: r for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
     assert len(got) == len(texts) and (got[2].text, got[2].n_chars) == ("", 0)
     assert got[3].text == got[4].text == one and got[5].text is None and got[6].text == ""
+
+
+def test_variants_of_a_frequent_line_go(spark):
+    def name(i):
+        return "".join(chr(97 + int(d)) for d in f"{i:04d}")
+
+    same = "This post was written by nobody yesterday"
+    rows = [(i, f"{prose(60)}\n{same}") for i in range(200)]
+    rows += [(200 + i, f"{prose(60)}\nThis post was removed from {name(i)} today") for i in range(20)]  # a tenth of the leaf
+    rows += [(300, f"{prose(60)}\nThis post was written by somebody yesterday")]  # one variant of a line that recurs
+    rows += [(301, f"{prose(60)}\nThis post was never shown anywhere else")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in templates.drop_recurring_lines(frame).collect()}
+    assert all(got[i] == 1 for i in range(220)) and got[300] == 1 and got[301] == 0
+
+
+def test_templates_alike_where_tokens_are_joined(spark, monkeypatch):
+    rows = [(i, f"{prose(60)}\nall the same words by {'abcdefghijkl'[i]} here\n{prose(9)}") for i in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    one = sorted(templates.drop_recurring_lines(frame).collect())
+    assert all(r.n_dropped == 1 for r in one)
+    monkeypatch.setattr(templates, "SMALL_ROWS", 2)
+    assert sorted(templates.drop_recurring_lines(frame).collect()) == one

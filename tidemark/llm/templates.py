@@ -1,8 +1,9 @@
 """Line dedup by a fixed-depth template tree.
 
 A line goes down the tree by its number of tokens, then by its leading tokens; a token with a digit is a variable field and takes the
-wildcard branch. Within a leaf, a place whose tokens vary is generalised as well: a token stays in the template only if it is common enough
-at its place in the leaf. Lines whose template recurs in enough documents are dropped.
+wildcard branch. Within a leaf, places whose tokens vary are generalised as well: the template of a line is the half of its tokens that are the
+most frequent ones at their places in the leaf, so families of lines in one leaf have templates of their own, however rare they are in it.
+Lines whose template recurs in enough documents are dropped.
 
 The tree has no nodes to build: a leaf is the hash of its path. Only lines of leaves that recur are looked at further, and token counts of
 a leaf are merged before they are shuffled, so a leaf that holds a third of all lines is no single task's work.
@@ -15,16 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import SMALL_ROWS, batch_of, prepared, stored
+from tidemark.llm.words import mix
 
 DEPTH = 3  # leading tokens of a path
 MIN_DOCS = 3  # documents a template must occur in to be dropped
 LONG_WORDS, LONG_DOCS = 50, 2  # a line of more words is a passage, which recurs from so many documents on
-SHARE = 0.2  # of a leaf's documents, for a token to be constant at its place
-CONSTANT = 0.5  # share of a template's places that must be constant
+CONSTANT = 0.5  # share of a line's places that its template holds constant
 _FIELD = re.compile(r"\S*\d\S*")
 WILD = "<*>"
 _DIGIT = re.compile(r"\d")
@@ -82,24 +84,66 @@ def recurring_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     # copies of a line are one row with a count from here on
     counted = texts.mapInArrow(_lines, "leaf long, h long, passage boolean").groupBy("leaf", "h").agg(F.count("*").alias("docs"), F.max("passage").alias("passage"))
     counted = stored(counted.withColumn("least", F.when(F.col("passage"), min(LONG_DOCS, min_docs)).otherwise(min_docs)).drop("passage"), "template-lines")
-    leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.max("least").alias("leaf_least")).where("leaf_docs >= leaf_least")
-    rows = counted.where("docs < least").join(leaves, "leaf").select("leaf", "h", "docs", "least", "leaf_docs")
-    rows = stored(rows, "template-leaves")
+    # of leaves with rarer lines, all lines: the frequent ones are few distinct rows, and weigh by their documents
+    leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.max("least").alias("leaf_least"), F.min("docs").alias("rarest"))
+    leaves = leaves.where("leaf_docs >= leaf_least AND rarest < leaf_least").select("leaf")
+    rows = stored(counted.join(leaves, "leaf"), "template-leaves")
     wanted = None
     if rows.count() <= SMALL_ROWS:
         wanted = spark.sparkContext.broadcast(frozenset(rows.select("h").toArrow()["h"].to_pylist()))
     lines = texts.mapInArrow(_texts(wanted), "h long, line string").groupBy("h").agg(F.min("line").alias("line"))
-    rows = stored(rows.join(lines, "h").selectExpr("leaf", "h", "docs", "least", "leaf_docs", "split(line, ' ') AS tokens"), "template-tokens")
-    tokens = rows.selectExpr("leaf", "leaf_docs", "least", "docs", "posexplode(tokens) AS (place, token)")
-    common = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n"), F.first("leaf_docs").alias("leaf_docs"), F.first("least").alias("least"))
-    common = common.where((F.col("n") >= F.col("least")) & (F.col("n") >= SHARE * F.col("leaf_docs")) & (F.col("token") != WILD))
-    leaf_tokens = common.groupBy("leaf").agg(F.collect_set(F.struct("place", "token")).alias("constant"))  # at most 1 / SHARE for each place
-    fixed = f"transform(tokens, (t, i) -> CASE WHEN array_contains(constant, struct(i AS place, t AS token)) THEN t ELSE '{WILD}' END)"
-    template = rows.join(leaf_tokens, "leaf").selectExpr("leaf", "h", "docs", "least", f"{fixed} AS template")
-    template = template.where(f"size(filter(template, t -> t <> '{WILD}')) >= {CONSTANT} * size(template)").selectExpr("h", "docs", "least", "xxhash64(leaf, template) AS template")
-    template = stored(template, "templates")
+    rows = rows.join(lines, "h").selectExpr("leaf", "h", "docs", "least", "split(line, ' ') AS tokens")
+    # a token at its place in a leaf is a number; a variable field has none
+    numbers = f"filter(transform(tokens, (t, i) -> CASE WHEN t <> '{WILD}' THEN xxhash64(leaf, i, t) END), k -> k IS NOT NULL)"
+    rows = stored(rows.selectExpr("h", "docs", "least", f"cast(ceil({CONSTANT} * size(tokens)) AS int) AS need", f"{numbers} AS tokens").where("size(tokens) >= need"), "template-tokens")
+    common = rows.selectExpr("docs", "least", "explode(tokens) AS token").groupBy("token").agg(F.sum("docs").alias("n"), F.max("least").alias("least"))
+    common = stored(common.where("n >= least").select("token", "n"), "template-common")
+    template = stored(_templates(rows, common), "templates")
     frequent = template.groupBy("template").agg(F.sum("docs").alias("n"), F.max("least").alias("least")).where("n >= least").select("template")
-    return template.join(frequent, "template").select("h").unionAll(counted.where("docs >= least").select("h"))
+    return template.where("docs < least").join(frequent, "template").select("h").unionAll(counted.where("docs >= least").select("h"))
+
+
+def _templates(rows: DataFrame, common: DataFrame) -> DataFrame:
+    """(h, docs, least, template) of the lines that have enough common tokens; the most frequent tokens are broadcast, others come by a join."""
+    top = common if common.count() <= SMALL_ROWS else common.orderBy(F.desc("n"), "token").limit(SMALL_ROWS)
+    top = top.toArrow()
+    token, n = top["token"].to_numpy(), top["n"].to_numpy()
+    order = np.argsort(token)
+    shared = rows.sparkSession.sparkContext.broadcast((token[order], n[order]))
+    rows = rows.withColumn("more", F.lit(None).cast("map<long, long>"))
+    if common.count() > SMALL_ROWS:
+        rare = common.where(F.col("n") <= int(n.min()))  # none of these is in many lines
+        own = rows.select("h", F.explode("tokens").alias("token")).join(rare, "token").groupBy("h").agg(F.map_from_entries(F.collect_set(F.struct("token", "n"))).alias("own"))
+        rows = rows.join(own, "h", "left").withColumn("more", F.col("own")).drop("own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("h", pa.int64()), ("docs", pa.int64()), ("least", pa.int32()), ("template", pa.int64())])
+        known, weight = shared.value
+        for batch in batches:
+            tokens, need = batch.column(3), batch.column(4).to_numpy()
+            sizes = pa.compute.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, line = tokens.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), sizes)
+            times = np.zeros(len(flat), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                times = np.where(known[at] == flat, weight[at], 0)
+            begin = np.cumsum(sizes) - sizes
+            for d, more in enumerate(batch.column(5).to_pylist() if batch.column(5).null_count < batch.num_rows else ()):
+                if more:
+                    more = dict(more)
+                    own = slice(begin[d], begin[d] + sizes[d])
+                    times[own] = [max(t, more.get(k, 0)) for k, t in zip(flat[own].tolist(), times[own].tolist())]
+            # by line, the most frequent tokens first, equal ones by place
+            order = np.lexsort((np.arange(len(flat)), -times, line))
+            rank = np.arange(len(flat)) - begin[line]
+            chosen = order[rank < need[line]]
+            enough = np.bincount(line[chosen], times[chosen] > 0, batch.num_rows) == need
+            total = np.zeros(batch.num_rows, np.uint64)
+            np.add.at(total, line[chosen], mix(flat[chosen].view(np.uint64)))
+            keep = np.flatnonzero(enough)
+            yield batch_of(schema, *(batch.column(c).take(pa.array(keep)) for c in range(3)), total.view(np.int64)[keep])
+
+    return rows.select("h", "docs", F.col("least").cast("int").alias("least"), "tokens", "need", "more").mapInArrow(run, "h long, docs long, least int, template long")
 
 
 _OUT = pa.schema([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("n_recurring", pa.int64())])
