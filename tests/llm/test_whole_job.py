@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tidemark.llm import templates
+from tidemark.llm import templates, toxicity
 
 RANDOM = random.Random(11)
 VOCABULARY = ["".join(RANDOM.choice("abcdeé") for _ in range(RANDOM.randint(2, 7))) for _ in range(2_000)]
@@ -52,3 +52,21 @@ def test_templates_alike_where_tokens_are_joined(spark, monkeypatch):
     assert all(r.n_dropped == 1 for r in one)
     monkeypatch.setattr(templates, "SMALL_ROWS", 2)
     assert sorted(templates.drop_recurring_lines(frame).collect()) == one
+
+
+def test_toxic_near_copies_of_clean_texts_are_witnesses(spark, monkeypatch):
+    shared = prose(1_000)
+    rows = [(i, f"{shared} {prose(5)}{' nasty vile' if i % 4 == 0 else ''}") for i in range(240)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int")
+    got = sorted(toxicity.toxicity(frame, labels).collect())
+    assert all(r.predicted == int(r.doc_id % 4 == 0) for r in got)
+    monkeypatch.setattr(toxicity, "LEXICON", 2)  # too many to broadcast: mapped
+    assert sorted(toxicity.toxicity(frame, labels).collect()) == got
+
+
+def test_exact_copies_with_both_labels_stay(spark):
+    rows = [(i, f"{prose(50)}{' nasty vile' if i < 40 else ''}") for i in range(160)] + [(160 + i, f"alike {'nasty vile ' * 3}text") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(frame, spark.createDataFrame([(i, int(i < 40 or i >= 180)) for i in range(200)], "doc_id long, toxic int"))
+    assert len(model.hashes) and model.slope > 0

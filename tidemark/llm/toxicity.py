@@ -12,19 +12,23 @@ logarithm of one more than the sum of s - ln(K n) over its significant segments,
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import SMALL_ROWS, batch_of, prepared, stored
-from tidemark.llm.words import PUNCTUATION, blocks, find_words, mix, prefixes, sequences
+from tidemark.llm.common import SMALL_ROWS, batch_of, prepared, stored, whole_groups
+from tidemark.llm.kneser_ney import _save
+from tidemark.llm.words import PUNCTUATION, blocks, find_words, prefixes
+from tidemark.session import scratch_dir
 
 PRIOR = 0.02  # weight of the Dirichlet prior against the counts: a token is expected in either class by its overall share
 Z, LEAST = 5.0, 1.0  # signed root of the likelihood ratio statistic, and log-odds, from which a token counts
-LEXICON = 100_000  # size of the model: tokens with the most significant log-odds
+LEXICON = 100_000  # tokens of a model that is broadcast; a larger one is mapped from the shared folder
 BIN = 1 / 32  # width of the evidence classes that the calibration counts
 STEMS = (4, 5, 6, 7, 8)  # bytes of a word's beginning that are tokens too, for words that toxic texts inflect
 MAX_BINS = 1_000  # evidence above BIN * MAX_BINS is one class
@@ -39,6 +43,35 @@ class Model:
     log_k: float = 0.0
     slope: float = 1.0
     middle: float = 0.0
+    folder: str = ""  # of the arrays, where the tokens are too many to broadcast
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Significance and score of tokens, zeros of those that aren't listed."""
+        if not self.folder:
+            return _looked_up(h, self.hashes, np.stack([self.z, self.scores], 1))
+        h, back = np.unique(h, return_inverse=True)
+        out = np.zeros((2, len(h)))
+        cut = np.searchsorted(h >> np.uint64(56), np.arange(257))
+        for shard in np.flatnonzero(np.diff(cut)):
+            tokens = _mapped(f"{self.folder}/tokens-{shard}.npy")
+            if tokens is not None:
+                own = slice(cut[shard], cut[shard + 1])
+                out[:, own] = _looked_up(h[own], tokens, _mapped(f"{self.folder}/values-{shard}.npy"))
+        return out[0][back], out[1][back]
+
+
+@lru_cache(maxsize=2 * 256)
+def _mapped(path: str):
+    return np.load(path, mmap_mode="r") if os.path.exists(path) else None
+
+
+def _looked_up(h: np.ndarray, tokens: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    out = np.zeros((2, len(h)))
+    if len(tokens):
+        at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
+        hit = np.flatnonzero(tokens[at] == h)
+        out[:, hit] = values[at[hit]].T
+    return out[0], out[1]
 
 
 def maximal_segments(places, scores, other: float) -> list[tuple[int, int, float]]:
@@ -68,17 +101,21 @@ def maximal_segments(places, scores, other: float) -> list[tuple[int, int, float
     return [(b, e, hi - lo) for b, e, lo, hi in zip(begin, end, low, high)]
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with a signature that near copies share as a rule: their four smallest hashes of three words."""
-    schema = pa.schema([("copy", pa.int64()), ("text", pa.string()), ("toxic", pa.float64())])
-    for batch in batches:
-        copy = np.zeros(batch.num_rows, np.int64)
-        for low, high, offsets, data in blocks(batch.column(0)):
-            words = find_words(data, offsets, PUNCTUATION)
-            runs, begin = sequences(words.hashes, words.first, 3)
-            for d in range(high - low):
-                copy[low + d] = mix(np.unique(runs[begin[d] : begin[d + 1]])[:4].sum(keepdims=True)).view(np.int64)[0]
-        yield batch_of(schema, copy, batch.column(0), batch.column(1))
+def _shards(folder: str):
+    """Writes the listed tokens of each shard as sorted arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "shard"):
+            shards, h = table["shard"].to_numpy(), table["h"].to_numpy().view(np.uint64)
+            values = np.stack([table["z"].to_numpy(), table["delta"].to_numpy()], 1)
+            for shard in np.unique(shards):
+                own = np.flatnonzero(shards == shard)
+                own = own[np.argsort(h[own])]
+                _save(folder, f"values-{shard}", values[own])
+                _save(folder, f"tokens-{shard}", h[own])
+                yield batch_of(pa.schema([("n", pa.int64())]), [len(own)])
+
+    return run
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,14 +141,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _hits(data: np.ndarray, words, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Word places with a listed token, and the scores of their most significant one."""
-    n, size = len(words.hashes), len(model.hashes)
+    n = len(words.hashes)
     best, scores = np.zeros(n), np.zeros(n)
-    for h, own in [(words.hashes, np.arange(n)), *(prefixes(data, words, k) for k in STEMS)] if size and n else []:
-        at = np.minimum(np.searchsorted(model.hashes, h), size - 1)
-        hit = np.flatnonzero(model.hashes[at] == h)
-        at, own = at[hit], own[hit]
-        better = model.z[at] > best[own]
-        best[own[better]], scores[own[better]] = model.z[at[better]], model.scores[at[better]]
+    for h, own in [(words.hashes, np.arange(n)), *(prefixes(data, words, k) for k in STEMS)] if n and (model.folder or len(model.hashes)) else []:
+        z, found = model.find(h)
+        better = z > best[own]
+        best[own[better]], scores[own[better]] = z[better], found[better]
     hit = np.flatnonzero(best)
     return hit, scores[hit]
 
@@ -146,11 +181,13 @@ def _training(documents: DataFrame, labels: DataFrame, folds: int, fold: int) ->
 
 
 def fit(documents: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> Model:
-    """A model from every labelled document outside ``fold``. The driver gets the lexicon and counts by evidence class only."""
+    """A model from every labelled document outside ``fold``; exact copies of a text with one label weigh as one, near copies in full.
+
+    The driver gets a lexicon of up to ``LEXICON`` tokens and counts by evidence class only.
+    """
     spark = prepared(documents)
-    train = _training(documents, labels, folds, fold).mapInArrow(_signed, "copy long, text string, toxic double")
-    # copies of a text are one witness
-    train = stored(train.groupBy("copy").agg(F.min(F.struct("text", "toxic")).alias("one")).select("one.text", "one.toxic"), "toxicity-training")
+    train = _training(documents, labels, folds, fold)
+    train = stored(train.groupBy(F.xxhash64("text").alias("copy"), "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "toxicity-training")
     names = ("toxic", "clean", "toxic_all", "clean_all")  # texts with the token, and occurrences
     counts = train.mapInArrow(_counts, ", ".join(["h long", *(f"{c} long" for c in names)])).groupBy("h").agg(*(F.sum(c).alias(c) for c in names))
     counts = stored(counts, "toxicity-counts")
@@ -163,10 +200,19 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0)
         prior = f"{PRIOR} * (toxic_all + clean_all)"
         odds = odds.where(f"z >= {Z}").withColumn("t", F.expr(f"toxic_all + {all1 / (all1 + all0)} * {prior}")).withColumn("c", F.expr(f"clean_all + {all0 / (all1 + all0)} * {prior}"))
         odds = odds.withColumn("delta", F.expr(f"ln(t / ({all1 * (1 + PRIOR)} - t)) - ln(c / ({all0 * (1 + PRIOR)} - c))")).where(f"delta >= {LEAST}")
-        best = odds.orderBy(F.desc("z"), "h").limit(LEXICON).select("h", "delta", "z").toArrow()
-        h, delta, z = (best[c].to_numpy() for c in ("h", "delta", "z"))
-        order = np.argsort(h.view(np.uint64))
-        model = Model(h.view(np.uint64)[order], delta[order], z[order], -0.01)
+        odds = stored(odds.select("h", "delta", "z"), "toxicity-lexicon")
+        if odds.count() <= LEXICON:
+            best = odds.toArrow()
+            h, delta, z = (best[c].to_numpy() for c in ("h", "delta", "z"))
+            order = np.argsort(h.view(np.uint64))
+            model = Model(h.view(np.uint64)[order], delta[order], z[order], -0.01)
+        else:
+            path = scratch_dir(spark, "toxicity-tokens")
+            if "://" in path and not path.startswith("file://"):
+                raise RuntimeError("spark.checkpoint.dir must be a folder that is mounted on the workers: arrays are mapped from it")
+            model.folder = path.removeprefix("file://").removeprefix("file:")
+            shards = odds.withColumn("shard", F.shiftrightunsigned("h", 56).cast("int")).repartition("shard").sortWithinPartitions("shard")
+            shards.mapInArrow(_shards(model.folder), "n long").agg(F.sum("n")).first()
     shared = spark.sparkContext.broadcast(model)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
