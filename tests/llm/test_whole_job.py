@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tidemark.llm import templates, toxicity
+from tidemark.llm import outliers, templates, toxicity
 
 RANDOM = random.Random(11)
 VOCABULARY = ["".join(RANDOM.choice("abcdeé") for _ in range(RANDOM.randint(2, 7))) for _ in range(2_000)]
@@ -70,3 +70,16 @@ def test_exact_copies_with_both_labels_stay(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.fit(frame, spark.createDataFrame([(i, int(i < 40 or i >= 180)) for i in range(200)], "doc_id long, toxic int"))
     assert len(model.hashes) and model.slope > 0
+
+
+def test_each_statistic_rejects_by_itself(spark):
+    lines = "\n".join(f"{prose(40)}\nShare\nShare\nShare" for _ in range(10))
+    words = prose(100).split()
+    symbols = " ".join(w + "#" * (i % 10 < 3) for i, w in enumerate(words))
+    again = prose(45)
+    planted = {"lines": lines, "symbols": symbols, "windows": f"{prose(110)} {again} {prose(10)} {again}"}
+    rows = [(f"good {i}", prose(100), "en", "s") for i in range(150)] + [(f"few {i}", prose(100), "de", "t") for i in range(20)]
+    rows += [(f"{name} {lang}", text, lang, source) for name, text in planted.items() for lang, source in (("en", "s"), ("de", "t"))]
+    got = {r.doc_id: r for r in outliers.outliers(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")).collect()}
+    for name, r in got.items():
+        assert not r.base_failed and r.kept == name.startswith(("good", "few")), name

@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.common import SMALL_ROWS, stored
 
 D = 4
-FLOORS = (0.08, 0.35, 0.35, 0.35)  # least deviation of each transformed statistic that is told apart
+FLOORS = (0.08, 0.304, 0.24, 0.179)  # least deviation of each transformed statistic that is told apart: of the last three a tenth of the range
 MIN_GROUP = 60
 STEPS = 4
-MEDIAN, INNER, OUTER = 3.357, 11.143, 40.0  # of the chi-squared law of four degrees: half, 0.975, and beyond 1 - 1e-7
+MEDIAN, INNER, OUTER = 3.357, 11.143, 23.513  # of the chi-squared law of four degrees: half, 0.975, and 0.9999, so that one normal row in 10,000 is rejected
+NARROWED = 1.0645  # 0.975 by the share of the law of six degrees below INNER: what the reweighted covariance lacks
 WHITE = r"\x20\x09-\x0D"
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 
@@ -83,7 +84,7 @@ def _plan(half: str) -> list[tuple[str, str]]:
         if not last:
             out += [(f"fit{k + 1}", f"SELECT g, x0, x1, x2, x3, {place('d2')} AS d FROM ({_distances('member', f'factor{k}', 'g, x0, x1, x2, x3')}) a")]
     final = _distances("(SELECT *, own_g AS g FROM grouped) b", f"factor{STEPS}", "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words")
-    out += [("judged", f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, false AS base_failed, d2 <= {OUTER} AS kept FROM ({final}) a")]
+    out += [("judged", f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, false AS base_failed, d2 <= {OUTER * NARROWED:.3f} AS kept FROM ({final}) a")]
     return out
 
 
