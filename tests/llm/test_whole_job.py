@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tidemark.llm import outliers, templates, toxicity
+from tidemark.llm import licenses, outliers, templates, toxicity
 
 RANDOM = random.Random(11)
 VOCABULARY = ["".join(RANDOM.choice("abcdeé") for _ in range(RANDOM.randint(2, 7))) for _ in range(2_000)]
@@ -83,3 +83,21 @@ def test_each_statistic_rejects_by_itself(spark):
     got = {r.doc_id: r for r in outliers.outliers(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")).collect()}
     for name, r in got.items():
         assert not r.base_failed and r.kept == name.startswith(("good", "few")), name
+
+
+def test_real_notices(spark):
+    mit = (
+        "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal "
+        "in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+        "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission "
+        "notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND."
+    )
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."
+    gnu = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    want = {
+        "MIT": mit, "MPL-2.0": mpl, "GPL-2": gnu.format("program", ";", "", ";", 2), "GPL-3": gnu.format("program", ":", "", ",", 3),
+        "LGPL-2.1": gnu.format("library", ";", "Lesser ", ";", 2.1), "AGPL-3": gnu.format("program", ":", "Affero ", ",", 3),
+        "ISC": "Released" + " " * 5_000 + "under the ISC License.",
+    }
+    rows = spark.createDataFrame(list(want.items()), "doc_id string, text string")
+    assert {r.doc_id: r.licences for r in licenses.licences(rows).collect()} == {name: [name] for name in want}

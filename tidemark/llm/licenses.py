@@ -14,6 +14,7 @@ _NOTICES = {
     "MIT": [
         ["released under the mit license"], ["licensed under the mit license"], ["this software is released under the mit license"],
         ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
+        ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
     ],
     "Apache-2.0": [
         ["licensed under the apache license version 2.0"], ["released under the apache license version 2.0"],
@@ -26,11 +27,12 @@ _NOTICES = {
     "BSD-2-Clause": [
         ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
     ],
-    "MPL-2.0": [["this source code form is subject to the terms of the mozilla public license v 2.0"], ["licensed under the mozilla public license version 2.0"]],
+    "MPL-2.0": [["this source code form is subject to the terms of the mozilla public license v"], ["this source code form is subject to the terms of the mozilla public license v 2.0"], ["licensed under the mozilla public license version 2.0"]],
     "ISC": [["released under the isc license"], ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"]],
     "Proprietary": [["all rights reserved"]],
 }
 _CREATIVE = ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
+_TERMS, _LATER = "you can redistribute it and or modify it under the terms of the", "of the license or at your option any later version"
 _GNU = (("GPL", "gnu general public license"), ("LGPL", "gnu lesser general public license"), ("AGPL", "gnu affero general public license"))
 
 
@@ -44,6 +46,10 @@ def rules() -> list[tuple[str, list[str]]]:
     for short, long in _GNU:
         for version in ("2", "2.1", "3"):
             out += [(f"{short}-{version}", [f"{verb} the {long} version {version}"]) for verb in ("licensed under", "released under", "this work is licensed under", "distributed under")]
+            # 'This program is free software' stands before a colon or semicolon; the version after a comma or a semicolon
+            terms = f"{_TERMS} {long} as published by the free software foundation"
+            out += [(f"{short}-{version}", [f"{terms} either version {version} {_LATER}"]), (f"{short}-{version}", [terms, f"either version {version} {_LATER}"])]
+            out += [(f"{short}-{version}", [f"{_TERMS} {long} version {version} as published by the free software foundation"])]
     return out
 
 
@@ -69,10 +75,9 @@ def licences(documents: DataFrame) -> DataFrame:
     sentences, patterns = _tables()  # fixed tables of a few hundred rows
     known = spark.createDataFrame([(0, "\u0001"), *sentences], "sentence int, normal string")
     rule = spark.createDataFrame(patterns, "rule int, licence string, ids array<int>").withColumn("head", F.expr("ids[0]"))
-    least, most = (f(len(s) for _, s in sentences) for f in (min, max))
     rows = documents.selectExpr("doc_id", "xxhash64(text) AS sig", f"split(coalesce(text, ''), '{SPLIT}') AS parts")
     # place 0 holds a mark, so that texts without a licence stay
-    rows = rows.selectExpr("doc_id", "sig", "posexplode(concat(array('\u0001'), parts)) AS (place, part)").where(f"place = 0 OR length(part) BETWEEN {least} AND {3 * most}")
+    rows = rows.selectExpr("doc_id", "sig", "posexplode(concat(array('\u0001'), parts)) AS (place, part)")
     rows = rows.selectExpr("doc_id", "sig", "place", f"CASE WHEN place = 0 THEN part ELSE {_normal('part')} END AS normal")
     found = rows.join(F.broadcast(known), "normal").where("(place = 0) = (sentence = 0)")
     found = found.groupBy("doc_id", "sig").agg(F.expr("count_if(sentence = 0)").alias("copies"), F.expr("transform(array_sort(collect_set(CASE WHEN sentence > 0 THEN struct(place, sentence) END)), s -> s.sentence)").alias("ids"))
