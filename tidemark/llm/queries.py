@@ -15,6 +15,7 @@ from tidemark.llm.outliers import outliers, outliers_sql
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import KINDS, personal_data, spans_text
 from tidemark.llm.revisit import resolved_pages, resolved_pages_sql
+from tidemark.llm.substrings import drop_repeated_windows, repeated_windows_sql
 from tidemark.llm.templates import drop_recurring_lines
 from tidemark.llm.toxicity import toxicity
 
@@ -88,3 +89,9 @@ def sentence_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_recurring_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op13_cover_anchors", repeated_windows_sql())
+def cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_repeated_windows(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

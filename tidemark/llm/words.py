@@ -67,15 +67,15 @@ class Words:
         return np.diff(self.first)
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, offsets, bytes) of runs of rows; a null text is empty."""
+def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, offsets, bytes) of runs of rows of at most ``size`` bytes or one row; a null text is empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_binary())
     n = len(texts)
     places = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(places, places[at] + BLOCK, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(places, places[at] + size, "right")) - 1)
         to = min(to, n)
         yield at, to, places[at : to + 1] - places[at], data[places[at] : places[to]]
         at = to
