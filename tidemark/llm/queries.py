@@ -14,10 +14,12 @@ from tidemark.llm.licenses import licences, licences_sql
 from tidemark.llm.outliers import outliers, outliers_sql
 from tidemark.llm.packing import pack
 from tidemark.llm.pii import KINDS, personal_data, spans_text
+from tidemark.llm.resampling import importance_scores, importance_sql
 from tidemark.llm.revisit import resolved_pages, resolved_pages_sql
 from tidemark.llm.substrings import drop_repeated_windows, repeated_windows_sql
 from tidemark.llm.templates import drop_recurring_lines
 from tidemark.llm.toxicity import toxicity
+from tidemark.llm.tries import prefix_trie, prefix_trie_sql
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -91,6 +93,16 @@ def line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+@query("op11_prefix_crc_resampling", importance_sql())
+def prefix_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_scores(documents(spark, sf_dir).select("doc_id", "text"), documents(spark, sf_dir, "benchmark"))
+
+
+@query("op12_ternary_trie", prefix_trie_sql())
+def ternary_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(documents(spark, sf_dir, "conversations"))
+
+
 @query("op13_cover_anchors", repeated_windows_sql())
 def cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeated_windows(documents(spark, sf_dir).select("doc_id", "text"))
