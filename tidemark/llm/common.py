@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from tidemark.session import scratch_dir, ship_package
 
@@ -25,6 +26,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_schema(df: DataFrame, more: str) -> StructType:
+    """The struct column ``row`` of ``df``, whatever its fields are called, then the columns that ``more`` declares."""
+    return StructType([df.schema["row"], *StructType.fromDDL(more).fields])
+
+
 def prepared(df: DataFrame) -> SparkSession:
     ship_package(df.sparkSession)
     return df.sparkSession

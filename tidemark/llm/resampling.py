@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.common import prepared, stored
+from tidemark.llm.common import prepared, row_schema, stored
 from tidemark.llm.words import PUNCTUATION, blocks
 
 ORDER, BUCKETS, PERCENT, MIN_WORDS, SEED = 1, 10_000, 10, 20, 2024
@@ -132,8 +132,7 @@ def _features(order: int, buckets: int):
 
 def features(rows: DataFrame, order: int = ORDER, buckets: int = BUCKETS) -> DataFrame:
     """(row, n_words, features) of (row, text): buckets of all n-grams, repeats included."""
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_features(order, buckets), f"row {kind}, n_words long, features array<int>")
+    return rows.mapInArrow(_features(order, buckets), row_schema(rows, "n_words long, features array<int>"))
 
 
 def bucket_counts(found: DataFrame, buckets: int) -> np.ndarray:
@@ -217,8 +216,7 @@ def importance_scores(documents: DataFrame, target: DataFrame, order: int = ORDE
     found = stored(features(rows, order, buckets), "resampling-features")
     wanted = features(target.select(F.struct(F.lit(0).alias("none")).alias("row"), "text"), order, buckets)
     shared = spark.sparkContext.broadcast(gains(bucket_counts(found, buckets), bucket_counts(wanted, buckets)))
-    kind = rows.schema["row"].dataType.simpleString()
-    out = found.mapInArrow(_weights(shared), f"row {kind}, n_words long, n_features long, weight long")
+    out = found.mapInArrow(_weights(shared), row_schema(rows, "n_words long, n_features long, weight long"))
     h = f"conv(substring(sha2(concat('{seed}:', coalesce(cast(row.doc_id AS string), '')), 256), 1, 8), 16, 10)"
     noise = F.expr(f"floor(-1000 * ln(-ln((cast({h} AS double) + 0.5D) / 4294967296D)))")
     out = stored(out.withColumn("score", F.col("weight") + noise).withColumn("seq", F.monotonically_increasing_id()), "resampling-scores")

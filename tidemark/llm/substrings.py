@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.common import batch_of, prepared, stored
+from tidemark.llm.common import batch_of, prepared, row_schema, stored
 from tidemark.llm.words import MULTIPLIER, blocks, find_words, mix
 
 WINDOW = 50
@@ -252,8 +252,7 @@ def drop_repeated_windows(documents: DataFrame, window: int = WINDOW) -> DataFra
     kept = documents.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("sig", F.xxhash64("text"))
     gone = removed_starts(kept.where("text IS NOT NULL AND doc_id IS NOT NULL"), window)
     joined = kept.join(gone.withColumnRenamed("sig", "own"), (F.col("doc_id") == F.col("doc")) & (F.col("sig") == F.col("own")), "left").select("row", "text", "runs")
-    kind = kept.schema["row"].dataType.simpleString()
-    out = joined.mapInArrow(_without_windows(window), f"row {kind}, text string, n_words long, n_removed long")
+    out = joined.mapInArrow(_without_windows(window), row_schema(kept, "text string, n_words long, n_removed long"))
     named = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in documents.columns if c in others or c == "text"]
     return out.select(*named, "n_words", "n_removed")
 

@@ -220,7 +220,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_NODES.values())], names=list(_NODES))
 
 
-def _merge(last: bool):
+def _merge(last: bool, fan: int):
     """Boundary nodes of neighbouring shards as those of one; ``last`` finishes them all."""
 
     def merged(rows: list[tuple]) -> list[tuple]:
@@ -243,7 +243,7 @@ def _merge(last: bool):
         out = []
         for key, x in sorted(nodes.items(), key=lambda item: -item[1]["depth"]):
             if not last and (x["on_first"] or x["on_last"]):
-                out.append(tuple(x[c] if c != "shard" else low // FAN for c in names))
+                out.append(tuple(x[c] if c != "shard" else low // fan for c in names))
                 continue
             x["saved"] += (x["n"] - 1) * x["len"]
             x["leaves"] = x["leaves"] if x["children"] else 1
@@ -262,7 +262,7 @@ def _merge(last: bool):
     return run
 
 
-def prefix_trie(conversations: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
+def prefix_trie(conversations: DataFrame, shard_turns: int = SHARD_TURNS, fan: int = FAN) -> DataFrame:
     """One row per node: ``conv_id``, ``depth``, ``parent_conv_id``, ``n_convs``, ``n_children``, ``n_leaves``, ``saved_tokens``, ``ends_sha256``.
 
     Turns are ordered by ``turn``, nulls first, equal ones in a fixed order by hashes of role and text; repeated rows are turns of their own. Null
@@ -276,7 +276,7 @@ def prefix_trie(conversations: DataFrame, shard_turns: int = SHARD_TURNS) -> Dat
     found = stored(dealt.mapInArrow(_shards, NODES), "trie-nodes")
     nodes, edge, above = found.where("shard IS NULL"), found.where("shard IS NOT NULL"), None
     while (most := edge.agg(F.max("shard")).first()[0]) is not None:
-        got = stored(edge.groupBy(F.expr(f"shard DIV {FAN}")).applyInArrow(_merge(most < FAN), NODES), "trie-boundary")
+        got = stored(edge.groupBy(F.expr(f"shard DIV {fan}")).applyInArrow(_merge(most < fan, fan), NODES), "trie-boundary")
         finished, edge = got.where("shard IS NULL"), got.where("shard IS NOT NULL")
         named = finished.selectExpr("k1 AS above1", "k2 AS above2", "conv AS above_conv")
         nodes, above = nodes.unionAll(finished), named if above is None else above.unionAll(named)
