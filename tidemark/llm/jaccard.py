@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import SMALL_ROWS, batch_of, prepared, stored, whole_groups
@@ -39,6 +40,9 @@ TILE = 1024  # rows of a column multiplied together
 BROAD = 64  # classes of a column from which its pairs are first held against bitmaps
 BITS = 2048  # of a bitmap
 SLOTS = 16  # classes of broad columns, of which a set carries its least one each
+BLOCK = 1 << 19  # bytes of text whose words are found together
+ITEMS = 1 << 18  # cells or pairs that a task holds before it hands them on
+SEEN = 1 << 16  # sets that a task remembers, to skip copies; more are met again, which only costs rows
 
 _LISTS = pa.schema([("kind", pa.int8()), ("h", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("at", pa.int64())])
 _LISTS_DDL = "kind byte, h long, key long, n int, at long"
@@ -46,7 +50,7 @@ _LISTS_DDL = "kind byte, h long, key long, n int, at long"
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of every text."""
-    for low, high, offsets, data in blocks(texts):
+    for low, high, offsets, data in blocks(texts, BLOCK):
         words = find_words(data, offsets, SPACES)
         runs, begin = sequences(words.hashes, words.first, width)
         for d in range(high - low):
@@ -69,37 +73,48 @@ def _frequent(width: int):
         held, size, seen = [], 0, set()
 
         def flush():
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            return batch_of(schema, h[c > 2].view(np.int64), c[c > 2])
+            h = np.concatenate(held)
+            held.clear()
+            h.sort()
+            begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            c = np.diff(np.concatenate((begin, [len(h)])))
+            return batch_of(schema, h[begin[c > 1]].view(np.int64), c[c > 1])
 
         for batch in batches:
             for _, items in shingle_sets(batch.column(0), width):
                 if not len(items) or (key := set_key(items)) in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(key)
                 held.append(items)
                 size += len(items)
                 if size > BLOCK_ITEMS:
                     yield flush()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield flush()
 
     return count
 
 
-BLOCK_ITEMS = 1 << 22
+BLOCK_ITEMS = 1 << 21
 
 
 def _columns(width: int, percent: int, frequent):
     """Leading columns (kind 0) and documents (kind 1), both dealt by ``h``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late, seen = frequent.value, set()
+        late, seen, spread = frequent.value, set(), 0
         schema = _LISTS
+
+        def leading():
+            total = sum(map(len, h))
+            return batch_of(schema, np.zeros(total, np.int8), np.concatenate(h), np.concatenate(key), np.concatenate(n), np.concatenate(at))
+
         for batch in batches:
             ids = batch.column(0)
-            h, key, n, at, kind = [], [], [], [], []
+            h, key, n, at, held = [], [], [], [], 0
             doc_key, doc_n = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int32)
             for row, items in shingle_sets(batch.column(1), width):
                 size = doc_n[row] = len(items)
@@ -108,6 +123,8 @@ def _columns(width: int, percent: int, frequent):
                 own = doc_key[row] = set_key(items)
                 if own in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(own)
                 if len(late):
                     place = np.minimum(np.searchsorted(late, items), len(late) - 1)
@@ -118,13 +135,17 @@ def _columns(width: int, percent: int, frequent):
                 key.append(np.full(len(lead), own))
                 n.append(np.full(len(lead), size, np.int32))
                 at.append(np.arange(len(lead)))
+                held += len(lead)
+                if held > ITEMS:
+                    yield leading()
+                    h, key, n, at, held = [], [], [], [], 0
             if h:
-                total = sum(map(len, h))
-                yield batch_of(schema, np.zeros(total, np.int8), np.concatenate(h), np.concatenate(key), np.concatenate(n), np.concatenate(at))
+                yield leading()
             linked = np.asarray(ids.is_valid()) & (doc_n > 0)
-            spread = mix(np.arange(batch.num_rows, dtype=np.uint64) + np.uint64(len(seen))).view(np.int64)
             # dealt by row, not by key, so that copies do not meet in one task
-            yield batch_of(schema, np.ones(batch.num_rows, np.int8), spread, pa.array(doc_key, mask=~linked), doc_n, ids.cast(pa.int64()))
+            places = mix(np.arange(spread, spread + batch.num_rows, dtype=np.uint64)).view(np.int64)
+            spread += batch.num_rows
+            yield batch_of(schema, np.ones(batch.num_rows, np.int8), places, pa.array(doc_key, mask=~linked), doc_n, ids.cast(pa.int64()))
 
     return rows
 
@@ -150,6 +171,13 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(_LISTS, np.zeros(keep.sum(), np.int8), h[keep], key[keep], n[keep], at[keep])
 
 
+def _values(column: pa.Array) -> np.ndarray:
+    """All values of a binary column, end to end, as 64-bit numbers; nothing is copied."""
+    width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    places = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[places[0] : places[-1]].view(np.uint64)
+
+
 def _pairs(percent: int):
     """Pairs of sets of different classes and like sizes in one column, with the number of columns of this task that they share.
 
@@ -196,19 +224,20 @@ def _pairs(percent: int):
                 if (cls[low:high] == cls[low]).all():
                     continue
                 own = slice(low, high)
-                raw = table["bits"].slice(low, high - low)
-                bits = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(high - low, BITS // 64) if not raw.null_count else None
-                least = np.array(table["least"].slice(low, high - low).to_pylist()) if bits is not None else None
+                raw, bits, least = table["bits"].slice(low, high - low), None, None
+                if not raw.null_count:
+                    bits = np.concatenate([_values(c) for c in raw.chunks]).reshape(high - low, BITS // 64)
+                    least = np.concatenate([c.flatten().to_numpy() for c in table["least"].slice(low, high - low).chunks]).reshape(high - low, SLOTS)
                 for i, j in product(int(h[low]), key[own], cls[own], n[own], bits, least):
                     p, q = low + i, low + j
                     swap = key[p] > key[q]
                     p, q = np.where(swap, q, p), np.where(swap, p, q)
                     parts.append((key[p], key[q], n[p], n[q], np.ones(len(p), np.int64) if bits is None else np.minimum(n[p], n[q]).astype(np.int64)))
                     size += len(p)
-                    if size > 1 << 20:
+                    if size > ITEMS:
                         done = summed(parts)
                         parts, size = [done], 0
-                        if len(done[0]) > 1 << 19:
+                        if len(done[0]) > ITEMS // 2:
                             yield batch_of(schema, *done)
                             parts = []
         if parts:
@@ -247,12 +276,17 @@ def _verified(documents: DataFrame, keys: DataFrame, pairs: DataFrame, width: in
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
+            held = 0
             for row, items in shingle_sets(batch.column(0), width):
-                if len(items) and set_key(items) == (key := batch.column(1)[row].as_py()):
-                    out += [(p["block"], p["part"], p["role"], key, items.tobytes()) for p in batch.column(2)[row].as_py()]
-                if len(out) > 4096:
-                    yield batch_of(schema, *map(list, zip(*out)))
-                    out = []
+                if not len(items) or set_key(items) != (key := batch.column(1)[row].as_py()):
+                    continue
+                raw = items.tobytes()
+                for p in batch.column(2)[row].as_py():
+                    out.append((p["block"], p["part"], p["role"], key, raw))
+                    held += len(items)
+                    if held > ITEMS:
+                        yield batch_of(schema, *map(list, zip(*out)))
+                        out, held = [], 0
             if out:
                 yield batch_of(schema, *map(list, zip(*out)))
 
@@ -260,10 +294,13 @@ def _verified(documents: DataFrame, keys: DataFrame, pairs: DataFrame, width: in
         at, row = None, np.zeros(0, np.uint64)
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for block, part, role, key, items in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                other = np.frombuffer(items, np.uint64)
+            values = _values(batch.column(4))
+            sizes = pa.compute.binary_length(batch.column(4)).to_numpy().astype(np.int64) // 8
+            ends = np.cumsum(sizes)
+            for block, part, role, key, end, size in zip(*(batch.column(i).to_pylist() for i in range(4)), ends.tolist(), sizes.tolist()):
+                other = values[end - size : end]
                 if not role:
-                    at, row = (block, part), other
+                    at, row = (block, part), other.copy()
                 elif at == (block, part):
                     overlap = int((row[np.minimum(np.searchsorted(row, other), len(row) - 1)] == other).sum())
                     if 100 * overlap >= percent * (len(row) + len(other) - overlap):
