@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tidemark.llm import resampling, substrings, tries
+from tidemark.llm import common, resampling, substrings, tries
 
 R = random.Random(5)
 
@@ -67,7 +67,7 @@ def test_repeated_windows_past_every_bound(spark):
     again = substrings.Runs(words[100:]).hashes(np.arange(190), 10)
     assert (h[100:] == again[0]).all() and (g[100:] == again[1]).all() and len(set(h.tolist())) == 290
     full = np.full(64, np.uint64(2**64 - 1))
-    assert substrings._hits(h, full).all() and not substrings._hits(h, np.zeros(64, np.uint64)).any()
+    assert common.in_bit_set(h, full).all() and not common.in_bit_set(h, np.zeros(64, np.uint64)).any()
     met = substrings._Met()
     met.add(h[:5], np.arange(5))
     met.add(h[3:8], np.full(5, 1))

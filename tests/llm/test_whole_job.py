@@ -1,6 +1,8 @@
 """Cases in which operators did less than the whole job."""
 
+import math
 import random
+from collections import Counter
 
 import corpus_pipeline
 from tidemark.llm import licenses, outliers, templates, toxicity
@@ -31,6 +33,50 @@ def test_pipeline_empties_texts_of_recurring_lines_only(spark):
     assert got[3].text == got[4].text == one and got[5].text is None and got[6].text == ""
 
 
+def plain_recurring(texts, min_docs=3, long_docs=2, long_words=50, constant=0.5):
+    """The lines that recur, from the definition: half of a line's tokens, the most frequent at their places in its leaf, are its template."""
+    docs = Counter(m for t in texts for m in templates._forms(t))
+    leaf = {m: (m.count(" "), *m.split(" ")[:3]) for m in docs}
+    places, leaf_docs = Counter(), Counter()
+    for m, n in docs.items():
+        leaf_docs[leaf[m]] += n
+        for i, t in enumerate(m.split(" ")):
+            if t != templates.WILD:
+                places[leaf[m], i, t] += n
+    least = {m: long_docs if m.count(" ") >= long_words else min_docs for m in docs}
+    shape = {}
+    for m in docs:
+        tokens = [(-places[leaf[m], i, t], i, t) for i, t in enumerate(m.split(" ")) if t != templates.WILD and places[leaf[m], i, t] >= least[m]]
+        need = math.ceil(constant * len(m.split(" ")))
+        if len(tokens) >= need:
+            shape[m] = (leaf[m], frozenset((i, t) for _, i, t in sorted(tokens)[:need]))
+    together = Counter()
+    for m, x in shape.items():
+        together[x] += docs[m]
+    return {m for m in docs if docs[m] >= least[m] or m in shape and together[shape[m]] >= least[m]}
+
+
+def test_templates_like_plain_python(spark):
+    heads, tails = ["the post was", "run 7 took", "a b c"], ["red", "green", "blue", "now 12", "here"]
+    for _ in range(3):
+        texts = ["\n".join(f"{RANDOM.choice(heads)} {RANDOM.choice(tails)} {RANDOM.choice(tails)} {RANDOM.choice('xyz')}{RANDOM.choice(['', ' end', ' ' + prose(1)])}" for _ in range(RANDOM.randint(0, 4))) for _ in range(40)]
+        texts += [texts[0], texts[1], "", None, "the post was red red x"]
+        gone = plain_recurring(texts)
+        want = []
+        for t in texts:
+            lines = [(x, templates.masked(x)) for x in (t or "").split("\n")]
+            known = sum(m in gone for _, m in lines)
+            whole = known and known == sum(bool(m) for _, m in lines)
+            if t is None or not known or whole and texts.count(t) > 1:
+                want.append((t, known, 0))
+            else:
+                want.append(("" if whole else "\n".join(x for x, m in lines if m not in gone), known, known))
+        frame = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_dropped int, `a.b` string").repartition(3)
+        got = templates.drop_recurring_lines(frame)
+        assert got.columns == ["doc_id", "text", "a.b", "n_lines", "n_dropped", "n_recurring"]
+        assert [(r.text, r.n_recurring, r.n_dropped) for r in sorted(got.collect())] == want
+
+
 def test_variants_of_a_frequent_line_go(spark):
     def name(i):
         return "".join(chr(97 + int(d)) for d in f"{i:04d}")

@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.session import scratch_dir, ship_package
 
 SMALL_ROWS = 500_000  # a table of at most so many narrow rows may be broadcast
+PROBES = 2  # bits of a hash in a bit set
+MIN_BITS, MAX_BITS = 1 << 20, 1 << 30
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -63,3 +65,30 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str | list[str]) -> Ite
         held = [batch.slice(start)]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def _bits(h: np.ndarray, probes: int, size: int) -> list[np.ndarray]:
+    """Places of a hash in a bit set of ``size``, a power of two."""
+    return [(h >> np.uint64(17 * k)) & np.uint64(size - 1) for k in range(probes)]
+
+
+def in_bit_set(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the set: all that are, and few others."""
+    found = np.ones(len(h), bool)
+    for place in _bits(h, PROBES, 64 * len(known)):
+        found &= (known[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+    return found
+
+
+def bit_set(hashes: DataFrame) -> np.ndarray:
+    """A set of at most ``MAX_BITS`` bits with the bits of all hashes ``h``, made by Spark in words of 64 bits."""
+    size = MIN_BITS
+    n = hashes.count()
+    while size < MAX_BITS and size < 16 * n:
+        size *= 2
+    places = ", ".join(f"shiftrightunsigned(h, {17 * k}) & {size - 1}L" for k in range(PROBES))
+    bits = hashes.selectExpr(f"explode(array({places})) AS bit").groupBy(F.expr("shiftright(bit, 6)").alias("word"))
+    got = bits.agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("bits")).toArrow()  # no more rows than the set has words
+    known = np.zeros(size // 64, np.uint64)
+    known[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return known

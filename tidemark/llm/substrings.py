@@ -10,7 +10,7 @@ cover, so two copies of one window, wherever they stand in their documents, shar
    that a third of all documents hold is a few rows of each task when it is shuffled.
 4. Removed places come back to their documents as runs of starts.
 
-Tasks know shared anchors by a bit set. Its size follows their number up to ``MAX_BITS``; false hits only cost rows, which fall away in step 3.
+Tasks know shared anchors by a bit set. Its size follows their number up to a bound; false hits only cost rows, which fall away in step 3.
 Beyond some 10^8 shared anchors the set gets fuller and more windows are hashed for nothing, up to one row a word.
 """
 
@@ -20,17 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import batch_of, prepared, row_schema, stored
+from tidemark.llm.common import batch_of, bit_set, in_bit_set, prepared, row_schema, stored
 from tidemark.llm.words import MULTIPLIER, blocks, find_words, mix
 
 WINDOW = 50
 # Difference covers by period; every remainder is a difference of two members.
 COVERS = {3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 31: (1, 5, 11, 24, 25, 27)}
 BLOCK = 1 << 20  # bytes of text worked on together
-PROBES = 2  # bits of an anchor in the bit set
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 30
 REMEMBERED = 1 << 20  # windows that a task remembers as met in several documents
 _BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
@@ -63,18 +61,6 @@ class Runs:
         return mix(a + b), (b >> np.uint64(33)).astype(np.int32)
 
 
-def _bits(h: np.ndarray, probes: int, size: int) -> list[np.ndarray]:
-    """Places of a hash in a bit set of ``size``, a power of two."""
-    return [(h >> np.uint64(17 * k)) & np.uint64(size - 1) for k in range(probes)]
-
-
-def _hits(h: np.ndarray, known: np.ndarray) -> np.ndarray:
-    found = np.ones(len(h), bool)
-    for place in _bits(h, PROBES, 64 * len(known)):
-        found &= (known[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-    return found
-
-
 def _anchors(first: np.ndarray, window: int, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(place in the block, text) of the anchors of texts of at least ``window`` words, and their length."""
     period, cover = cover_of(window)
@@ -118,20 +104,6 @@ def shared_anchors(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("h")
 
 
-def bit_set(spark: SparkSession, hashes: DataFrame) -> np.ndarray:
-    """A set of at most ``MAX_BITS`` bits with the bits of all ``hashes``, made by Spark in words of 64 bits."""
-    size = MIN_BITS
-    n = hashes.count()
-    while size < MAX_BITS and size < 16 * n:
-        size *= 2
-    places = ", ".join(f"shiftrightunsigned(h, {17 * k}) & {size - 1}L" for k in range(PROBES))
-    bits = hashes.selectExpr(f"explode(array({places})) AS bit").groupBy(F.expr("shiftright(bit, 6)").alias("word"))
-    got = bits.agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("bits")).toArrow()  # no more rows than the set has words
-    known = np.zeros(size // 64, np.uint64)
-    known[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return known
-
-
 class _Met:
     """Windows that a task met in several documents, with the smallest of them; of a bounded number, since it only saves rows."""
 
@@ -172,7 +144,7 @@ def _window_rows(window: int, shared):
                 if not len(place):
                     continue
                 runs = Runs(words.hashes)
-                hit = _hits(runs.hashes(place, length)[0], known)
+                hit = in_bit_set(runs.hashes(place, length)[0], known)
                 place, text = place[hit], text[hit]
                 if not len(place):
                     continue
@@ -209,7 +181,7 @@ def _window_rows(window: int, shared):
 def removed_starts(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, sig, runs): places where removed windows begin, as sorted runs; ``documents`` has ``doc_id`` (long), ``text`` and ``sig``."""
     spark = prepared(documents)
-    shared = spark.sparkContext.broadcast(bit_set(spark, stored(shared_anchors(documents.select("doc_id", "text"), window), "shared-anchors")))
+    shared = spark.sparkContext.broadcast(bit_set(stored(shared_anchors(documents.select("doc_id", "text"), window), "shared-anchors")))
     rows = documents.select("doc_id", "text", "sig").mapInArrow(_window_rows(window, shared), "h long, g int, doc long, sig long, start int, stop int")
     rows = rows.withColumn("low", F.expr("min(doc) OVER (PARTITION BY h, g)")).where("g IS NULL OR doc > low")
     return rows.groupBy("doc", "sig").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs"))

@@ -11,6 +11,7 @@ a leaf are merged before they are shuffled, so a leaf that holds a third of all
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -20,13 +21,15 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import SMALL_ROWS, batch_of, prepared, stored
+from tidemark.llm.common import SMALL_ROWS, batch_of, bit_set, in_bit_set, prepared, row_schema, stored
 from tidemark.llm.words import mix
 
 DEPTH = 3  # leading tokens of a path
 MIN_DOCS = 3  # documents a template must occur in to be dropped
 LONG_WORDS, LONG_DOCS = 50, 2  # a line of more words is a passage, which recurs from so many documents on
 CONSTANT = 0.5  # share of a line's places that its template holds constant
+ROWS = 1_000  # texts whose lines are held at once
+SENT = 1 << 17  # lines that a task remembers as sent; others may go twice, which only costs rows
 _FIELD = re.compile(r"\S*\d\S*")
 WILD = "<*>"
 _DIGIT = re.compile(r"\d")
@@ -53,49 +56,65 @@ def _forms(text: str | None) -> set[str]:
     return {masked(x) for x in (text or "").split("\n")} - {""}
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lines(long_words: int):
     """Leaf and hash of each distinct masked line of a text, and whether it is a passage, which all lines of a leaf are or none is."""
-    schema = pa.schema([("leaf", pa.int64()), ("h", pa.int64()), ("passage", pa.bool_())])
-    for batch in batches:
-        forms = [x for text in batch.column(0).to_pylist() for x in _forms(text)]
-        yield batch_of(schema, [leaf_of(x) for x in forms], [_hash(x) for x in forms], [x.count(" ") >= LONG_WORDS for x in forms])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("leaf", pa.int64()), ("h", pa.int64()), ("passage", pa.bool_())])
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                forms = [x for text in batch.column(0).slice(at, ROWS).to_pylist() for x in _forms(text)]
+                yield batch_of(schema, [leaf_of(x) for x in forms], [_hash(x) for x in forms], [x.count(" ") >= long_words for x in forms])
+
+    return run
 
-def _texts(wanted):
-    """Lines with their hashes, those of ``wanted`` only if that is given; a line once for each block of texts."""
+
+def _token_numbers(wanted, constant: float):
+    """(h, need, tokens) of the lines that may be wanted: a token at its place in a leaf is a number, a variable field has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("h", pa.int64()), ("line", pa.string())])
+        schema = pa.schema([("h", pa.int64()), ("need", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+        known, sent = wanted.value, set()
         for batch in batches:
-            forms = {_hash(x): x for text in batch.column(0).to_pylist() for x in _forms(text)}
-            kept = [h for h in forms if wanted is None or h in wanted.value]
-            yield batch_of(schema, kept, [forms[h] for h in kept])
+            for at in range(0, batch.num_rows, ROWS):
+                forms = {_hash(x): x for text in batch.column(0).slice(at, ROWS).to_pylist() for x in _forms(text)}
+                hashes = np.fromiter(forms, np.int64, len(forms))
+                out = []
+                for h in hashes[in_bit_set(hashes.view(np.uint64), known)].tolist():
+                    if h in sent:
+                        continue
+                    tokens, leaf = forms[h].split(" "), leaf_of(forms[h])
+                    numbers = [_hash(f"{leaf} {i} {t}") for i, t in enumerate(tokens) if t != WILD]
+                    need = math.ceil(constant * len(tokens))
+                    if len(numbers) >= need:
+                        out.append((h, need, numbers))
+                    sent.add(h)
+                if len(sent) > SENT:
+                    sent.clear()
+                if out:
+                    yield batch_of(schema, *(pa.array(x, t.type) for x, t in zip(zip(*out), schema)))
 
     return run
 
 
-def recurring_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(h): hashes of masked lines whose template occurs in ``min_docs`` documents, of passages in ``LONG_DOCS``.
+def recurring_lines(documents: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS, long_words: int = LONG_WORDS, constant: float = CONSTANT) -> DataFrame:
+    """(h): hashes of masked lines whose template occurs in ``min_docs`` documents, of passages in ``long_docs``.
 
     A line that does so itself is its own template.
     """
     spark = prepared(documents)
     texts = documents.select("text")
     # copies of a line are one row with a count from here on
-    counted = texts.mapInArrow(_lines, "leaf long, h long, passage boolean").groupBy("leaf", "h").agg(F.count("*").alias("docs"), F.max("passage").alias("passage"))
-    counted = stored(counted.withColumn("least", F.when(F.col("passage"), min(LONG_DOCS, min_docs)).otherwise(min_docs)).drop("passage"), "template-lines")
+    counted = texts.mapInArrow(_lines(long_words), "leaf long, h long, passage boolean").groupBy("leaf", "h").agg(F.count("*").alias("docs"), F.max("passage").alias("passage"))
+    counted = stored(counted.withColumn("least", F.when(F.col("passage"), min(long_docs, min_docs)).otherwise(min_docs)).drop("passage"), "template-lines")
     # of leaves with rarer lines, all lines: the frequent ones are few distinct rows, and weigh by their documents
     leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.max("least").alias("leaf_least"), F.min("docs").alias("rarest"))
     leaves = leaves.where("leaf_docs >= leaf_least AND rarest < leaf_least").select("leaf")
     rows = stored(counted.join(leaves, "leaf"), "template-leaves")
-    wanted = None
-    if rows.count() <= SMALL_ROWS:
-        wanted = spark.sparkContext.broadcast(frozenset(rows.select("h").toArrow()["h"].to_pylist()))
-    lines = texts.mapInArrow(_texts(wanted), "h long, line string").groupBy("h").agg(F.min("line").alias("line"))
-    rows = rows.join(lines, "h").selectExpr("leaf", "h", "docs", "least", "split(line, ' ') AS tokens")
-    # a token at its place in a leaf is a number; a variable field has none
-    numbers = f"filter(transform(tokens, (t, i) -> CASE WHEN t <> '{WILD}' THEN xxhash64(leaf, i, t) END), k -> k IS NOT NULL)"
-    rows = stored(rows.selectExpr("h", "docs", "least", f"cast(ceil({CONSTANT} * size(tokens)) AS int) AS need", f"{numbers} AS tokens").where("size(tokens) >= need"), "template-tokens")
+    # only lines that may be wanted are read as tokens and shuffled; the join leaves out those that are not
+    wanted = spark.sparkContext.broadcast(bit_set(rows.select("h")))
+    tokens = texts.mapInArrow(_token_numbers(wanted, constant), "h long, need int, tokens array<long>").groupBy("h").agg(F.first("need").alias("need"), F.first("tokens").alias("tokens"))
+    rows = stored(rows.join(tokens, "h").select("h", "docs", "least", "need", "tokens"), "template-tokens")
     common = rows.selectExpr("docs", "least", "explode(tokens) AS token").groupBy("token").agg(F.sum("docs").alias("n"), F.max("least").alias("least"))
     common = stored(common.where("n >= least").select("token", "n"), "template-common")
     template = stored(_templates(rows, common), "templates")
@@ -150,7 +169,7 @@ _OUT = pa.schema([("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped",
 
 
 def _kept(text: str | None, known) -> tuple[str | None, int, int, int]:
-    """The text without known lines, its lines with a word, how many of them went, and how many are known."""
+    """The text without known lines, its lines with a word, how many of them went, and how many are known; a text of known lines only stays."""
     if text is None:
         return None, 0, 0, 0
     lines = text.split("\n")
@@ -162,40 +181,62 @@ def _kept(text: str | None, known) -> tuple[str | None, int, int, int]:
     return "\n".join(x for x, g in zip(lines, gone) if not g), n, sum(gone), sum(gone)
 
 
-def drop_recurring_lines(documents: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def _owned(known):
+    """(uid, h) of the lines that may recur."""
+    schema = pa.schema([("uid", pa.int64()), ("h", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                pairs = [(u, _hash(m)) for u, t in zip(*(batch.column(c).slice(at, ROWS).to_pylist() for c in (0, 1))) for m in _forms(t)]
+                uid, h = np.array(pairs, np.int64).reshape(-1, 2).T
+                keep = in_bit_set(h.view(np.uint64) if h.flags.c_contiguous else np.ascontiguousarray(h).view(np.uint64), known.value)
+                yield batch_of(schema, uid[keep], h[keep])
+
+    return run
+
+
+def drop_recurring_lines(documents: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS, long_words: int = LONG_WORDS, constant: float = CONSTANT) -> DataFrame:
     """``documents`` with ``text`` less its recurring lines, and ``n_lines`` (lines with a word), ``n_dropped`` and ``n_recurring``.
 
-    A null text stays null, an empty one empty; lines without a word are never dropped. Recurring lines go whatever their share of a
-    document; only one that has no other line stays whole, and ``n_recurring = n_lines`` tells it. Repeated rows count as documents of
-    their own. All other columns pass, whatever their names.
+    A line recurs if its template occurs in ``min_docs`` documents, one of over ``long_words`` words if in ``long_docs``. A null text stays null,
+    an empty one empty; lines without a word are never dropped. Recurring lines go whatever their share of a document; a text that has no other
+    line becomes empty, unless other rows hold exactly the same text: those stay whole, for removal of copies to keep one. Repeated
+    rows count as documents of their own. A very long text is worked on as a whole; an empty table gives no rows. All other columns pass,
+    whatever their names; the three new ones replace those of the same name.
     """
     spark = prepared(documents)
-    known = stored(recurring_lines(documents, min_docs), "template-hashes")
-    others = [c for c in documents.columns if c != "text"]
-    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), "text")
-    kind = rows.schema["row"].dataType.simpleString() if others else None
+    known = stored(recurring_lines(documents, min_docs, long_docs, long_words, constant), "template-hashes")
+    new = ("n_lines", "n_dropped", "n_recurring")
+    others = [c for c in documents.columns if c not in ("text", *new)]
+    rows = documents.select(F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`") for c in others)).alias("row"), "text")
     if known.count() <= SMALL_ROWS:
         shared = spark.sparkContext.broadcast(frozenset(known.toArrow()["h"].to_pylist()))
         rows = rows.withColumn("known", F.lit(None).cast("array<long>"))
         member = lambda own: shared.value.__contains__
     else:  # too many to broadcast: each document's recurring lines come to it by a join
-
-        def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                pairs = [(u, _hash(m)) for u, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in _forms(t)]
-                yield batch_of(pa.schema([("uid", pa.int64()), ("h", pa.int64())]), [u for u, _ in pairs], [h for _, h in pairs])
-
         rows = rows.withColumn("uid", F.xxhash64("text"))
-        uses = rows.select("uid", "text").mapInArrow(owned, "uid long, h long").join(known, "h").groupBy("uid").agg(F.collect_set("h").alias("known"))
+        maybe = spark.sparkContext.broadcast(bit_set(known))
+        uses = rows.select("uid", "text").mapInArrow(_owned(maybe), "uid long, h long").join(known, "h").groupBy("uid").agg(F.collect_set("h").alias("known"))
         rows = rows.join(uses, "uid", "left").select("row", "text", "known")
         member = lambda own: frozenset(own or ()).__contains__
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_kept(t, member(k)) for t, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            done = [pa.array([o[i] for o in out], f.type) for i, f in enumerate(_OUT)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *done], names=["row", *_OUT.names])
-
-    out = rows.mapInArrow(apply, f"row {kind}, text string, n_lines long, n_dropped long, n_recurring long")
-    named = [F.col("text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in documents.columns]
-    return out.select(*named, F.col("n_lines"), F.col("n_dropped"), F.col("n_recurring"))
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                out = [_kept(t, member(k)) for t, k in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                done = [pa.array([o[i] for o in out], f.type) for i, f in enumerate(_OUT)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *done], names=["row", *_OUT.names])
+
+    out = rows.mapInArrow(apply, row_schema(rows, "text string, n_lines long, n_dropped long, n_recurring long"))
+    out = stored(out.withColumn("sig", F.when(F.expr("n_lines > 0 AND n_recurring = n_lines"), F.xxhash64("text"))), "template-texts")
+    single = stored(out.where("sig IS NOT NULL").groupBy("sig").agg(F.count("*").alias("rows")).where("rows = 1").selectExpr("sig AS single"), "template-single")
+    if single.count() <= SMALL_ROWS:
+        single = F.broadcast(single)
+    # rows without a signature stay out of the join: they would all be one key
+    rest, whole = out.where("sig IS NULL").drop("sig"), out.where("sig IS NOT NULL").join(single, F.col("sig") == F.col("single"), "left")
+    whole = whole.withColumn("n_dropped", F.expr("CASE WHEN single IS NULL THEN 0L ELSE n_lines END")).withColumn("text", F.expr("CASE WHEN single IS NULL THEN text ELSE '' END"))
+    out = rest.unionAll(whole.drop("sig", "single"))
+    named = [F.col("text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in documents.columns if c not in new]
+    return out.select(*named, *new)
