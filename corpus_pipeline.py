@@ -31,18 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines that recur over documents; ``n_chars`` follows the text.
-
-    A text of recurring lines only becomes empty, unless others are exact copies of it: of those, removal of near copies keeps one.
-    """
-    out = common.stored(drop_recurring_lines(docs.select(*COLUMNS)).withColumn("sig", F.when(F.expr("n_lines > 0 AND n_recurring = n_lines"), F.xxhash64("text"))), "pipeline-lines")
-    single = common.stored(out.where("sig IS NOT NULL").groupBy("sig").agg(F.count("*").alias("rows")).where("rows = 1").selectExpr("sig AS single"), "pipeline-single")
-    if single.count() <= common.SMALL_ROWS:
-        single = F.broadcast(single)
-    # rows without a signature stay out of the join: they would all be one key
-    rest, whole = out.where("sig IS NULL"), out.where("sig IS NOT NULL").join(single, F.col("sig") == F.col("single"), "left")
-    whole = whole.withColumn("n_dropped", F.when(F.col("single").isNotNull(), F.col("n_lines")).otherwise(0)).withColumn("text", F.when(F.col("single").isNotNull(), "").otherwise(F.col("text")))
-    out = rest.select(*COLUMNS, "n_dropped").unionAll(whole.select(*COLUMNS, "n_dropped"))
+    """Without lines that recur over documents; ``n_chars`` follows the text. A text of recurring lines only becomes empty, unless others are exact copies of it."""
+    out = drop_recurring_lines(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
