@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 from tidemark.llm import licenses, outliers, templates, toxicity
 
 RANDOM = random.Random(11)
@@ -56,7 +57,9 @@ def plain_recurring(texts, min_docs=3, long_docs=2, long_words=50, constant=0.5)
     return {m for m in docs if docs[m] >= least[m] or m in shape and together[shape[m]] >= least[m]}
 
 
-def test_templates_like_plain_python(spark):
+@pytest.mark.parametrize("hot", [1 << 15, 0, 3])
+def test_templates_like_plain_python(spark, monkeypatch, hot):
+    monkeypatch.setattr(templates, "HOT", hot)
     heads, tails = ["the post was", "run 7 took", "a b c"], ["red", "green", "blue", "now 12", "here"]
     for _ in range(3):
         texts = ["\n".join(f"{RANDOM.choice(heads)} {RANDOM.choice(tails)} {RANDOM.choice(tails)} {RANDOM.choice('xyz')}{RANDOM.choice(['', ' end', ' ' + prose(1)])}" for _ in range(RANDOM.randint(0, 4))) for _ in range(40)]

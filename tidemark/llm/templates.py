@@ -5,8 +5,8 @@ wildcard branch. Within a leaf, places whose tokens vary are generalised as well
 most frequent ones at their places in the leaf, so families of lines in one leaf have templates of their own, however rare they are in it.
 Lines whose template recurs in enough documents are dropped.
 
-The tree has no nodes to build: a leaf is the hash of its path. Only lines of leaves that recur are looked at further, and token counts of
-a leaf are merged before they are shuffled, so a leaf that holds a third of all lines is no single task's work.
+The tree has no nodes to build: a leaf is the hash of its path. Only lines of leaves that recur are looked at further, as token numbers, never as
+texts. The lines of a leaf meet in one task, but a leaf of very many lines is counted token by token over all tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import SMALL_ROWS, batch_of, bit_set, in_bit_set, prepared, row_schema, stored
+from tidemark.llm.common import SMALL_ROWS, batch_of, bit_set, in_bit_set, prepared, row_schema, stored, whole_groups
 from tidemark.llm.words import mix
 
 DEPTH = 3  # leading tokens of a path
@@ -29,6 +29,7 @@ MIN_DOCS = 3  # documents a template must occur in to be dropped
 LONG_WORDS, LONG_DOCS = 50, 2  # a line of more words is a passage, which recurs from so many documents on
 CONSTANT = 0.5  # share of a line's places that its template holds constant
 ROWS = 1_000  # texts whose lines are held at once
+HOT = 1 << 15  # distinct lines of a leaf that one task counts
 SENT = 1 << 17  # lines that a task remembers as sent; others may go twice, which only costs rows
 _FIELD = re.compile(r"\S*\d\S*")
 WILD = "<*>"
@@ -69,12 +70,11 @@ def _lines(long_words: int):
     return run
 
 
-def _token_numbers(wanted, constant: float):
-    """(h, need, tokens) of the lines that may be wanted: a token at its place in a leaf is a number, a variable field has none."""
+def _token_rows(wanted, hot, constant: float):
+    """(leaf, h, need, tokens, hot) of the lines that may be wanted: a number for each token, 0 for a variable field."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("h", pa.int64()), ("need", pa.int32()), ("tokens", pa.list_(pa.int64()))])
-        known, sent = wanted.value, set()
+        known, large, sent = wanted.value, hot.value, set()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 forms = {_hash(x): x for text in batch.column(0).slice(at, ROWS).to_pylist() for x in _forms(text)}
@@ -83,16 +83,70 @@ def _token_numbers(wanted, constant: float):
                 for h in hashes[in_bit_set(hashes.view(np.uint64), known)].tolist():
                     if h in sent:
                         continue
-                    tokens, leaf = forms[h].split(" "), leaf_of(forms[h])
-                    numbers = [_hash(f"{leaf} {i} {t}") for i, t in enumerate(tokens) if t != WILD]
-                    need = math.ceil(constant * len(tokens))
-                    if len(numbers) >= need:
-                        out.append((h, need, numbers))
+                    tokens = forms[h].split(" ")
+                    numbers = [(_hash(t) & 0x7FFFFFFE) + 1 if t != WILD else 0 for t in tokens]
+                    out.append((leaf_of(forms[h]), h, math.ceil(constant * len(tokens)), numbers))
                     sent.add(h)
                 if len(sent) > SENT:
                     sent.clear()
                 if out:
-                    yield batch_of(schema, *(pa.array(x, t.type) for x, t in zip(zip(*out), schema)))
+                    leaf = np.array([x[0] for x in out], np.int64)
+                    yield batch_of(_TOKENS, leaf, *(pa.array([x[k] for x in out], _TOKENS[k].type) for k in (1, 2, 3)), in_bit_set(leaf.view(np.uint64), large))
+
+    return run
+
+
+_TOKENS = pa.schema([("leaf", pa.int64()), ("h", pa.int64()), ("need", pa.int32()), ("tokens", pa.list_(pa.int32())), ("hot", pa.bool_())])
+_TOKENS_DDL = "leaf long, h long, need int, tokens array<int>, hot boolean"
+
+
+def _leaf_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h) of the rarer lines of small leaves whose template recurs; a leaf's counts and its lines' tokens come together, sorted by line."""
+    for table in whole_groups(batches, "leaf"):
+        found = []
+        rows = table.to_pydict()
+        begin = 0
+        while begin < len(rows["leaf"]):
+            end = begin
+            while end < len(rows["leaf"]) and rows["leaf"][end] == rows["leaf"][begin]:
+                end += 1
+            found += _recurring_in_leaf(*(rows[c][begin:end] for c in ("h", "docs", "least", "need", "tokens")))
+            begin = end
+        yield batch_of(pa.schema([("h", pa.int64())]), found)
+
+
+def _recurring_in_leaf(hs: list, docs: list, least: list, needs: list, tokens: list) -> list[int]:
+    weight, need, words = {}, {}, {}
+    for h, d, m, n, t in zip(hs, docs, least, needs, tokens):
+        if t is None:
+            weight[h] = (d, m)
+        else:
+            need[h], words[h] = n, t
+    times: dict[tuple[int, int], int] = {}
+    known = [h for h in weight if h in words]
+    for h in known:
+        for place in enumerate(words[h]):
+            if place[1]:
+                times[place] = times.get(place, 0) + weight[h][0]
+    shapes: dict[tuple, list[int]] = {}
+    for h in known:
+        places = sorted((-times[p], p) for p in enumerate(words[h]) if p[1] and times[p] >= weight[h][1])
+        if len(places) >= need[h]:  # the most frequent tokens, equally frequent ones by place
+            shapes.setdefault(tuple(sorted(p for _, p in places[: need[h]])), []).append(h)
+    out = []
+    for own in shapes.values():
+        if sum(weight[h][0] for h in own) >= weight[own[0]][1]:
+            out += [h for h in own if weight[h][0] < weight[h][1]]
+    return out
+
+
+def _flagged(hot):
+    """Count rows with ``hot``, told by the same bit set as for tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flag = in_bit_set(batch.column(0).to_numpy().view(np.uint64), hot.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flag)], names=[*batch.schema.names, "hot"])
 
     return run
 
@@ -100,7 +154,8 @@ def _token_numbers(wanted, constant: float):
 def recurring_lines(documents: DataFrame, min_docs: int = MIN_DOCS, long_docs: int = LONG_DOCS, long_words: int = LONG_WORDS, constant: float = CONSTANT) -> DataFrame:
     """(h): hashes of masked lines whose template occurs in ``min_docs`` documents, of passages in ``long_docs``.
 
-    A line that does so itself is its own template.
+    A line that does so itself is its own template. Lines of one leaf meet in one task, as numbers; leaves of over ``HOT`` lines are counted token
+    by token over all tasks instead.
     """
     spark = prepared(documents)
     texts = documents.select("text")
@@ -108,18 +163,29 @@ def recurring_lines(documents: DataFrame, min_docs: int = MIN_DOCS, long_docs: i
     counted = texts.mapInArrow(_lines(long_words), "leaf long, h long, passage boolean").groupBy("leaf", "h").agg(F.count("*").alias("docs"), F.max("passage").alias("passage"))
     counted = stored(counted.withColumn("least", F.when(F.col("passage"), min(long_docs, min_docs)).otherwise(min_docs)).drop("passage"), "template-lines")
     # of leaves with rarer lines, all lines: the frequent ones are few distinct rows, and weigh by their documents
-    leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.max("least").alias("leaf_least"), F.min("docs").alias("rarest"))
-    leaves = leaves.where("leaf_docs >= leaf_least AND rarest < leaf_least").select("leaf")
+    leaves = counted.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.max("least").alias("leaf_least"), F.min("docs").alias("rarest"), F.count("*").alias("lines"))
+    leaves = leaves.where("leaf_docs >= leaf_least AND rarest < leaf_least").select("leaf", "lines")
     rows = stored(counted.join(leaves, "leaf"), "template-leaves")
-    # only lines that may be wanted are read as tokens and shuffled; the join leaves out those that are not
+    # only lines that may be wanted are read as tokens and shuffled
     wanted = spark.sparkContext.broadcast(bit_set(rows.select("h")))
-    tokens = texts.mapInArrow(_token_numbers(wanted, constant), "h long, need int, tokens array<long>").groupBy("h").agg(F.first("need").alias("need"), F.first("tokens").alias("tokens"))
-    rows = stored(rows.join(tokens, "h").select("h", "docs", "least", "need", "tokens"), "template-tokens")
-    common = rows.selectExpr("docs", "least", "explode(tokens) AS token").groupBy("token").agg(F.sum("docs").alias("n"), F.max("least").alias("least"))
+    large = rows.where(F.col("lines") > HOT).select(F.col("leaf").alias("h")).distinct()
+    hot = spark.sparkContext.broadcast(bit_set(large))
+    rows = rows.select("leaf", "h", "docs", F.col("least").cast("int").alias("least")).mapInArrow(_flagged(hot), "leaf long, h long, docs long, least int, hot boolean")
+    tokens = stored(texts.mapInArrow(_token_rows(wanted, hot, constant), _TOKENS_DDL), "template-tokens")
+    cold = rows.selectExpr("leaf", "h", "docs", "least", "cast(NULL AS int) AS need", "cast(NULL AS array<int>) AS tokens", "hot")
+    cold = cold.unionAll(tokens.selectExpr("leaf", "h", "cast(NULL AS long)", "cast(NULL AS int)", "need", "tokens", "hot")).where("NOT hot").drop("hot")
+    found = cold.repartition("leaf").sortWithinPartitions("leaf", "h").mapInArrow(_leaf_lines, "h long").unionAll(counted.where("docs >= least").select("h"))
+    if large.isEmpty():
+        return found
+    own = tokens.where("hot").groupBy("h").agg(F.first("need").alias("need"), F.first("tokens").alias("tokens"))
+    # a token at its place in a leaf is a number; a variable field has none
+    numbers = "filter(transform(tokens, (t, i) -> CASE WHEN t <> 0 THEN xxhash64(leaf, i, t) END), k -> k IS NOT NULL)"
+    split = stored(rows.where("hot").join(own, "h").selectExpr("h", "docs", "least", "need", f"{numbers} AS tokens").where("size(tokens) >= need"), "template-hot")
+    common = split.selectExpr("docs", "least", "explode(tokens) AS token").groupBy("token").agg(F.sum("docs").alias("n"), F.max("least").alias("least"))
     common = stored(common.where("n >= least").select("token", "n"), "template-common")
-    template = stored(_templates(rows, common), "templates")
+    template = stored(_templates(split, common), "templates")
     frequent = template.groupBy("template").agg(F.sum("docs").alias("n"), F.max("least").alias("least")).where("n >= least").select("template")
-    return template.where("docs < least").join(frequent, "template").select("h").unionAll(counted.where("docs >= least").select("h"))
+    return template.where("docs < least").join(frequent, "template").select("h").unionAll(found)
 
 
 def _templates(rows: DataFrame, common: DataFrame) -> DataFrame:
