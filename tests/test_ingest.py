@@ -2,7 +2,7 @@
 
 import pytest
 
-from tidemark.sources import files, sink
+from tidemark.sources import files, manifest, sink
 from tidemark.streaming import ingest
 
 UUIDS = [f"{i:08d}-0000-4000-8000-000000000001" for i in range(12)]
@@ -20,9 +20,9 @@ def write_log(spark, path, rows):
 
 
 def run(spark, d, **kw):
-    metrics = None if "dedupe_horizon" in kw else f"{d}/metrics"
-    q = ingest.start_ingest(spark, files.read_log(spark, f"{d}/log", True, 1), f"{d}/table", f"{d}/bad", f"{d}/ckpt", metrics, policy=ONCE, **kw)
+    q = ingest.start_ingest(spark, files.read_log(spark, f"{d}/log", True, 1), f"{d}/table", f"{d}/bad", f"{d}/ckpt", f"{d}/metrics", policy=ONCE, **{"buckets": 4, **kw})
     q.awaitTermination()
+    return [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
 
 
 def test_crash_after_write_changes_nothing(spark, tmp_path):
@@ -55,12 +55,16 @@ def test_quarantine_failure_keeps_the_position(spark, tmp_path):
     assert sink.committed_batches(spark, f"{d}/table") == []
 
 
-def test_half_written_batch_is_not_read(spark, tmp_path):
+def test_half_written_batch_is_not_read(spark, tmp_path, monkeypatch):
     d = str(tmp_path)
     write_log(spark, f"{d}/log", [(0, value(0))])
+    with monkeypatch.context() as m, pytest.raises(Exception):
+        m.setattr(manifest, "commit", lambda *a: 1 / 0)
+        run(spark, d)
+    assert list((tmp_path / "table" / "data").iterdir())
+    assert sink.read_table(spark, f"{d}/table").count() == 0 and sink.committed_batches(spark, f"{d}/table") == []
     run(spark, d)
-    (tmp_path / "table" / "batch_id=0" / "_SUCCESS").unlink()
-    assert sink.read_table(spark, f"{d}/table").count() == 0
+    assert sink.read_table(spark, f"{d}/table").count() == 1 and sink.committed_batches(spark, f"{d}/table") == [(0, 0)]
 
 
 def test_any_split_gives_the_same_table(spark, tmp_path):

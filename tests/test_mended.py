@@ -22,15 +22,6 @@ def test_quarantine_cuts_between_characters(spark):
     assert [r.error for r in sink.quarantine_rows(rows).orderBy("offset").collect()] == ["a" * 1023, "short"]
 
 
-def test_compacted_rows_survive_a_new_stream(spark, tmp_path):
-    rows = spark.range(6).select(F.lit("t").alias("tenant_id"), F.col("id").cast("string").alias("event_id"), F.lit("k").alias("event_type"), F.current_timestamp().alias("occurred_at"),
-                                 F.current_timestamp().alias("received_at"), F.current_timestamp().alias("persisted_at"), F.lit("{}").alias("payload")).withColumn("key_bucket", sink.key_bucket(4))
-    rows.write.partitionBy("key_bucket").parquet(f"{tmp_path}/a/batch_id=0")
-    sink.compact(spark, f"{tmp_path}/a", f"{tmp_path}/b")
-    rows.withColumn("event_id", F.concat("event_id", F.lit("x"))).write.mode("overwrite").partitionBy("key_bucket").parquet(f"{tmp_path}/b/batch_id=0")
-    assert sink.read_table(spark, f"{tmp_path}/b").count() == 12
-
-
 def test_lag_needs_the_very_partitions(spark):
     rows = [("right", p, 5, 4) for p in (0, 1, 2)] + [("wrong", p, 5, 4) for p in (0, 1, 7)]
     df = spark.createDataFrame(rows, "snapshot_id string, part int, end_off long, committed_off long")

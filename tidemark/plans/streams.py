@@ -3,13 +3,17 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import labels
+from tidemark.operators.validation import encode_envelopes
 from tidemark.plans.catalog import query
 from tidemark.plans.delivery import STORED
 from tidemark.plans.reports import ALERT_SQL, BUCKET_SQL, COOLDOWN, alert_operations, bucket_requests
 from tidemark.session import ROCKSDB_PROVIDER, scratch_dir
-from tidemark.sources import export, files, sink
+from tidemark.sources import export, feed, files, manifest, sink
 from tidemark.streaming import ingest, stateful
 
+MICRO_BATCHES = 4  # that a stream over derived input must run at least, so that its state is carried
+INDEX_BUCKETS = 8  # a table with its own number of index buckets: these are small
+
 UUID_SQL = "concat(lpad(CAST(event_id AS STRING), 8, '0'), '-0000-4000-8000-000000000001')"
 
 
@@ -43,13 +47,21 @@ def log_folder(t):
     return t.once("log_folder", write)
 
 
+def at_least(batches, query):
+    """Wait for a stream that drains its input and check that it took it in several micro-batches."""
+    query.awaitTermination()
+    ran = sum(p["numInputRows"] > 0 for p in query.recentProgress)
+    if ran < batches:
+        raise RuntimeError(f"{ran} micro-batches, {batches} are asked for")
+
+
 def ingested(t):
     """(table, quarantine, metrics) after the stream has read the whole log, some files at a time."""
     def run():
         base = scratch_dir(t.spark, "ingest")
         paths = [f"{base}/{n}" for n in ("table", "quarantine", "metrics", "checkpoint")]
-        source = files.read_log(t.spark, log_folder(t), streaming=True, max_files=4)
-        ingest.start_ingest(t.spark, source, paths[0], paths[1], paths[3], metrics=paths[2]).awaitTermination()
+        source = files.read_log(t.spark, log_folder(t), streaming=True, max_files=2)
+        at_least(MICRO_BATCHES, ingest.start_ingest(t.spark, source, paths[0], paths[1], paths[3], metrics=paths[2], buckets=INDEX_BUCKETS))
         return paths
 
     return t.once("ingested", run)
@@ -97,47 +109,104 @@ def _(t):
     base = scratch_dir(t.spark, "replay")
     log = files.read_log(t.spark, log_folder(t))
     for batch_id, cond in ((0, "offset < 1000000000"), (1, "offset >= 1000000000"), (1, "offset >= 1000000000")):
-        sink.write_batch(log.where(cond), batch_id, f"{base}/table", f"{base}/quarantine")
+        sink.write_batch(log.where(cond), batch_id, f"{base}/table", f"{base}/quarantine", INDEX_BUCKETS)
     return sink.read_table(t.spark, f"{base}/table").groupBy().agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("tenant_id", "event_id").alias("keys")
     )
 
 
-@query("t9_dedupe_horizon", f"""WITH {STORED} SELECT tenant_id, count(*) AS n, count(DISTINCT event_id) AS "keys" FROM stored GROUP BY tenant_id""")
+def bounded(t):
+    """(table, metrics) of the ingest stream that tells repeats by state."""
+    def run():
+        base = scratch_dir(t.spark, "bounded")
+        keyed_state(t)
+        source = files.read_log(t.spark, log_folder(t), streaming=True, max_files=2)
+        paths = [f"{base}/{n}" for n in ("table", "metrics")]
+        at_least(MICRO_BATCHES, ingest.start_ingest(t.spark, source, paths[0], f"{base}/quarantine", f"{base}/checkpoint", metrics=paths[1], dedupe_horizon="60 days"))
+        return paths
+
+    return t.once("bounded", run)
+
+
+@query("t9_dedupe_horizon", "WITH " + STREAMED)
 def _(t):
-    base = scratch_dir(t.spark, "bounded")
-    source = files.read_log(t.spark, log_folder(t), streaming=True, max_files=8)
-    ingest.start_ingest(t.spark, source, f"{base}/table", f"{base}/quarantine", f"{base}/checkpoint", dedupe_horizon="60 days").awaitTermination()
-    return t.spark.read.parquet(f"{base}/table").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("keys"))
+    """The first content of every key, over several micro-batches."""
+    rows = t.spark.read.parquet(bounded(t)[0])
+    return rows.select("tenant_id", "event_id", "event_type", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"), "payload")
+
+
+ACCOUNTING_SQL = f"""WITH {STORED}
+SELECT (SELECT count(*) FROM v_log WHERE valid) AS "rows", count(*) AS inserted, (SELECT count(*) FROM v_log WHERE valid) - count(*) AS duplicates,
+  (SELECT count(*) FROM v_log WHERE NOT valid) AS quarantined, CAST(0 AS BIGINT) AS retries FROM stored"""
+
+
+def accounting(t, metrics):
+    return t.spark.read.parquet(metrics).groupBy().agg(*[F.sum(c).alias(c) for c in ("rows", "inserted", "duplicates", "quarantined", "retries")])
+
+
+@query("t9_dedupe_accounting", ACCOUNTING_SQL)
+def _(t):
+    return accounting(t, bounded(t)[1])
+
+
+@query("t7_ingest_counters", ACCOUNTING_SQL)
+def _(t):
+    """The counters that the ingest stream keeps for each batch, summed."""
+    return accounting(t, ingested(t)[2])
 
 
 @query("t6_observer_stream", f"""WITH {STORED}
 SELECT {UUID_SQL} AS event_id FROM stored WHERE event_id % 3 <> 1""")
 def _(t):
+    """Pending IDs over the table's feed: the stream is ended and started again after every batch of the table, so only its state knows what is pending."""
     table = ingested(t)[0]
     base = scratch_dir(t.spark, "observer")
+    keyed_state(t)
     pending = t.v_log.where("event_id % 3 <> 1").select(uuid_of().alias("event_id"))
-    events = t.spark.readStream.schema(sink.TABLE_SCHEMA).option("maxFilesPerTrigger", 64).parquet(table)
-    ingest.start_observer(t.spark, events, pending, f"{base}/seen", f"{base}/checkpoint").awaitTermination()
+    last = manifest.newest(t.spark, table).version
+    for until in range(1, MICRO_BATCHES):
+        events = feed.table_stream(t.spark, table, until * last // MICRO_BATCHES)
+        ingest.start_observer(t.spark, events, pending, f"{base}/seen", f"{base}/checkpoint").awaitTermination()
+    ingest.start_observer(t.spark, feed.table_stream(t.spark, table), pending, f"{base}/seen", f"{base}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{base}/seen").select("event_id")
 
 
-def folder_of(t, name, build, parts=4):
-    """A derived table as several files, for a stream to read some at a time in ``order``."""
+@query("s4_published_log", """
+SELECT concat(tenant_id, ':', CAST(event_id AS STRING)) AS "key",
+       concat('{"event_id":"', CAST(event_id AS STRING), '","event_type":"', event_type, '","occurred_at":"2024-01-01T00:00:00.5Z","payload":', payload,
+              ',"tenant_id":"', tenant_id, '","received_at":"2024-01-02T00:00:00Z"}', chr(10)) AS "value", 'lake.events' AS topic
+FROM v_log WHERE valid""")
+def _(t):
+    """Envelopes published to the log by a stream, and read back from what its commits name."""
+    envelopes = ordered_folder(t, "envelopes", lambda: encode_envelopes(t.v_log.where("valid").select(
+        "tenant_id", "event_id", "event_type", "payload",
+        F.lit("2024-01-01 00:00:00.5").cast("timestamp").alias("occurred_at"), F.lit("2024-01-02 00:00:00").cast("timestamp").alias("received_at"),
+    )).select("key", "value", "event_id"), "event_id")
+    base = scratch_dir(t.spark, "published")
+    stream = t.spark.readStream.schema("key binary, value binary").option("maxFilesPerTrigger", 1).parquet(envelopes)
+    at_least(MICRO_BATCHES, feed.publish_stream(stream, f"{base}/log", f"{base}/checkpoint", "intake", "lake.events"))
+    return feed.read_published(t.spark, f"{base}/log").select(F.col("key").cast("string"), F.col("value").cast("string"), "topic")
+
+
+def ordered_folder(t, name, build, by, parts=MICRO_BATCHES + 1):
+    """A derived table as files of rising ``by``, written one after the other: a file stream takes them in that order."""
     def write():
         path = scratch_dir(t.spark, name)
-        build().repartitionByRange(parts, "seq").write.parquet(path)
+        rows = t.saved(name, build)
+        low, high = rows.agg(F.min(by), F.max(by)).first()
+        cuts = [low + (high - low) * k // parts for k in range(1, parts)]
+        for begin, end in zip([low, *cuts], [*cuts, high + 1], strict=True):
+            rows.where(F.col(by).between(begin, end - 1)).coalesce(1).write.mode("append").parquet(path)
         return path
 
-    return t.once(name, write)
+    return t.once(f"{name}_ordered", write)
 
 
 def drained(t, stream, name, mode="append"):
-    """What a stream appends, once it has read its whole input."""
+    """What a stream appends, once it has read its whole input in several micro-batches."""
     base = scratch_dir(t.spark, name)
-    stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").outputMode(mode).trigger(
-        availableNow=True
-    ).start().awaitTermination()
+    out = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+    at_least(MICRO_BATCHES, out.outputMode(mode).trigger(availableNow=True).start())
     return t.spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
@@ -145,19 +214,22 @@ def keyed_state(t):
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
 
 
-@query("t7_live_counters", """
+@query("t7_live_counters", f"""
 SELECT CASE kind WHEN 'storage' THEN 'success' WHEN 'progress' THEN 'timeout' ELSE 'error' END AS outcome, count(*) AS n, count(*) FILTER (WHERE failed) AS failures,
-  count(*) FILTER (WHERE seq % 100 <= 50) AS le_50 FROM v_operations GROUP BY 1""")
+  {", ".join(f"count(*) FILTER (WHERE seq % 1100 <= {int(b * 100)}) AS {ingest.bucket_name(b)}" for b in ingest.RECEIPT_BOUNDS if b * 100 >= 1)},
+  CAST(sum(seq % 1100) AS BIGINT) AS total FROM v_operations GROUP BY 1""")
 def _(t):
-    ops = folder_of(t, "operations", lambda: t.v_operations.select("seq", "kind", "failed"))
-    stream = t.spark.readStream.schema("seq bigint, kind string, failed boolean").option("maxFilesPerTrigger", 2).parquet(ops)
+    """Counters and a cumulative histogram for each outcome, kept over several micro-batches."""
+    ops = ordered_folder(t, "operations", lambda: t.v_operations.select("seq", "kind", "failed"), "seq")
+    stream = t.spark.readStream.schema("seq bigint, kind string, failed boolean").option("maxFilesPerTrigger", 1).parquet(ops)
     raw = F.when(F.col("kind") == "storage", "success").when(F.col("kind") == "progress", "timeout").otherwise(F.col("kind"))
     base = scratch_dir(t.spark, "counters")
+    bounds = [b for b in ingest.RECEIPT_BOUNDS if b * 100 >= 1]
     q = ingest.start_counters(
-        stream.withColumn("outcome", labels.outcome(raw)), ["outcome"], f"{base}/out", f"{base}/checkpoint",
-        [F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("failures"), F.count_if(F.col("seq") % 100 <= 50).alias("le_50")],
+        stream.withColumn("outcome", labels.outcome(raw)).withColumn("seconds", (F.col("seq") % 1100) / 100.0), ["outcome"], f"{base}/out", f"{base}/checkpoint",
+        [F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("failures"), F.sum(F.col("seq") % 1100).alias("total"), *ingest.histogram("seconds", bounds)],
     )
-    q.awaitTermination()
+    at_least(MICRO_BATCHES, q)
     newest = max(p["batchId"] for p in q.recentProgress)
     return t.spark.read.parquet(f"{base}/out/version={newest}")
 
@@ -165,16 +237,16 @@ def _(t):
 @query("t4_token_bucket_stream", BUCKET_SQL)
 def _(t):
     keyed_state(t)
-    path = folder_of(t, "bucket_requests", lambda: bucket_requests(t).withColumn("seq", F.col("request_id")), parts=2)
-    stream = t.spark.readStream.schema("tenant_id string, at_ns bigint, request_id bigint").option("maxFilesPerTrigger", 2).parquet(path)
+    path = ordered_folder(t, "bucket_requests", lambda: bucket_requests(t), "at_ns")
+    stream = t.spark.readStream.schema("tenant_id string, at_ns bigint, request_id bigint").option("maxFilesPerTrigger", 1).parquet(path)
     return drained(t, stateful.token_bucket_stream(stream, 1, idle_ttl_ms=None), "bucket_stream")
 
 
 @query("t5_alert_stream", ALERT_SQL)
 def _(t):
     keyed_state(t)
-    path = folder_of(t, "alert_operations", lambda: alert_operations(t), parts=2)
-    stream = t.spark.readStream.schema("kind string, seq bigint, at_ns bigint, failed boolean").option("maxFilesPerTrigger", 2).parquet(path)
+    path = ordered_folder(t, "alert_operations", lambda: alert_operations(t), "seq")
+    stream = t.spark.readStream.schema("kind string, seq bigint, at_ns bigint, failed boolean").option("maxFilesPerTrigger", 1).parquet(path)
     return drained(t, stateful.alert_stream(stream, COOLDOWN), "alert_stream")
 
 

@@ -2,36 +2,89 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Callable
 
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException, IllegalArgumentException, ParseException, PySparkTypeError, PySparkValueError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.store import EVENT_KEY, first_wins, merge_first_wins
+from tidemark.operators.store import merge_first_wins
 from tidemark.operators.tenancy import WRITER_POLICY
 from tidemark.operators.validation import validate_events
-from tidemark.sources.sink import committed_batches, quarantine_rows, write_batch
+from tidemark.sources.sink import BUCKETS, quarantine_rows, write_batch
+from tidemark.streaming.stateful import first_within, observed_stream
 
 
 #: Read what is there and stop. Give ``{"processingTime": "5 seconds"}`` for a stream that keeps running.
 DRAIN = {"availableNow": True}
-
-
-def with_retries(work: Callable[[], dict | None], policy: dict = WRITER_POLICY, sleep=time.sleep, clock=time.monotonic) -> dict | None:
+#: Retry waits of the storage writer, and how long one attempt may take before its jobs are cancelled.
+STORAGE_POLICY = {**WRITER_POLICY, "attempt_ms": 600_000}
+#: What no second attempt can mend: wrong plans, arguments and rights.
+PERMANENT = (AnalysisException, ParseException, IllegalArgumentException, PySparkTypeError, PySparkValueError, TypeError, ValueError, KeyError, PermissionError)
+
+
+class AttemptTimeout(Exception):
+    """An attempt was cancelled at its deadline."""
+
+
+def _attempt(work: Callable[[], dict | None], spark: SparkSession | None, attempt_ms: int | None) -> dict | None:
+    """Run ``work``; at the deadline all Spark jobs that it has started and starts are cancelled."""
+    if spark is None or attempt_ms is None:
+        return work()
+    tag, over = f"attempt-{uuid.uuid4().hex}", threading.Event()
+    done = threading.Event()
+
+    def cancel() -> None:
+        if done.wait(attempt_ms / 1000):
+            return
+        over.set()
+        while not done.wait(0.05):  # a job may begin after the first call
+            context.cancelJobsWithTag(tag)
+
+    context = spark.sparkContext
+    context.addJobTag(tag)
+    context.setInterruptOnCancel(True)  # also a task that waits for its Python worker ends
+    watch = threading.Thread(target=cancel, daemon=True)
+    watch.start()
+    try:
+        return work()
+    except Exception as e:
+        if over.is_set():
+            raise AttemptTimeout(f"no result within {attempt_ms} ms") from e
+        raise
+    finally:
+        done.set()
+        watch.join()
+        context.removeJobTag(tag)
+        context.setInterruptOnCancel(False)
+
+
+def with_retries(
+    work: Callable[[], dict | None], policy: dict = WRITER_POLICY, sleep=time.sleep, clock=time.monotonic,
+    spark: SparkSession | None = None, on_retry: Callable[[Exception], None] | None = None,
+) -> dict | None:
     """Run a batch write again after a failure, waiting longer each time, within the policy's window.
 
-    When the window is used up the last error is raised: the batch fails, the
-    stream stops, and its progress stays where it was.
+    With ``spark`` an attempt is cancelled after the policy's ``attempt_ms`` and may be tried again. Errors that can never succeed (``PERMANENT``) are
+    raised at once. When the window is used up the last error is raised: the batch fails, the stream stops, and its progress
+    stays where it was.
     """
     start, wait = clock(), policy["min_ms"] / 1000
     while True:
         try:
-            return work()
-        except Exception:
+            return _attempt(work, spark, policy.get("attempt_ms"))
+        except PERMANENT:
+            raise
+        except Exception as e:
             if clock() - start + wait > policy["window_ms"] / 1000:
                 raise
+            if on_retry is not None:
+                on_retry(e)
             sleep(wait)
             wait = min(wait * 2, policy["max_ms"] / 1000)
 
@@ -45,57 +98,48 @@ def start_ingest(
     metrics: str | None = None,
     dedupe_horizon: str | None = None,
     after_write: Callable[[int], None] | None = None,
-    policy: dict = WRITER_POLICY,
+    policy: dict = STORAGE_POLICY,
     trigger: dict = DRAIN,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Log stream to table and quarantine; progress is saved only after both are written.
 
-    With ``dedupe_horizon`` repeats are dropped by bounded state instead of against
-    the table: cheaper, but a repeat later than the horizon would be stored again, and
-    no ``metrics``, since what was dropped isn't counted.
+    ``buckets`` is the number of key index buckets of a table that does not exist yet. With ``dedupe_horizon`` repeats are told by bounded state
+    instead of by the table: cheaper, but a repeat later than the horizon is stored again, and a row that comes later than the horizon
+    after the newest one is dropped by the watermark. ``metrics`` gets one row for each batch.
     ``after_write`` runs between the write and the saved progress.
     """
-    if dedupe_horizon is not None:
-        if metrics is not None:
-            raise ValueError("metrics are not kept with dedupe_horizon")
-        return _start_bounded(source, table, quarantine, checkpoint, dedupe_horizon, after_write, policy, trigger)
+    write = _store if dedupe_horizon is None else _store_first
+    rows = source if dedupe_horizon is None else first_within(validate_events(source, "value", kind="envelope"), dedupe_horizon)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        result = with_retries(lambda: write_batch(batch, batch_id, table, quarantine), policy)
+        began, retries = time.monotonic(), []
+        result = with_retries(lambda: write(batch, batch_id, table, quarantine, buckets), policy, spark=batch.sparkSession, on_retry=retries.append)
         if metrics is not None:
+            result = {**result, "retries": len(retries), "elapsed_ms": int(1000 * (time.monotonic() - began))}
             row = spark.range(1).select(*[F.lit(v).cast("bigint").alias(k) for k, v in result.items() if k != "batch_id"])
             row.write.mode("overwrite").parquet(f"{metrics}/batch_id={batch_id}")
         if after_write is not None:
             after_write(batch_id)
 
-    return source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def _start_bounded(
-    source: DataFrame, table: str, quarantine: str, checkpoint: str, horizon: str, after_write: Callable[[int], None] | None, policy: dict, trigger: dict
-) -> StreamingQuery:
-    """Two streams over the same source, one for the poison and one that dedupes the valid rows; the second is returned.
+def _store(batch: DataFrame, batch_id: int, table: str, quarantine: str, buckets: int) -> dict:
+    return write_batch(batch, batch_id, table, quarantine, buckets)
 
-    Where the input is drained, the poison is in the quarantine before the second stream starts. Otherwise both keep running.
-    """
-    checked = validate_events(source, "value", kind="envelope")
 
-    def set_aside(batch: DataFrame, batch_id: int) -> None:
-        with_retries(lambda: quarantine_rows(batch).write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}"), policy)
-
-    bad = checked.where("NOT valid").writeStream.foreachBatch(set_aside).option("checkpointLocation", f"{checkpoint}/quarantine")
-    poison = bad.trigger(**trigger).start()
-    if "availableNow" in trigger or "once" in trigger:
-        poison.awaitTermination()
-    good = checked.where("valid").withWatermark("received_at", horizon).dropDuplicatesWithinWatermark(list(EVENT_KEY))
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        cols = ("tenant_id", "event_id", "event_type", "occurred_at", "received_at", "payload")
-        with_retries(lambda: batch.select(*cols).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}"), policy)
-        if after_write is not None:
-            after_write(batch_id)
-
-    return good.writeStream.foreachBatch(store).option("checkpointLocation", f"{checkpoint}/table").trigger(**trigger).start()
+def _store_first(batch: DataFrame, batch_id: int, table: str, quarantine: str, buckets: int) -> dict:
+    """Poison to the quarantine and first contents to plain folders, whole ones each, so a replay changes nothing."""
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        quarantine_rows(batch.where("kind = 'poison'")).write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
+        first = batch.where("kind = 'first'")
+        first.select("tenant_id", "event_id", "event_type", "occurred_at", "received_at", "payload").write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        n = batch.agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("copies"))), F.lit(0)).alias(k) for k in ("first", "repeat", "poison"))).first()
+    finally:
+        batch.unpersist()
+    return {"batch_id": batch_id, "rows": n["first"] + n["repeat"], "inserted": n["first"], "duplicates": n["repeat"], "quarantined": n["poison"]}
 
 
 def replay_gap(log: DataFrame, table: DataFrame, order_cols=("part", "off")) -> DataFrame:
@@ -108,19 +152,29 @@ def start_observer(
 ) -> StreamingQuery:
     """Record, batch by batch, which pending IDs have become visible; each is recorded once.
 
-    ``out/batch_id=N`` holds the IDs first seen in batch N. What is still pending is
-    ``pending`` without the recorded IDs.
+    The IDs still pending are the stream's state, set up from ``pending`` when it first starts and shrinking from then on, so a batch reads its own
+    rows and their state, never earlier output. ``out/batch_id=N`` holds the IDs first seen in batch N.
     """
-    keys = list(keys)
 
-    def observe(batch: DataFrame, batch_id: int) -> None:
-        seen = first_wins(batch, keys, ["received_at"]).select(*keys, "received_at").join(pending.select(*keys).distinct(), keys)
-        earlier = [f"{out}/batch_id={b}" for b in committed_batches(spark, out) if b != batch_id]
-        if earlier:
-            seen = seen.join(spark.read.parquet(*earlier).select(*keys), keys, "left_anti")
-        seen.withColumn("observed_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    def record(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("observed_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    seen = observed_stream(stored, pending, list(keys))
+    return seen.writeStream.foreachBatch(record).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+# Upper bounds, in seconds, of the receipt-to-storage histogram.
+RECEIPT_BOUNDS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2, 5, 10, 30, 60)
+
+
+def bucket_name(bound: float) -> str:
+    """``le_0_25`` for 0.25."""
+    return f"le_{bound}".replace(".", "_")
+
 
-    return stored.writeStream.foreachBatch(observe).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+def histogram(value: str, bounds=RECEIPT_BOUNDS) -> list:
+    """Cumulative bucket counts of a column; a value on a bound belongs to it, one above all bounds only to the total count."""
+    return [F.count_if(F.col(value) <= b).alias(bucket_name(b)) for b in bounds]
 
 
 def start_counters(stream: DataFrame, by: list[str], out: str, checkpoint: str, aggregates: list, trigger: dict = DRAIN) -> StreamingQuery:

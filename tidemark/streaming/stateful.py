@@ -1,16 +1,17 @@
-"""The token bucket and the alert cooldown as live streams with keyed state."""
+"""Live streams with keyed state: token bucket, alert cooldown, first content within a horizon, pending IDs."""
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from tidemark.functions.labels import OPERATION_KINDS
 from tidemark.operators import folds
@@ -21,6 +22,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(folds)
 
 BUCKET_TTL_MS = 300_000
+POISON = "poison"  # begins the key of a row that is no event; event IDs are UUIDs
 
 BUCKET_OUT = StructType([
     StructField("tenant_id", StringType()), StructField("at_ns", LongType()), StructField("request_id", LongType()),
@@ -32,70 +34,187 @@ ALERT_OUT = StructType([
 ])
 
 
-def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """A key's rows of one micro-batch in order; the source bounds the micro-batch."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
+HELD_ROWS = 1_000_000  # rows of one key that are ordered in memory; more go through the state by slots of the order column
+SLOT_BITS = 30  # about a second of nanoseconds
+
+
+class _Ordered:
+    """A key's rows of one micro-batch in order, whatever their number: ``(order, tie, value)`` of whole numbers.
+
+    Few rows are sorted as one array. Beyond ``held`` rows the arrays go to map state, one list for each slot of the order column, and come back slot
+    by slot, so memory is bounded by the rows of one slot.
+    """
+
+    SLOT = StructType([StructField("slot", LongType())])
+    ROWS = StructType([StructField("rows", ArrayType(LongType()))])
+
+    def __init__(self, slots, held: int = HELD_ROWS):
+        self.slots, self.limit = slots, held
+        self.parts, self.size, self.used = [], 0, set()
+
+    def add(self, *columns) -> None:
+        self.parts.append(np.stack([np.asarray(c, np.int64) for c in columns], 1))
+        self.size += len(self.parts[-1])
+        if self.size > self.limit:
+            self._spill()
+
+    def _spill(self) -> None:
+        rows = np.concatenate(self.parts)
+        slot = rows[:, 0] >> SLOT_BITS
+        for s in np.unique(slot).tolist():
+            own = rows[slot == s].ravel().tolist()
+            if s in self.used:
+                own = list(self.slots.getValue((s,))[0]) + own
+            self.slots.updateValue((s,), (own,))
+            self.used.add(s)
+        self.parts, self.size = [], 0
+
+    def sorted(self) -> Iterator[np.ndarray]:
+        if not self.used:
+            yield self._in_order(np.concatenate(self.parts))
+            return
+        if self.parts:
+            self._spill()
+        for s in sorted(self.used):
+            yield self._in_order(np.array(self.slots.getValue((s,))[0], np.int64).reshape(-1, 3))
+            self.slots.removeKey((s,))
+
+    @staticmethod
+    def _in_order(rows: np.ndarray) -> np.ndarray:
+        return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
 
 
 class BucketProcessor(StatefulProcessor):
-    def __init__(self, rps: int, idle_ttl_ms: int | None):
+    def __init__(self, rps: int, idle_ttl_ms: int | None, held: int = HELD_ROWS):
         self.rps = rps
         self.idle_ttl_ms = idle_ttl_ms
+        self.held = held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = StructType([StructField("tokens", DoubleType()), StructField("last", LongType())])
         self.state = handle.getValueState("bucket", schema, ttlDurationMs=self.idle_ttl_ms)
+        self.slots = handle.getMapState("slots", _Ordered.SLOT, _Ordered.ROWS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, ["at_ns", "request_id"])
-        held = self.state.get() if self.state.exists() else None
-        tokens, last = (held[0], held[1]) if held else (float(self.rps), int(pdf["at_ns"].iloc[0]))
-        allowed, remaining = [], []
-        for now in pdf["at_ns"].astype("int64"):
-            tokens, ok, left = bucket_step(tokens, last, int(now), self.rps)
-            last = int(now)
-            allowed.append(ok)
-            remaining.append(left)
+        ordered = _Ordered(self.slots, self.held)
+        for pdf in rows:
+            ordered.add(pdf["at_ns"], pdf["request_id"], np.zeros(len(pdf)))
+        tokens, last = self.state.get() if self.state.exists() else (float(self.rps), None)
+        for part in ordered.sorted():
+            allowed, remaining = [], []
+            for now in part[:, 0].tolist():
+                tokens, ok, left = bucket_step(tokens, now if last is None else last, now, self.rps)
+                last = now
+                allowed.append(ok)
+                remaining.append(left)
+            yield pd.DataFrame({"tenant_id": key[0], "at_ns": part[:, 0], "request_id": part[:, 1], "allowed": allowed, "remaining": remaining})
         self.state.update((float(tokens), last))
-        yield pd.DataFrame({
-            "tenant_id": key[0], "at_ns": pdf["at_ns"].to_numpy(), "request_id": pdf["request_id"].to_numpy(),
-            "allowed": allowed, "remaining": remaining,
-        })
 
     def close(self) -> None:
         pass
 
 
 class AlertProcessor(StatefulProcessor):
-    def __init__(self, cooldown_ns: int):
+    def __init__(self, cooldown_ns: int, held: int = HELD_ROWS):
         self.cooldown_ns = cooldown_ns
+        self.held = held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         schema = StructType([StructField("failed", BooleanType()), StructField("last", LongType()), StructField("held", LongType())])
         self.state = handle.getValueState("alert", schema)
+        self.slots = handle.getMapState("slots", _Ordered.SLOT, _Ordered.ROWS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, ["seq"])
+        ordered = _Ordered(self.slots, self.held)
+        for pdf in rows:
+            ordered.add(pdf["seq"], pdf["failed"], pdf["at_ns"])
         failing, last, held = self.state.get() if self.state.exists() else (False, 0, 0)
-        lines = []
-        for seq, now, failed in zip(pdf["seq"], pdf["at_ns"], pdf["failed"], strict=True):
-            if not failed:
-                if failing:
-                    lines.append((key[0], seq, now, "recovered", held))
-                    failing, last, held = False, 0, 0
-            elif failing and now - last < self.cooldown_ns:
-                held += 1
-            else:
-                lines.append((key[0], seq, now, "failed", held))
-                failing, last, held = True, now, 0
+        for part in ordered.sorted():
+            lines = []
+            for seq, failed, now in part.tolist():
+                if not failed:
+                    if failing:
+                        lines.append((key[0], seq, now, "recovered", held))
+                        failing, last, held = False, 0, 0
+                elif failing and now - last < self.cooldown_ns:
+                    held += 1
+                else:
+                    lines.append((key[0], seq, now, "failed", held))
+                    failing, last, held = True, now, 0
+            yield pd.DataFrame(lines, columns=ALERT_OUT.fieldNames())
         self.state.update((bool(failing), int(last), int(held)))
-        yield pd.DataFrame(lines, columns=ALERT_OUT.fieldNames())
 
     def close(self) -> None:
         pass
 
 
-def token_bucket_stream(requests: DataFrame, rps: int, idle_ttl_ms: int | None = BUCKET_TTL_MS) -> DataFrame:
+class FirstProcessor(StatefulProcessor):
+    """Of a key's rows the first by log position, once within the horizon; repeats are one row with their number."""
+
+    def __init__(self, fields: list[str], horizon_ms: int):
+        self.fields, self.horizon_ms = fields, horizon_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", StructType([StructField("ms", LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if key[1].startswith(POISON):
+            yield from (self._row("poison", 1, r) for r in rows)
+            return
+        first, copies, newest = None, 0, 0
+        for r in rows:
+            copies += 1
+            newest = max(newest, int(r["received_at"].timestamp() * 1000))
+            if first is None or (r["partition"], r["offset"]) < (first["partition"], first["offset"]):
+                first = r
+        known, until = self.until.exists(), newest + self.horizon_ms
+        if known:
+            before = self.until.get()[0]
+            until = max(until, before)
+            if until > before:
+                self.handle.deleteTimer(before)
+        self.until.update((until,))
+        self.handle.registerTimer(until)
+        if not known:
+            yield self._row("first", 1, first)
+        if copies > (not known):
+            yield self._row("repeat", copies - (not known), None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.until.clear()
+        return iter(())
+
+    def _row(self, kind: str, copies: int, r: Row | None) -> Row:
+        return Row(kind=kind, copies=copies, **{f: r[f] if r is not None else None for f in self.fields})
+
+    def close(self) -> None:
+        pass
+
+
+class PendingProcessor(StatefulProcessor):
+    """Keys that wait are the state; the first stored row of one is passed on, and the key waits no longer."""
+
+    def __init__(self, keys: list[str]):
+        self.keys = keys
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getValueState("waiting", StructType([StructField("since", LongType())]))
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.waiting.update((0,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first = min((r["received_at"] for r in rows if r["received_at"] is not None), default=None)
+        if self.waiting.exists():
+            self.waiting.clear()
+            yield Row(**dict(zip(self.keys, key, strict=True)), received_at=first)
+
+    def close(self) -> None:
+        pass
+
+
+def token_bucket_stream(requests: DataFrame, rps: int, idle_ttl_ms: int | None = BUCKET_TTL_MS, held: int = HELD_ROWS) -> DataFrame:
     """Decisions over a live stream of (tenant_id, at_ns, request_id); idle state is dropped after five minutes.
 
     State expiry follows the wall clock, so such a stream runs until it is stopped.
@@ -103,14 +222,40 @@ def token_bucket_stream(requests: DataFrame, rps: int, idle_ttl_ms: int | None =
     a bucket is full again after one second.
     """
     return requests.groupBy("tenant_id").transformWithStateInPandas(
-        BucketProcessor(rps, idle_ttl_ms), outputStructType=BUCKET_OUT, outputMode="Append",
+        BucketProcessor(rps, idle_ttl_ms, held), outputStructType=BUCKET_OUT, outputMode="Append",
         timeMode="None" if idle_ttl_ms is None else "ProcessingTime",
     )
 
 
-def alert_stream(operations: DataFrame, cooldown_ns: int = COOLDOWN_NS) -> DataFrame:
+def alert_stream(operations: DataFrame, cooldown_ns: int = COOLDOWN_NS, held: int = HELD_ROWS) -> DataFrame:
     """Alert lines over a live stream of (kind, seq, at_ns, failed)."""
     known = operations.where(F.col("kind").isin(*OPERATION_KINDS))
     return known.groupBy("kind").transformWithStateInPandas(
-        AlertProcessor(cooldown_ns), outputStructType=ALERT_OUT, outputMode="Append", timeMode="None"
+        AlertProcessor(cooldown_ns, held), outputStructType=ALERT_OUT, outputMode="Append", timeMode="None"
+    )
+
+
+def first_within(checked: DataFrame, horizon: str) -> DataFrame:
+    """Validated log rows, each with ``kind``: ``first`` of its key within the horizon, ``repeat`` or ``poison``, and ``copies``.
+
+    The first is the earliest by (partition, offset) of a micro-batch, whatever order its rows arrive in. State of a key is dropped once the watermark
+    has passed its newest receipt time by the horizon. Poison passes the state untouched.
+    """
+    fields = ["topic", "partition", "offset", "key", "headers", "value", "error", "tenant_id", "event_id", "event_type", "occurred_at", "received_at", "payload"]
+    place = F.concat_ws(":", F.lit(POISON), "topic", "partition", "offset")
+    rows = checked.select(
+        F.when(F.col("valid"), F.col("tenant_id")).otherwise("").alias("__tenant"), F.when(F.col("valid"), F.col("event_id").cast("string")).otherwise(place).alias("__event"),
+        *(F.when(F.col("valid"), F.col(c)).alias(c) if c == "received_at" else F.col(c) for c in fields),
+    ).withWatermark("received_at", horizon)
+    out = StructType([StructField("kind", StringType()), StructField("copies", LongType()), *(StructField(f.name, f.dataType) for f in rows.select(*fields).schema)])
+    horizon_ms = int(pd.Timedelta(horizon).total_seconds() * 1000)
+    return rows.groupBy("__tenant", "__event").transformWithState(FirstProcessor(fields, horizon_ms), outputStructType=out, outputMode="Append", timeMode="EventTime")
+
+
+def observed_stream(stored: DataFrame, pending: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, received_at) of pending keys as they become visible in the stream ``stored``, each once."""
+    out = StructType([*(stored.schema[k] for k in keys), stored.schema["received_at"]])
+    waiting = pending.select(*keys).dropna().distinct().groupBy(*keys)
+    return stored.select(*keys, "received_at").groupBy(*keys).transformWithState(
+        PendingProcessor(keys), outputStructType=out, outputMode="Append", timeMode="None", initialState=waiting
     )
