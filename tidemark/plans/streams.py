@@ -292,6 +292,77 @@ def _(t):
     return files.file_inventory(t.spark, t.sf_dir).select("path", "size", "sha256")
 
 
+ARTIFACT_TEXT = "repeat(concat(CAST(s_suppkey AS STRING), ':', s_name, ';'), CAST(1 + s_suppkey % 50 AS INT))"
+
+
+def artifacts(t):
+    """(folder, manifest): a text file and a gzip file of two members for each supplier, some of them damaged after they were listed."""
+    def write():
+        base = scratch_dir(t.spark, "artifacts")
+
+        def packed(batches):
+            import gzip
+            import hashlib
+
+            import pandas as pd
+
+            for pdf in batches:
+                rows = []
+                for key, text in zip(pdf["s_suppkey"], pdf["text"], strict=True):
+                    fault, raw = key % 20, text.encode()
+                    whole = gzip.compress(raw[:40], mtime=7 if fault == 4 else 0) + gzip.compress(raw[40:], mtime=0)
+                    sent = {2: whole + b"x", 3: whole[:-1] + bytes([whole[-1] ^ 1]), 6: whole[:-5]}.get(fault, whole)
+                    listed = whole if fault != 6 else sent  # cut before it was listed: only what is in it tells
+                    size = len(raw) + (fault == 5)
+                    rows.append((f"gz/{key}.gz", sent, len(listed), hashlib.sha256(listed).hexdigest(), "gzip", size, fault))
+                    rows.append((f"text/{key}.txt", raw, len(raw), hashlib.sha256(raw).hexdigest(), "json", len(raw), fault))
+                yield pd.DataFrame(rows, columns=["path", "content", "size", "sha256", "codec", "raw_size", "fault"])
+
+        rows = t.supplier.selectExpr("s_suppkey", f"{ARTIFACT_TEXT} AS text").mapInPandas(
+            packed, "path string, content binary, size bigint, sha256 string, codec string, raw_size bigint, fault bigint"
+        )
+        made = scratch_dir(t.spark, "artifact-rows")
+        rows.write.parquet(made)
+        rows = t.spark.read.parquet(made)
+        gz = F.col("codec") == "gzip"
+        export.write_files(rows.where(~(gz & (F.col("fault") == 1))), base)  # 1 is listed, but not there
+        listed = rows.where(~(gz & (F.col("fault") == 7))).drop("content")  # 7 is there, but not listed
+        return base, listed.unionAll(listed.where(gz & (F.col("fault") == 8)))  # 8 is listed twice
+
+    return t.once("artifacts", write)
+
+
+@query("s12_artifact_files", f"""
+SELECT concat('text/', s_suppkey, '.txt') AS path, CAST(octet_length(encode(text)) AS BIGINT) AS "size", sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS raw_bytes
+FROM (SELECT s_suppkey, {ARTIFACT_TEXT.replace("AS INT", "AS BIGINT")} AS text FROM supplier)""")
+def _(t):
+    """Files written from the table and read back to their end: the shorter as one value, the longer ones block by block."""
+    found = files.file_inventory(t.spark, artifacts(t)[0], raw_sizes=True, whole_bytes=600)
+    return found.where("path LIKE 'text/%'").drop("gzip_time_zero")
+
+
+@query("j16_artifact_diff", """
+SELECT concat('gz/', s_suppkey, '.gz') AS path, CASE s_suppkey % 20 WHEN 1 THEN 'missing' WHEN 2 THEN 'size' WHEN 3 THEN 'hash' WHEN 7 THEN 'extra' ELSE 'repeated' END AS fault
+FROM supplier WHERE s_suppkey % 20 IN (1, 2, 3, 7, 8)""")
+def _(t):
+    """A manifest against the files that are there."""
+    from tidemark.operators.diffs import inventory_diff
+
+    base, listed = artifacts(t)
+    return inventory_diff(listed, files.file_inventory(t.spark, base))
+
+
+@query("r18_artifact_files", """
+SELECT concat('gz/', s_suppkey, '.gz') AS path, CASE s_suppkey % 20 WHEN 1 THEN 'missing' WHEN 2 THEN 'size' WHEN 3 THEN 'hash' WHEN 4 THEN 'gzip_time' ELSE 'raw_size' END AS fault
+FROM supplier WHERE s_suppkey % 20 BETWEEN 1 AND 6""")
+def _(t):
+    """References against the files: also a gzip file of two members, which is whole, and a cut one."""
+    from tidemark.operators.audit import r18_artifacts
+
+    base, listed = artifacts(t)
+    return r18_artifacts(listed.dropDuplicates(["path"]).drop("fault"), files.file_inventory(t.spark, base, raw_sizes=True, whole_bytes=600))
+
+
 @query("j16_inventory_diff", """
 SELECT concat(o_orderkey, '.json') AS path, CASE WHEN o_orderkey % 50 = 1 THEN 'missing' WHEN o_orderkey % 50 = 2 THEN 'extra' WHEN o_orderkey % 50 = 3 THEN 'repeated'
   WHEN o_orderkey % 50 = 4 THEN 'size' ELSE 'hash' END AS fault FROM orders WHERE o_orderkey % 50 BETWEEN 1 AND 5""")

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceStreamArrowWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from tidemark.sources.files import open_path
+
 FEED, PUBLISH = "tidemark_table", "tidemark_log"
 FEED_SCHEMA = (
     "tenant_id string, event_id string, event_type string, occurred_at timestamp, received_at timestamp, "
@@ -26,10 +28,6 @@ FEED_SCHEMA = (
 MAX_VALUE = 262_144 + 4_096  # bytes of an envelope
 
 
-def _located(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 def _files(fs: pafs.FileSystem, folder: str, ending: str) -> list[str]:
     found = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
     return sorted(f.path for f in found if f.path.endswith(ending) and not posixpath.basename(f.path).startswith(("_", ".")))
@@ -69,14 +67,14 @@ class _FeedReader(DataSourceStreamReader):
         self.table, self.until = table, None if until is None else int(until)
 
     def _version(self, number: int) -> dict | None:
-        fs, root = _located(self.table)
+        fs, root = open_path(self.table)
         return _json(fs, f"{root}/_manifest/{number:012d}.json")
 
     def initialOffset(self) -> dict:
         return {"version": -1}
 
     def latestOffset(self) -> dict:
-        fs, root = _located(self.table)
+        fs, root = open_path(self.table)
         hint = f"{root}/_manifest/newest"
         at = 0
         if fs.get_file_info(hint).type == pafs.FileType.File:
@@ -87,7 +85,7 @@ class _FeedReader(DataSourceStreamReader):
         return {"version": at if self.until is None else min(at, self.until)}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        fs, _ = _located(self.table)
+        fs, _ = open_path(self.table)
         first, last = start["version"], end["version"]
         if first < 0:  # all that the first kept version holds, merged or not
             first = (self._version(last) or {}).get("oldest", 0)
@@ -100,10 +98,10 @@ class _FeedReader(DataSourceStreamReader):
                 if e["path"] not in seen and e["level"] == 0:
                     new.append(e)
                 seen[e["path"]] = e
-        return [FilePart(f) for e in new for f in _files(fs, _located(e["path"])[1], ".parquet")]
+        return [FilePart(f) for e in new for f in _files(fs, open_path(e["path"])[1], ".parquet")]
 
     def read(self, partition: FilePart) -> Iterator[pa.RecordBatch]:
-        fs, _ = _located(self.table)
+        fs, _ = open_path(self.table)
         us = pa.timestamp("us", tz="UTC")
         want = pa.schema([(n, pa.string()) for n in ("tenant_id", "event_id", "event_type")] + [(n, us) for n in ("occurred_at", "received_at", "persisted_at")]
                          + [("payload", pa.string()), ("batch_id", pa.int64())])
@@ -168,7 +166,7 @@ class _Stage:
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        fs, root = _located(self.path)
+        fs, root = open_path(self.path)
         part = TaskContext.get().partitionId()
         fs.create_dir(f"{root}/records")
         path, out, n = f"{root}/records/{self.name}-{part}-{uuid.uuid4().hex}.parquet", None, 0
@@ -194,7 +192,7 @@ class _Stage:
         return Staged([path] if n else [], n)
 
     def _commit(self, messages: list, batch: int) -> None:
-        fs, root = _located(self.path)
+        fs, root = open_path(self.path)
         folder, done = f"{root}/commits", f"{root}/commits/{self.name}-{batch:012d}.json"
         files = [f for m in messages if m for f in m.files]
         if _json(fs, done) is not None:  # published before a crash; what was staged again does not count
@@ -208,7 +206,7 @@ class _Stage:
         fs.move(aside, done)
 
     def _abort(self, messages: list) -> None:
-        fs, _ = _located(self.path)
+        fs, _ = open_path(self.path)
         for f in (f for m in messages if m for f in m.files):
             fs.delete_file(f)
 
@@ -248,7 +246,7 @@ def publish_stream(envelopes: DataFrame, path: str, checkpoint: str, writer: str
 
 def read_published(spark: SparkSession, path: str) -> DataFrame:
     """(writer, batch, topic, partition, position, key, value) of all committed records; staged files that no commit names are not read."""
-    fs, root = _located(path)
+    fs, root = open_path(path)
     commits = _files(fs, f"{root}/commits", ".json")
     schema = "topic string, partition int, position bigint, key binary, value binary"
     if not commits:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+WHOLE_BYTES = 64 << 20  # files up to this size are read as one value
+BLOCK_BYTES = 4 << 20  # of a longer file that is held at once
+
 LOG_SCHEMA = T.StructType([
     T.StructField("topic", T.StringType()),
     T.StructField("partition", T.IntegerType()),
@@ -49,53 +55,92 @@ def read_captures(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+class Unpacked:
+    """Bytes in all members of a gzip file that comes block by block; -1 if it is damaged or cut. Holds one block of output at a time."""
+
+    def __init__(self, step: int = 1 << 20):
+        self.size, self.step, self.member = 0, step, None
+
+    def add(self, data: bytes) -> None:
+        while data and self.size >= 0:
+            self.member = self.member or zlib.decompressobj(31)
+            try:
+                self.size += len(self.member.decompress(data, self.step))
+            except zlib.error:
+                self.size = -1
+                return
+            data = self.member.unconsumed_tail
+            if self.member.eof:
+                data, self.member = self.member.unused_data, None
+
+    def total(self) -> int:
+        return self.size if self.member is None else -1
+
+
 def _unpacked(data: bytes) -> int:
-    """Bytes in all members of a gzip file; -1 if it is damaged or cut."""
-    size = 0
-    while data:
-        unpack = zlib.decompressobj(31)
-        try:
-            while data and not unpack.eof:
-                size += len(unpack.decompress(data, 1 << 20))
-                data = unpack.unconsumed_tail or (unpack.unused_data if unpack.eof else b"")
-        except zlib.error:
-            return -1
-        if not unpack.eof:
-            return -1
-    return size
-
-
-def _gzip_sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out = Unpacked()
+    out.add(data)
+    return out.total()
+
+
+def _read(path: str, blocks: Iterator[bytes]) -> tuple[int, str, bool, int]:
+    """(size, sha256, gzip_time_zero, raw_bytes) of a file that comes block by block."""
+    size, sha, head, raw = 0, hashlib.sha256(), b"", Unpacked() if path.endswith(".gz") else None
+    for block in blocks:
+        size += len(block)
+        sha.update(block)
+        head = head if len(head) >= 8 else (head + block)[:8]
+        if raw is not None:
+            raw.add(block)
+    return size, sha.hexdigest(), head[4:8] == bytes(4), raw.total() if raw is not None else size
+
+
+_FILE = "path string, size bigint, sha256 string, gzip_time_zero boolean, raw_bytes bigint"
+
+
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        sizes = []
-        for path, content in zip(pdf["path"], pdf["content"], strict=True):
-            size = len(content)
-            if path.endswith(".gz"):
-                size = _unpacked(bytes(content))
-            sizes.append(size)
-        yield pd.DataFrame({"path": pdf["path"], "raw_bytes": sizes})
+        rows = [(p, *_read(p, iter((bytes(c),)))) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
+        yield pd.DataFrame(rows, columns=["path", "size", "sha256", "gzip_time_zero", "raw_bytes"])
+
 
+def open_path(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path within it."""
+    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
-def file_inventory(spark: SparkSession, path: str, raw_sizes: bool = False) -> DataFrame:
+
+def _in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for path in pdf["path"]:
+            fs, place = open_path(path)
+            with fs.open_input_stream(place, compression=None) as f:
+                row = _read(path, iter(lambda: f.read(BLOCK_BYTES), b""))
+            yield pd.DataFrame([(path, *row)], columns=["path", "size", "sha256", "gzip_time_zero", "raw_bytes"])
+
+
+def file_inventory(spark: SparkSession, path: str, raw_sizes: bool = False, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """(path, size, sha256, gzip_time_zero[, raw_bytes]) of every file below a folder, paths relative to it.
 
-    Every file is read; Spark reads a file as one value, so one may have at most 2 GiB.
+    Every file is read to its end. Files of up to ``whole_bytes`` come as one value each, from any store that Spark reads. Longer ones, of any length,
+    are read by one task each, block by block in constant memory; their store must be known to ``pyarrow.fs``.
     """
     base = path.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    name = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:(//[^/]*)?", "")
+    read = files.where(F.col("length") <= whole_bytes).select("path", "content").mapInPandas(_whole, _FILE)
+    long = files.where(F.col("length") > whole_bytes).select("path").repartition(F.col("path")).mapInPandas(_in_blocks, _FILE)
     plain = base.split("://", 1)[-1] if "://" in base else base.removeprefix("file:")
-    relative = F.substring(name, F.lit(len(plain) + 2), F.length(name))
-    listed = files.select(F.col("path").alias("__p"), relative.alias("path"), F.col("length").alias("size"))
-    read = files.select(
-        F.col("path").alias("__p"), F.sha2("content", 256).alias("sha256"),
-        (F.substring("content", 5, 4) == F.unhex(F.lit("00000000"))).alias("gzip_time_zero"),
+
+    def relative(paths: DataFrame) -> DataFrame:
+        name = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:(//[^/]*)?", "")
+        return paths.withColumn("path", F.substring(name, F.lit(len(plain) + 2), F.length(name)))
+
+    # Spark lists empty files, but passes them by when it reads
+    listed = relative(spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string"))
+    empty = listed.join(relative(files.select("path")), "path", "left_anti").select(
+        "path", F.lit(0).cast("bigint"), F.lit(hashlib.sha256().hexdigest()), F.lit(False), F.lit(0).cast("bigint")
     )
-    out = listed.join(read, "__p", "left")
-    if raw_sizes:
-        sizes = files.select("path", "content").mapInPandas(_gzip_sizes, "path string, raw_bytes bigint")
-        out = out.join(sizes.withColumnRenamed("path", "__p"), "__p", "left")
-    return out.drop("__p")
+    out = relative(read.unionAll(long)).unionAll(empty)
+    return out if raw_sizes else out.drop("raw_bytes")
 
 
 # Allowed metric families below the application's prefix, and label rules.
