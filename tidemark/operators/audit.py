@@ -404,3 +404,12 @@ def r20_summaries(reports: DataFrame, summaries: DataFrame, keys: Sequence[str],
 
     content = [c for c in reports.columns if c not in keys]
     return snapshot_diff(strip_samples(reports, nested), summaries, keys, content)
+
+
+def r20_rows(reports: DataFrame, summaries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``r20_summaries`` of captures that are rows (keys, path, index, value): keys with a field that differs, is missing or too many."""
+    from tidemark.operators.store import snapshot_diff
+
+    fields = reports.where(F.col("index").isNull())
+    found = snapshot_diff(fields, summaries, [*keys, "path"], ["value"])
+    return found.select(*keys, F.lit("content").alias("difference")).distinct()

@@ -94,10 +94,17 @@ def decode_population(population: DataFrame, universe: DataFrame) -> DataFrame:
     universe keeps its row with ``valid`` false.
     """
     listed = population.select("run_id", "set_name", F.posexplode("indices").alias("position", "index"))
+    extras = population.select("run_id", "set_name", F.posexplode("extra").alias("position", "event_id"))
+    return decode_rows(listed, extras, universe)
+
+
+def decode_rows(listed: DataFrame, extras: DataFrame, universe: DataFrame) -> DataFrame:
+    """``decode_population`` of sets that are rows: (run_id, set_name, position, index) and extras (run_id, set_name, position, event_id)."""
     known = listed.join(universe, ["run_id", "index"], "left").select(
         "run_id", "set_name", F.col("position").cast("bigint").alias("position"), "event_id", F.col("event_id").isNotNull().alias("valid")
     )
-    extras = population.select(
-        "run_id", "set_name", F.size("indices").alias("base"), F.posexplode("extra").alias("offset", "event_id")
-    ).select("run_id", "set_name", (F.col("base") + F.col("offset")).cast("bigint").alias("position"), "event_id", F.lit(True).alias("valid"))
-    return known.unionByName(extras)
+    bases = listed.groupBy("run_id", "set_name").agg(F.count(F.lit(1)).alias("base"))
+    behind = extras.join(bases, ["run_id", "set_name"], "left")
+    return known.unionByName(behind.select(
+        "run_id", "set_name", (F.coalesce("base", F.lit(0)) + F.col("position")).cast("bigint").alias("position"), "event_id", F.lit(True).alias("valid")
+    ))

@@ -267,6 +267,19 @@ def _(t):
     return au.r20_summaries(r, s, ["run_id"], ["inner"])
 
 
+@query("r20_capture_summaries", """
+SELECT o_custkey AS run_id, 'content' AS difference FROM orders WHERE o_custkey % 13 = 5 GROUP BY o_custkey""")
+def _(t):
+    """Reports and their summaries as rows of fields: a report is never one value."""
+    from tidemark.plans.reports import captured
+    from tidemark.sources.captures import strip_sample_rows
+
+    fields = captured(t).select(F.col("file").cast("bigint").alias("run_id"), "path", "index", "value")
+    changed = (F.col("run_id") % 13 == 5) & (F.col("path") == "total_ns")
+    summary = strip_sample_rows(fields).withColumn("value", F.when(changed, (F.col("value").cast("bigint") + 1).cast("string")).otherwise(F.col("value")))
+    return au.r20_rows(fields, summary, ["run_id"])
+
+
 @query("r21_repetition_sets", """
 SELECT case_id, count(*) = 3 AND count(DISTINCT repetition) = 3 AND min(repetition) = 1 AND max(repetition) = 3 AND bool_and(c_custkey % 53 <> 8) AS complete
 FROM (SELECT c_custkey, CAST(floor(c_custkey / 3.0) AS BIGINT) AS case_id, CASE WHEN c_custkey % 30 = 7 THEN 1 ELSE 1 + c_custkey % 3 END AS repetition FROM customer WHERE c_custkey % 41 <> 3) GROUP BY case_id""")
@@ -333,3 +346,18 @@ def _(t):
         "run_id", F.lit("accepted").alias("set_name"), F.sequence(F.lit(0).cast("bigint"), F.col("n")).alias("indices"), F.array(-F.col("run_id")).alias("extra")
     )
     return gen.decode_population(pop, universe)
+
+
+@query("j12_decode_rows", """
+WITH u AS (SELECT user_id AS run_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT run_id, 'accepted' AS set_name, idx AS position, event_id, true AS valid FROM u
+UNION ALL SELECT run_id, 'accepted', n, CAST(NULL AS BIGINT), false FROM u WHERE idx = 0
+UNION ALL SELECT run_id, 'accepted', n + 1, -run_id, true FROM u WHERE idx = 0""")
+def _(t):
+    """The same sets, one row for each index: a run of any length is never one value."""
+    numbered = running(t.events.select(F.col("user_id").alias("run_id"), "event_id"), ["run_id"], "event_id", sums={"n": F.lit(1)}, unique=True)
+    universe = numbered.select("run_id", (F.col("n") - 1).alias("index"), "event_id")
+    mark = F.lit("accepted").alias("set_name")
+    beyond = numbered.groupBy("run_id").agg(F.max("n").alias("index"))
+    listed = universe.select("run_id", mark, F.col("index").alias("position"), "index").unionAll(beyond.select("run_id", mark, F.col("index").alias("position"), "index"))
+    return gen.decode_rows(listed, beyond.select("run_id", mark, F.lit(0).alias("position"), (-F.col("run_id")).alias("event_id")), universe)

@@ -1,10 +1,15 @@
 """Run reports, diffs, stateful decisions, the outbox ledger and generated identities."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import diffs, folds, outbox, runs
 from tidemark.functions import labels
+from tidemark.operators import diffs, folds, outbox, runs
 from tidemark.plans.catalog import query
+from tidemark.session import scratch_dir
+from tidemark.sources import captures
 
 LIMITS = "concat_ws(',', " + ", ".join(
     [f"CASE WHEN {c} > 0 THEN '{r}' END" for c, r in runs.COUNTED_LIMITS]
@@ -268,6 +273,47 @@ def _(t):
     )
 
 
+def capture_files(t):
+    """The same reports as captures: one gzip JSON file for each run, written sample by sample."""
+    def write():
+        base = scratch_dir(t.spark, "capture-files")
+        file = F.col("o_custkey").cast("string").alias("file")
+        sample = [t.orders.select(file, F.lit(p).alias("path"), F.col("o_orderkey").alias("index"), F.col("o_orderkey").cast("string").alias("value")) for p in ("ack_ns", "inner.backlog")]
+        totals = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("accepted"), F.sum("o_orderkey").alias("total_ns"))
+        held = {"accepted": "accepted", "inner.stored": "accepted", "total_ns": "total_ns"}
+        field = [totals.select(file, F.lit(p).alias("path"), F.lit(None).cast("bigint").alias("index"), F.col(c).cast("string").alias("value")) for p, c in held.items()]
+        captures.write_captures(reduce(DataFrame.unionAll, sample + field), base)
+        return base
+
+    return t.once("capture_files", write)
+
+
+def captured(t):
+    return captures.read_capture_rows(t.spark, capture_files(t))
+
+
+@query("s10_capture_rows", """
+SELECT o_custkey AS run_id, path, count(*) AS samples, CAST(sum(o_orderkey) AS BIGINT) AS total, count(*) - 1 AS last_index
+FROM orders, (VALUES ('ack_ns'), ('inner.backlog')) p(path) GROUP BY o_custkey, path""")
+def _(t):
+    """Samples of compressed captures, one row each."""
+    rows = captured(t).where(F.col("index").isNotNull())
+    return rows.groupBy(F.col("file").cast("bigint").alias("run_id"), "path").agg(
+        F.count(F.lit(1)).alias("samples"), F.sum(F.col("value").cast("bigint")).alias("total"), F.max("index").alias("last_index")
+    )
+
+
+@query("p11_strip_capture_rows", """
+SELECT o_custkey AS run_id, CAST(0 AS BIGINT) AS samples, count(*) AS accepted, CAST(sum(o_orderkey) AS BIGINT) AS total_ns, count(*) AS stored FROM orders GROUP BY o_custkey""")
+def _(t):
+    def field(p):
+        return F.max(F.when(F.col("path") == p, F.col("value").cast("bigint")))
+
+    return captures.strip_sample_rows(captured(t)).groupBy(F.col("file").cast("bigint").alias("run_id")).agg(
+        F.count("index").alias("samples"), field("accepted").alias("accepted"), field("total_ns").alias("total_ns"), field("inner.stored").alias("stored")
+    )
+
+
 # Outbox ledger.
 @query("l1_orders", """
 SELECT order_id, amount_cents, concat('ev-', CAST(order_id AS STRING)) AS event_id FROM v_order_requests WHERE attempt = 0""")
