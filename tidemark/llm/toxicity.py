@@ -28,6 +28,7 @@ from tidemark.session import scratch_dir
 
 PRIOR = 0.02  # weight of the Dirichlet prior against the counts: a token is expected in either class by its overall share
 Z, LEAST = 5.0, 1.0  # signed root of the likelihood ratio statistic, and log-odds, from which a token counts
+BLOCK = 1 << 20  # bytes of text worked on together
 LEXICON = 100_000  # tokens of a model that is broadcast; a larger one is mapped from the shared folder
 BIN = 1 / 32  # width of the evidence classes that the calibration counts
 STEMS = (4, 5, 6, 7, 8)  # bytes of a word's beginning that are tokens too, for words that toxic texts inflect
@@ -122,7 +123,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(c, pa.int64()) for c in ("h", "toxic", "clean", "toxic_all", "clean_all")])
     for batch in batches:
         label = batch.column(1).to_numpy(zero_copy_only=False)
-        for low, high, offsets, data in blocks(batch.column(0)):
+        for low, high, offsets, data in blocks(batch.column(0), BLOCK):
             words = find_words(data, offsets, PUNCTUATION)
             if not len(words.hashes):
                 continue
@@ -153,7 +154,7 @@ def _hits(data: np.ndarray, words, model: Model) -> tuple[np.ndarray, np.ndarray
 
 def _scanned(texts: pa.Array, model: Model):
     """(row, words of the text, segments by word place, words of the block, bytes) for each text."""
-    for low, high, offsets, data in blocks(texts):
+    for low, high, offsets, data in blocks(texts, BLOCK):
         words = find_words(data, offsets, PUNCTUATION)
         places, scores = _hits(data, words, model)
         cut = np.searchsorted(places, words.first)
@@ -220,7 +221,7 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0)
         schema = pa.schema([(c, pa.int64()) for c in ("w1", "h1", "w0", "h0")])
         for batch in batches:
             toxic, tally = batch.column(1).to_numpy(zero_copy_only=False), np.zeros((2, 2), np.int64)
-            for low, high, offsets, data in blocks(batch.column(0)):
+            for low, high, offsets, data in blocks(batch.column(0), BLOCK):
                 words = find_words(data, offsets, PUNCTUATION)
                 hits = np.diff(np.searchsorted(_hits(data, words, shared.value)[0], words.first))
                 for label in (0, 1):
