@@ -1,5 +1,6 @@
 """Goldens and brute-force checks of the operators."""
 
+import pytest
 import hashlib
 import math
 import random
@@ -125,3 +126,16 @@ def test_inventory_and_metrics(spark, tmp_path):
     assert got["sub/a.json"] == (5, hashlib.sha256(b"hello").hexdigest())
     m = {(r.metric, r.value, r.status) for r in files.read_metrics_text(spark, str(tmp_path / "m.txt"), "lake_").collect()}
     assert m == {("lake_stored_total", 3.0, "number"), ("lake_db_pool_max", None, "unlimited")}
+
+
+def test_study_audit_takes_the_rules_whose_tables_are_given(spark):
+    from tidemark.operators import audit
+
+    studies = spark.createDataFrame([("a", "full"), ("b", "smoke")], "run_id string, mode string")
+    cases = spark.createDataFrame([("a", i) for i in range(25)] + [("b", 1), ("b", 1)], "study_id string, case_id int")
+    texts = spark.createDataFrame([("x", "see postgres://host"), ("y", "clean")], "name string, text string")
+    got = audit.audit_study({"studies": studies, "registry": cases, "texts": texts}).collect()
+    assert sorted((r.subject, r.rule, r.passed, r.detail) for r in got) == [
+        ("a", "R12", True, ""), ("b", "R12", False, "mode,unique"), ("study", "R17", False, "1"), ("x", "R17", False, "postgres://")]
+    with pytest.raises(ValueError, match="R1 needs"):
+        audit.audit_study({"texts": texts}, ["R1"])

@@ -24,7 +24,7 @@ from tidemark.functions import labels
 from tidemark.operators import reconcile, timeline
 from tidemark.operators.ordered import join_nullsafe, running
 from tidemark.operators.ranks import nearest_rank
-from tidemark.operators.runs import LOAD_COUNTERS, METHODS, MIN_FAULTS
+from tidemark.operators.runs import LOAD_COUNTERS, METHODS, MIN_FAULTS, repetition_sets
 
 REL_TOLERANCE = 1e-12
 OBSERVATION_STATES = ("complete", "partial", "failed", "not_run")
@@ -267,6 +267,10 @@ SHA256_SHAPE = "^[0-9a-f]{64}$"
 REVISION_SHAPE = "^[0-9a-f]{40}$"
 SECRET_MARKERS = ("postgres://", "POSTGRES_ADMIN_PASSWORD", "POSTGRES_WRITER_PASSWORD", "-----BEGIN PRIVATE KEY")
 CALIBRATION_SETS = ("accepted", "attempted", "sink_received")
+CALIBRATION_KIND, CALIBRATION_PROTOCOL, CALIBRATION_RUNS = "tls_driver_calibration", "HTTP/1.1", 3
+CALIBRATION_RATES = (15_000, 30_000, 50_000)
+CALIBRATION_CONTROLS = {"batch_size": 100, "payload_bytes": 1024, "concurrency": 128, "max_connections": 128, "window_ns": 10_000_000_000}
+REGISTRY_CASES = {"full": 25, "connections": 12, "smoke": 2}
 OUTBOX_ROWS = 100
 OUTBOX_TIMEOUT_NS = 5_000_000_000
 OUTBOX_FIRST_STATUS = ("http_503", "delivery_uncertain")
@@ -291,6 +295,16 @@ def r12_manifest(manifests: DataFrame, topics: Sequence[tuple[str, int]]) -> Dat
     })
 
 
+def r12_registry(studies: DataFrame, cases: DataFrame, publication: bool = True) -> DataFrame:
+    """Per study (run_id, mode): as many ``cases`` (study_id, case_id) as its mode asks for, each ID once. A smoke study is no publication."""
+    g = cases.groupBy(F.col("study_id").alias("run_id")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("case_id").alias("ids"))
+    want = F.create_map(*[F.lit(x) for item in REGISTRY_CASES.items() for x in item])[F.col("mode")]
+    return verdict(per_run(studies, g), "R12", {
+        "mode": want.isNotNull() & (F.lit(not publication) | (F.col("mode") != "smoke")),
+        "cardinality": F.coalesce("n", F.lit(0)) == want, "unique": F.coalesce(F.col("n") == F.col("ids"), F.lit(True)),
+    })
+
+
 def r13_provenance(runs: DataFrame) -> DataFrame:
     """Revision and fingerprint shapes, clean sources for full runs, and recomputed control fingerprints if given."""
     prints = [c for c in runs.columns if c.endswith("_fingerprint") and not c.startswith("computed_")]
@@ -328,6 +342,42 @@ def r14_calibration(runs: DataFrame, requests: DataFrame, digests: DataFrame) ->
     })
 
 
+def r14_transport(runs: DataFrame) -> DataFrame:
+    """What a calibration run says of its connections: (run_id, requests, active_requests, waiting, errors, protocols map, peak_open)."""
+    protocols = F.col("protocols")
+    return verdict(runs, "R14", {
+        "idle": (F.col("active_requests") == 0) & (F.col("waiting") == 0),
+        "errors": F.coalesce(F.size("errors"), F.lit(0)) == 0,
+        "protocols": (F.size(protocols) == 1) & (protocols[CALIBRATION_PROTOCOL] == F.col("requests")),
+        "connections": F.col("peak_open").between(1, CALIBRATION_CONTROLS["max_connections"]),
+    })
+
+
+def r14_reports(reports: DataFrame, runs: DataFrame) -> DataFrame:
+    """Calibration reports (run_id, schema, kind, source_sha, identity_sha, https, status and the controls) and their numbers of ``runs`` (report_id)."""
+    counts = runs.groupBy(F.col("report_id").alias("run_id")).agg(F.count(F.lit(1)).alias("n_runs"))
+    controls = reduce(lambda a, b: a & b, [F.col(k) == v for k, v in CALIBRATION_CONTROLS.items() if k != "max_connections"])
+    return verdict(per_run(reports, counts), "R14", {
+        "identity": (F.col("schema") == 2) & (F.col("kind") == CALIBRATION_KIND) & (F.col("source_sha") == F.col("identity_sha")) & F.col("https"),
+        "controls": controls & (F.col("max_open") == CALIBRATION_CONTROLS["max_connections"]) & (F.col("max_idle") == CALIBRATION_CONTROLS["max_connections"]),
+        "status": F.coalesce("status", F.lit("complete")) == "complete",
+        "repetitions": F.col("n_runs") == CALIBRATION_RUNS,
+    })
+
+
+def r14_cohort(studies: DataFrame, reports: DataFrame) -> DataFrame:
+    """Per study (run_id, identity_sha): the reports (study_id, rate, source_sha) hold each calibration rate once, all of the study's source."""
+    g = reports.groupBy(F.col("study_id").alias("run_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("rate").alias("rates"), F.bool_and(F.col("rate").isin(*CALIBRATION_RATES)).alias("known"),
+        F.countDistinct("source_sha").alias("sources"), F.max("source_sha").alias("source"),
+    )
+    n = len(CALIBRATION_RATES)
+    return verdict(per_run(studies, g), "R14", {
+        "cohort": (F.col("n") == n) & (F.col("rates") == n) & F.col("known"),
+        "source": (F.col("sources") == 1) & (F.col("source") == F.col("identity_sha")),
+    })
+
+
 def r15_database(runs: DataFrame, cases: DataFrame, repetitions: int = 3) -> DataFrame:
     """Per case: the method by repetition grid, counts, and the number and sum of timed batches.
 
@@ -413,3 +463,52 @@ def r20_rows(reports: DataFrame, summaries: DataFrame, keys: Sequence[str]) -> D
     fields = reports.where(F.col("index").isNull())
     found = snapshot_diff(fields, summaries, [*keys, "path"], ["value"])
     return found.select(*keys, F.lit("content").alias("difference")).distinct()
+
+
+def _found(findings: DataFrame, rule: str, detail: Column) -> DataFrame:
+    """Findings as failed rows, behind one row that says whether there are any."""
+    subject = F.concat_ws("/", *[F.col(c).cast("string") for c in findings.columns if c not in ("fault", "difference", "marker", "complete")])
+    rows = findings.select(subject.alias("subject"), F.lit(rule).alias("rule"), F.lit(False).alias("passed"), detail.alias("detail"))
+    none = findings.agg(F.count(F.lit(1)).alias("n")).select(F.lit("study").alias("subject"), F.lit(rule).alias("rule"), (F.col("n") == 0).alias("passed"), F.col("n").cast("string").alias("detail"))
+    return none.unionAll(rows)
+
+
+def _judged(verdicts: DataFrame) -> DataFrame:
+    return verdicts.select(F.col("run_id").cast("string").alias("subject"), "rule", "passed", "detail")
+
+
+#: Rules over a whole study, by the tables that each reads.
+STUDY_RULES: dict[str, Callable[[Tables], DataFrame]] = {
+    "R12": lambda t: _judged(r12_registry(t["studies"], t["registry"])),
+    "R13": lambda t: _judged(r13_provenance(t["provenance"])),
+    "R14": lambda t: _judged(r14_calibration(t["calibrations"], t["calibration_requests"], t["calibration_digests"])),
+    "R15": lambda t: _judged(r15_database(t["database_runs"], t["database_cases"])),
+    "R16": lambda t: _judged(r16_recovery(t["recoveries"], t["recovery_sets"])),
+    "R17": lambda t: _found(r17_secrets(t["texts"], "name", "text"), "R17", F.col("marker")),
+    "R18": lambda t: _found(r18_artifacts(t["artifact_refs"], t["artifact_files"]), "R18", F.col("fault")),
+    "R19": lambda t: _found(t["masked"].where("value IS NOT NULL AND revision_wrong").select("sample_id"), "R19", F.lit("value of a wrong revision")),
+    "R20": lambda t: _found(r20_rows(t["report_rows"], t["summary_rows"], ["run_id"]), "R20", F.col("difference")),
+    "R21": lambda t: _found(repetition_sets(t["repetitions"], 3).where("NOT complete"), "R21", F.lit("repetitions")),
+}
+
+
+class _NotGiven(Exception):
+    """A rule asks for a table that the study doesn't have."""
+
+
+class _Given(dict):
+    def __missing__(self, name: str) -> DataFrame:
+        raise _NotGiven(name)
+
+
+def audit_study(tables: Tables, rules: Sequence[str] | None = None) -> DataFrame:
+    """(subject, rule, passed, detail) for the asked ones of R1 to R21; without ``rules``, for all whose tables are given."""
+    every = {**{r: (lambda t, f=f: _judged(f(t))) for r, f in RUN_RULES.items()}, **STUDY_RULES}
+    given, parts = _Given(tables), []
+    for rule in every if rules is None else rules:
+        try:
+            parts.append(every[rule](given))
+        except _NotGiven as e:
+            if rules is not None:
+                raise ValueError(f"{rule} needs the table {e}") from e
+    return reduce(DataFrame.unionByName, parts)

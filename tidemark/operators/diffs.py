@@ -19,14 +19,17 @@ def registry_diff(recorded: DataFrame, approved: DataFrame) -> DataFrame:
 def identity_diff(a: DataFrame, b: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
     """Per key: the labels of fields that differ, in the given order, joined by commas; NULL equals NULL.
 
-    A key on one side only differs in every field that is not NULL there.
+    A key on one side only differs in every field that is not NULL there, or is ``absent`` on the other if all of them are.
 
     ``fields`` maps a column to its label.
     """
-    right = b.select(F.col(key), *[F.col(c).alias(f"__{c}") for c in fields])
+    left = a.select(key, *fields, F.lit(True).alias("__left"))
+    right = b.select(F.col(key), *[F.col(c).alias(f"__{c}") for c in fields], F.lit(True).alias("__right"))
     labels = F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"__{c}")), F.lit(label)) for c, label in fields.items()])
     text = F.array_join(F.filter(labels, lambda x: x.isNotNull()), ", ")
-    return a.join(right, key, "full").select(key, text.alias("differences")).where("differences <> ''")
+    one_sided = F.col("__left").isNull() | F.col("__right").isNull()
+    text = F.when(one_sided & (text == ""), "absent").otherwise(text)
+    return left.join(right, key, "full").select(key, text.alias("differences")).where("differences <> ''")
 
 
 def inventory_diff(manifest: DataFrame, files: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:

@@ -108,6 +108,15 @@ def completed_repetitions(runs: DataFrame) -> DataFrame:
     ).drop("methods")
 
 
+def completed_runs(runs: DataFrame) -> DataFrame:
+    """Completed repetitions of cases of any ``kind``: a database case needs correct runs of all three methods, others one correct run.
+
+    ``runs`` has (kind, case_id, method, repetition, correct); a pipeline or recovery repetition that was kept twice comes twice.
+    """
+    database = completed_repetitions(runs.where("kind = 'database'")).select(F.lit("database").alias("kind"), "case_id", "repetition")
+    return database.unionByName(runs.where(F.col("kind").isin("pipeline", "recovery") & _correct()).select("kind", "case_id", "repetition"))
+
+
 def repetition_sets(runs: DataFrame, repetitions: int) -> DataFrame:
     """Whether a case has each repetition exactly once, and all of them correct."""
     g = runs.groupBy("case_id").agg(

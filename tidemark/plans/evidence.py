@@ -202,6 +202,92 @@ def _(t):
     return au.r14_calibration(rec, q, digests).select("run_id", "rule", "passed")
 
 
+@query("r12_registry_cardinality", """
+SELECT c_custkey AS run_id, 'R12' AS rule, CASE c_custkey % 12 WHEN 1 THEN 'cardinality' WHEN 2 THEN 'unique' WHEN 3 THEN 'mode' WHEN 4 THEN 'mode,cardinality' WHEN 5 THEN 'cardinality' ELSE '' END AS detail FROM customer""")
+def _(t):
+    """Studies with a case too few, one ID twice, a smoke study, an unknown mode and none at all."""
+    key, n = F.col("c_custkey"), F.col("c_custkey") % 12
+    mode = F.when(n == 3, "smoke").when(n == 4, "other").when(key % 2 == 0, "full").otherwise("connections")
+    studies = t.customer.select(key.alias("run_id"), mode.alias("mode"), n.alias("n"))
+    want = F.when(F.col("mode") == "full", 25).when(F.col("mode") == "connections", 12).otherwise(2) - F.when(F.col("n") == 1, 1).otherwise(0)
+    cases = studies.where("n <> 5").select(F.col("run_id").alias("study_id"), "n", F.explode(F.sequence(F.lit(1), want)).alias("case_id"))
+    cases = cases.withColumn("case_id", F.when((F.col("n") == 2) & (F.col("case_id") == 2), 1).otherwise(F.col("case_id")))
+    return au.r12_registry(studies.drop("n"), cases.drop("n")).select("run_id", "rule", "detail")
+
+
+@query("r14_transport", """
+SELECT c_custkey AS run_id, 'R14' AS rule, CASE c_custkey % 15 WHEN 1 THEN 'idle' WHEN 2 THEN 'idle' WHEN 3 THEN 'errors' WHEN 4 THEN 'protocols' WHEN 5 THEN 'protocols'
+  WHEN 6 THEN 'connections' WHEN 7 THEN 'connections' ELSE '' END AS detail FROM customer""")
+def _(t):
+    key, n = F.col("c_custkey"), F.col("c_custkey") % 15
+    count = (key % 50 + 1).cast("long")
+    runs_ = t.customer.select(
+        key.alias("run_id"), count.alias("requests"), F.when(n == 1, 1).otherwise(0).alias("active_requests"), F.when(n == 2, 1).otherwise(0).alias("waiting"),
+        F.when(n == 3, F.array(F.lit("reset"))).otherwise(F.array().cast("array<string>")).alias("errors"),
+        F.when(n == 4, F.create_map(F.lit("HTTP/2.0"), count)).when(n == 5, F.create_map(F.lit("HTTP/1.1"), count - 1)).otherwise(F.create_map(F.lit("HTTP/1.1"), count)).alias("protocols"),
+        F.when(n == 6, 0).when(n == 7, 129).otherwise(key % 128 + 1).alias("peak_open"),
+    )
+    return au.r14_transport(runs_).select("run_id", "rule", "detail")
+
+
+@query("r14_reports", """
+SELECT p_partkey AS run_id, 'R14' AS rule, CASE p_partkey % 15 WHEN 1 THEN 'identity' WHEN 2 THEN 'identity' WHEN 3 THEN 'controls' WHEN 4 THEN 'controls' WHEN 5 THEN 'status'
+  WHEN 6 THEN 'repetitions' WHEN 7 THEN 'identity' ELSE '' END AS detail FROM part""")
+def _(t):
+    key, n = F.col("p_partkey"), F.col("p_partkey") % 15
+    controls = {**au.CALIBRATION_CONTROLS, "max_open": 128, "max_idle": 128}
+    reports_ = t.part.select(
+        key.alias("run_id"), F.when(n == 7, 1).otherwise(2).alias("schema"), F.lit(au.CALIBRATION_KIND).alias("kind"), F.col("p_name").alias("source_sha"),
+        F.when(n == 1, "other").otherwise(F.col("p_name")).alias("identity_sha"), (n != 2).alias("https"), F.when(n == 5, "failed").when(key % 2 == 0, "complete").alias("status"),
+        *[(F.lit(v) + F.when(((n == 3) & F.lit(k == "payload_bytes")) | ((n == 4) & F.lit(k == "max_idle")), 1).otherwise(0)).alias(k) for k, v in controls.items()],
+    )
+    runs_ = t.part.select(key.alias("report_id"), F.explode(F.sequence(F.lit(1), F.when(n == 6, 2).otherwise(3))).alias("repetition"))
+    return au.r14_reports(reports_, runs_).select("run_id", "rule", "detail")
+
+
+@query("r14_cohort", """
+SELECT s_suppkey AS run_id, 'R14' AS rule, CASE s_suppkey % 9 WHEN 1 THEN 'cohort' WHEN 2 THEN 'cohort' WHEN 3 THEN 'source' WHEN 4 THEN 'cohort,source' ELSE '' END AS detail FROM supplier""")
+def _(t):
+    """A missing rate, a rate twice, a report of another source, and no report."""
+    key, n = F.col("s_suppkey"), F.col("s_suppkey") % 9
+    studies = t.supplier.select(key.alias("run_id"), F.col("s_name").alias("identity_sha"))
+    rates = F.explode(F.array(*[F.lit(r) for r in au.CALIBRATION_RATES]))
+    reports_ = t.supplier.where(n != 4).select(key.alias("study_id"), n.alias("n"), F.col("s_name").alias("source_sha"), rates.alias("rate")).where("NOT (n = 1 AND rate = 30000)")
+    reports_ = reports_.withColumn("rate", F.when((F.col("n") == 2) & (F.col("rate") == 50_000), 30_000).otherwise(F.col("rate")))
+    reports_ = reports_.withColumn("source_sha", F.when((F.col("n") == 3) & (F.col("rate") == 15_000), "other").otherwise(F.col("source_sha")))
+    return au.r14_cohort(studies, reports_.drop("n")).select("run_id", "rule", "detail")
+
+
+STUDY_SQL = """
+WITH f AS (SELECT CASE s_suppkey % 20 WHEN 1 THEN 'missing' WHEN 2 THEN 'size' WHEN 3 THEN 'hash' WHEN 4 THEN 'gzip_time' WHEN 5 THEN 'raw_size' WHEN 6 THEN 'raw_size' END AS fault, concat('gz/', s_suppkey, '.gz') AS path FROM supplier),
+r AS (SELECT CAST(c_custkey AS STRING) AS subject, 'R12' AS rule, c_custkey % 7 <> 1 AS passed, CASE WHEN c_custkey % 7 = 1 THEN 'cardinality' ELSE '' END AS detail FROM customer
+UNION ALL SELECT path, 'R18', false, fault FROM f WHERE fault IS NOT NULL
+UNION ALL SELECT 'study', 'R18', count(fault) = 0, CAST(count(fault) AS STRING) FROM f
+UNION ALL SELECT CAST(o_custkey AS STRING), 'R20', false, 'content' FROM orders WHERE o_custkey % 13 = 5 GROUP BY o_custkey
+UNION ALL SELECT 'study', 'R20', count(DISTINCT o_custkey) = 0, CAST(count(DISTINCT o_custkey) AS STRING) FROM orders WHERE o_custkey % 13 = 5)
+SELECT subject, rule, passed, detail FROM r"""
+
+
+@query("r_study_audit", STUDY_SQL)
+def _(t):
+    """Rules over registry, artifact files and captures in one audit."""
+    from tidemark.plans.reports import captured
+    from tidemark.plans.streams import artifacts
+    from tidemark.sources.captures import strip_sample_rows
+    from tidemark.sources.files import file_inventory
+
+    key = F.col("c_custkey")
+    base, listed = artifacts(t)
+    fields = captured(t).select(F.col("file").cast("bigint").alias("run_id"), "path", "index", "value")
+    changed = (F.col("run_id") % 13 == 5) & (F.col("path") == "total_ns")
+    cases = t.customer.select(key.alias("study_id"), F.explode(F.sequence(F.lit(1), F.when(key % 7 == 1, 11).otherwise(12))).alias("case_id"))
+    return au.audit_study({
+        "studies": t.customer.select(key.alias("run_id"), F.lit("connections").alias("mode")), "registry": cases,
+        "artifact_refs": listed.dropDuplicates(["path"]).drop("fault"), "artifact_files": file_inventory(t.spark, base, raw_sizes=True),
+        "report_rows": fields, "summary_rows": strip_sample_rows(fields).withColumn("value", F.when(changed, F.lit("0")).otherwise(F.col("value"))),
+    })
+
+
 @query("r15_database_grid", """
 SELECT CAST(floor(c_custkey / 9.0) AS BIGINT) AS run_id, 'R15' AS rule, run_id % 20 > 3 AND count(*) = 9 AS passed FROM customer GROUP BY 1""")
 def _(t):

@@ -74,6 +74,16 @@ def _(t):
     return runs.completed_repetitions(t.v_method_runs)
 
 
+@query("a15_completed_runs", """
+SELECT 'database' AS kind, case_id, repetition FROM v_method_runs GROUP BY case_id, repetition HAVING count(DISTINCT method) FILTER (WHERE correct) = 3
+UNION ALL SELECT CASE WHEN case_id % 2 = 0 THEN 'pipeline' ELSE 'recovery' END, case_id, repetition FROM v_runs WHERE correct""")
+def _(t):
+    """The three forms of a study: database cases by their methods, pipeline and recovery cases by their runs."""
+    database = t.v_method_runs.select(F.lit("database").alias("kind"), "case_id", "method", "repetition", "correct")
+    others = t.v_runs.select(F.when(F.col("case_id") % 2 == 0, "pipeline").otherwise("recovery").alias("kind"), "case_id", F.lit(None).cast("string").alias("method"), "repetition", "correct")
+    return runs.completed_runs(database.unionByName(others))
+
+
 @query("a18_ranges", """
 SELECT case_id, min(peak_open) AS min_peak_open, max(peak_open) AS max_peak_open, min(p95_ns) AS min_p95_ns, max(p95_ns) AS max_p95_ns FROM v_runs GROUP BY case_id""")
 def _(t):
@@ -229,6 +239,27 @@ def _(t):
     return diffs.identity_diff(a, b, "id", IDENTITY)
 
 
+# The identity of a study, by column and label, in the order in which differences are named.
+STUDY_IDENTITY = {
+    "source_sha": "revision", "source_print": "source", "controls_print": "controls", "images_print": "images", "config_print": "runtime",
+    "seed": "seed", "mode": "mode", "source_dirty": "dirty status",
+}
+DIFFERS = {c: f"p_partkey % {n} = {n - 3}" for c, n in zip(STUDY_IDENTITY, (7, 6, 5, 9, 11, 13, 8, 10), strict=True)}
+
+
+@query("j15_study_identity", f"""
+SELECT p_partkey AS id, CASE WHEN p_partkey % 31 IN (1, 2) THEN 'revision, source, controls, images, runtime, seed, mode, dirty status' WHEN p_partkey % 31 = 3 THEN 'absent'
+  ELSE concat_ws(', ', {", ".join(f"CASE WHEN {DIFFERS[c]} THEN '{label}' END" for c, label in STUDY_IDENTITY.items())}) END AS differences
+FROM part WHERE p_partkey % 31 IN (1, 2, 3) OR {" OR ".join(DIFFERS.values())}""")
+def _(t):
+    """All eight fields; keys on the left or the right side only, and one of them without any value."""
+    text = {c: F.concat(F.lit(f"{c}-"), F.col("p_partkey").cast("string")) for c in STUDY_IDENTITY}
+    n = F.col("p_partkey") % 31
+    left = t.part.where(n != 2).select(F.col("p_partkey").alias("id"), *[F.when(n != 3, text[c]).alias(c) for c in STUDY_IDENTITY])
+    right = t.part.where((n != 1) & (n != 3)).select(F.col("p_partkey").alias("id"), *[F.when(F.expr(DIFFERS[c]) & (n != 2), "x").otherwise(text[c]).alias(c) for c in STUDY_IDENTITY])
+    return diffs.identity_diff(left, right, "id", STUDY_IDENTITY)
+
+
 @query("a28_fingerprints", """
 WITH h AS (SELECT o_custkey % 100 AS run_id, sha256(concat('{"o_orderkey":', CAST(o_orderkey AS STRING), ',"o_orderpriority":"', o_orderpriority, '\\u0026"}')) AS h FROM orders)
 SELECT run_id, sha256(concat('["', string_agg(h, '","' ORDER BY h), '"]')) AS fingerprint FROM h GROUP BY run_id""")
