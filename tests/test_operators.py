@@ -1,11 +1,11 @@
 """Goldens and brute-force checks of the operators."""
 
-import pytest
 import hashlib
 import math
 import random
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import folds, generate, offsets, ranks, reconcile, timeline
