@@ -63,3 +63,27 @@ def test_completeness_judges_signs_and_verdicts(spark):
     one = df.where("method = 'copy-merge'")
     assert runs.repetition_sets(one, 2).first().complete
     assert not runs.repetition_sets(df.where("method = 'insert'"), 2).first().complete
+
+
+def test_hash_trees_of_wide_sets(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(s, f"{rng.randrange(5_000)}") for s in ("a", "b") for _ in range(3_000 if s == "a" else 40)] + [("c", None)]
+    frame = spark.createDataFrame(rows, "run_id string, m string").withColumn("h", F.sha2("m", 256)).distinct().where("m IS NOT NULL")
+
+    def digest(lines):
+        return hashlib.sha256("\n".join(sorted(lines)).encode()).hexdigest()
+
+    def plain(members, digits):
+        leaves, nodes = {}, {}
+        for m in members:
+            leaves.setdefault(hashlib.sha256(m.encode()).hexdigest()[:digits], []).append(m)
+        for leaf, own in leaves.items():
+            nodes.setdefault(leaf[:4], []).append((leaf, digest(own)))
+        return digest(f"{node}:{own[0][1] if digits == 4 else digest([f'{x}:{d}' for x, d in own])}" for node, own in nodes.items())
+
+    sets = {s: {m for x, m in rows if x == s} for s in ("a", "b")}
+    for wide, digits in ((1 << 26, {"a": 4, "b": 4}), (100, {"a": 8, "b": 4}), (0, {"a": 8, "b": 8})):
+        got = {r.run_id: (r.members, r.root) for r in reconcile.hash_tree(frame, ["run_id"], "h", "m", wide=wide).collect()}
+        assert got == {s: (len(sets[s]), plain(sets[s], digits[s])) for s in sets}

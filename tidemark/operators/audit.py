@@ -55,10 +55,18 @@ def sizes(sets: DataFrame) -> DataFrame:
 
 
 def r1_correctness(t: Tables) -> DataFrame:
-    digests = reconcile.set_digest(t["sets"]).select("run_id", "set_name", F.col("sha256").alias("computed"))
-    names = t["digests"].select("run_id", "set_name", "sha256").join(digests, ["run_id", "set_name"], "full")
-    empty = F.sha2(F.lit(""), 256)
-    same = names.groupBy("run_id").agg(F.bool_and(F.coalesce(F.col("sha256") == F.coalesce("computed", empty), F.lit(False))).alias("same"))
+    """Verdict and recorded digests. Digests with ``ids`` and ``tree_sha256`` are compared in parallel; flat ones need one pass over each set."""
+    tree = "tree_sha256" in t["digests"].columns
+    if tree:
+        digests = reconcile.tree_digest(t["sets"]).select("run_id", "set_name", F.concat_ws(":", "ids", "tree_sha256").alias("computed"))
+        recorded = t["digests"].select("run_id", "set_name", F.concat_ws(":", "ids", "tree_sha256").alias("recorded"))
+        empty = F.concat_ws(":", F.lit("0"), F.sha2(F.lit(""), 256))
+    else:
+        digests = reconcile.set_digest(t["sets"]).select("run_id", "set_name", F.col("sha256").alias("computed"))
+        recorded = t["digests"].select("run_id", "set_name", F.col("sha256").alias("recorded"))
+        empty = F.sha2(F.lit(""), 256)
+    names = recorded.join(digests, ["run_id", "set_name"], "full")
+    same = names.groupBy("run_id").agg(F.bool_and(F.coalesce(F.col("recorded") == F.coalesce("computed", empty), F.lit(False))).alias("same"))
     zero = F.col("missing") + F.col("unexpected") + F.col("duplicate_rows") + F.col("content_mismatch") == 0
     return verdict(per_run(t["runs"], same), "R1", {"correct": F.col("correct") & zero, "digests": F.col("same")})
 

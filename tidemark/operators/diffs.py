@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.reconcile import WIDE_SET, hash_tree
+
 
 def registry_diff(recorded: DataFrame, approved: DataFrame) -> DataFrame:
     """Rows on one side only, all columns compared, counted by copies. Empty when the registries agree."""
@@ -53,20 +55,15 @@ def canonical_bytes(row: Column) -> Column:
     return text
 
 
-def fingerprint(df: DataFrame, by: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """One hash per group of any size, whatever the row order.
+def fingerprint(df: DataFrame, by: Sequence[str], fields: Sequence[str], wide: int = WIDE_SET) -> DataFrame:
+    """(by, members, fingerprint): one hash per group of any size, whatever the row order.
 
-    Each row's canonical text is hashed; the hashes fall into 65,536 leaves by their
-    first digits, each leaf is hashed in order, then the sorted leaves.
+    Each row's canonical text is hashed; the hashes with their copies are the members of a hash tree, whose leaves stay small.
     """
     by = list(by)
     h = df.select(*by, F.sha2(canonical_bytes(F.struct(*fields)), 256).alias("h")).groupBy(*by, "h").agg(F.count(F.lit(1)).alias("c"))
-    leaf = h.groupBy(*by, F.substring("h", 1, 4).alias("leaf")).agg(
-        F.sha2(F.to_json(F.array_sort(F.collect_list(F.concat("h", F.lit(":"), F.col("c").cast("string"))))), 256).alias("d"), F.sum("c").alias("n")
-    )
-    return leaf.groupBy(*by).agg(
-        F.sum("n").alias("members"), F.sha2(F.to_json(F.array_sort(F.collect_list(F.concat("leaf", F.lit(":"), "d")))), 256).alias("fingerprint")
-    )
+    h = h.withColumn("entry", F.concat("h", F.lit(":"), F.col("c").cast("string")))
+    return hash_tree(h, by, "h", "entry", "c", F.to_json, wide).withColumnRenamed("root", "fingerprint")
 
 
 def small_fingerprint(df: DataFrame, by: Sequence[str], fields: Sequence[str]) -> DataFrame:

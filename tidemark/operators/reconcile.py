@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.json_udfs import canonical_json
+from tidemark.operators.ordered import join_nullsafe
 from tidemark.operators.store import first_wins
 
 SETS = ("attempted", "accepted", "ambiguous", "stored")
@@ -81,25 +82,46 @@ def flat_digest(ids: DataFrame, by: Sequence[str]) -> DataFrame:
     return ids.where("m IS NOT NULL").repartition(*by).sortWithinPartitions(*by, "m").select(*by, "m").mapInPandas(fold, schema)
 
 
+WIDE_SET = 1 << 26  # members of a set from which leaves are told by eight digits instead of four
+
+
+def hash_tree(rows: DataFrame, by: Sequence[str], hashed: str, text: str, copies: str | None = None, join: Callable[[Column], Column] | None = None, wide: int = WIDE_SET) -> DataFrame:
+    """(by, members, root): one digest for each set, from groups whose size is bounded whatever the set's.
+
+    Members fall into 65,536 leaves by the first four digits of ``hashed``, those of a set of over ``wide`` rows into 2^32 by eight. A leaf is the digest
+    of its sorted ``text``; eight-digit leaves are digested by their first four digits, and then the sorted list of what is left.
+    ``join`` makes a list one text. A set's digest depends on its members only.
+    """
+    by, n = list(by), F.sum(F.col(copies)) if copies else F.count(F.lit(1))
+    join = join or (lambda a: F.array_join(a, "\n"))
+    digest = lambda c: F.sha2(join(F.array_sort(F.collect_list(c))), 256)
+    large = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > wide).drop("__rows").withColumn("__wide", F.lit(True))
+    told = join_nullsafe(rows, large, by, "left")
+    leaf = F.when(F.col("__wide"), F.substring(hashed, 1, 8)).otherwise(F.substring(hashed, 1, 4))
+    leaves = told.groupBy(*by, leaf.alias("leaf")).agg(n.alias("c"), digest(F.col(text)).alias("d"))
+    entry = F.concat("leaf", F.lit(":"), "d")
+    nodes = leaves.groupBy(*by, F.substring("leaf", 1, 4).alias("node")).agg(
+        F.sum("c").alias("c"), F.when(F.max(F.length("leaf")) > 4, digest(entry)).otherwise(F.max("d")).alias("d")
+    )
+    return nodes.groupBy(*by).agg(F.sum("c").alias("members"), digest(F.concat("node", F.lit(":"), "d")).alias("root"))
+
+
+def tree_digest(sets: DataFrame, by: Sequence[str] = ("run_id", "set_name"), member: str = "event_id") -> DataFrame:
+    """(by, ids, tree_sha256) of the distinct members of each set, in parallel."""
+    by = list(by)
+    ids = sets.select(*by, F.col(member).cast("string").alias("m")).distinct().withColumn("h", F.sha2("m", 256))
+    return hash_tree(ids.where("m IS NOT NULL"), by, "h", "m").withColumnsRenamed({"members": "ids", "root": "tree_sha256"})
+
+
 def set_digest(sets: DataFrame, by: Sequence[str] = ("run_id", "set_name"), member: str = "event_id") -> DataFrame:
     """Digests of the distinct members of each set.
 
-    ``sha256`` is the SHA-256 of the sorted members joined by newlines: one ordered
-    pass over each set, in constant memory. ``tree_sha256`` has no such pass: members fall into 65,536 leaves by their own hash, each leaf
-    is digested alone, then the list of leaf digests. No group exceeds its bound.
+    ``sha256`` is the SHA-256 of the sorted members joined by newlines: one ordered pass over each set, in constant memory, which can't be made in
+    parallel. ``tree_sha256`` has no such pass; compare sets by it where you can.
     """
     by = list(by)
     ids = sets.select(*by, F.col(member).cast("string").alias("m")).distinct()
-    leafed = ids.withColumn("leaf", F.substring(F.sha2("m", 256), 1, 4))
-    leaves = leafed.groupBy(*by, "leaf").agg(
-        F.count(F.lit(1)).alias("c"), F.sha2(F.array_join(F.array_sort(F.collect_list("m")), "\n"), 256).alias("d")
-    )
-    tree = leaves.groupBy(*by).agg(
-        F.sum("c").alias("ids"),
-        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("leaf", F.lit(":"), "d"))), "\n"), 256).alias("tree_sha256"),
-    )
-    flat = flat_digest(ids, by)
-    return tree.join(flat, by, "left").select(*by, "ids", "sha256", "tree_sha256")
+    return tree_digest(sets, by, member).join(flat_digest(ids, by), by, "left").select(*by, "ids", "sha256", "tree_sha256")
 
 
 def set_rules(sets: DataFrame, run: str = "run_id") -> DataFrame:

@@ -55,8 +55,9 @@ def build_case(t):
         .unionByName(ev.where("ambiguous").select("run_id", F.lit("ambiguous").alias("set_name"), (F.col("u") - 1).alias("position"), "event_id"))
         .unionByName(stored).unionByName(stray)
     ))
-    digests = reconcile.set_digest(sets).select(
-        "run_id", "set_name", F.when((run == 2) & (F.col("set_name") == "stored"), F.repeat(F.lit("0"), F.lit(64))).otherwise(F.col("sha256")).alias("sha256")
+    digests = reconcile.tree_digest(sets).select(
+        "run_id", "set_name", "ids",
+        F.when((run == 2) & (F.col("set_name") == "stored"), F.repeat(F.lit("0"), F.lit(64))).otherwise(F.col("tree_sha256")).alias("tree_sha256"),
     )
     digests = t.saved("audit_digests", lambda d=digests: d)
     order = running(q.where("accepted"), ["run_id"], "request_id", sums={"n": F.lit(1)}, unique=True)
