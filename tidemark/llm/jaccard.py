@@ -342,14 +342,18 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
     classes = stored(components(links, "jaccard"), "jaccard-classes")
 
     marked = cells.join(classes, cells.key == classes.node, "left").select("h", "key", F.coalesce("component", "key").alias("cls"), "n")
+    # the columns of one shared passage have the same sets: dealt by their smallest set they meet in one task, which makes each pair once
+    columns = marked.groupBy("h").agg(F.min("key").alias("least_key"), F.approx_count_distinct("cls").alias("classes"), F.min("cls").alias("low"), F.max("cls").alias("high"))
+    columns = stored(columns.where("low <> high").select("h", "least_key", "classes"), "jaccard-columns")
     # a column of many classes holds a group of copies that mostly don't link: there a bitmap of each set rules out pairs at once
-    broad = stored(marked.groupBy("h").agg(F.approx_count_distinct("cls").alias("classes"), F.count("*").alias("rows")).where(f"classes >= {BROAD}").select("h"), "jaccard-broad")
+    broad = stored(columns.where(f"classes >= {BROAD}").select("h"), "jaccard-broad")
     within = marked.join(broad, "h")
     bits = stored(_bitmaps(docs, stored(within.select("key").distinct().join(keys, "key"), "jaccard-wanted"), width), "jaccard-bitmaps")
     slots = F.array(*(F.coalesce(F.min(F.expr(f"CASE WHEN pmod(h, {SLOTS}) = {i} THEN h END")), F.lit(0)) for i in range(SLOTS)))
-    within = within.join(bits.join(within.groupBy("key").agg(slots.alias("least")), "key"), "key")
-    marked = marked.join(broad, "h", "left_anti").selectExpr("*", "cast(NULL AS binary) AS bits", "cast(NULL AS array<long>) AS least").unionByName(within)
-    pairs = marked.repartition("h").sortWithinPartitions("h").mapInArrow(_pairs(percent), "a long, b long, a_n int, b_n int, shared long")
+    within = within.join(bits.join(within.groupBy("key").agg(slots.alias("least")), "key"), "key").withColumn("place", F.col("h"))
+    marked = marked.join(columns.where(f"classes < {BROAD}").select("h", F.col("least_key").alias("place")), "h")
+    marked = marked.selectExpr("*", "cast(NULL AS binary) AS bits", "cast(NULL AS array<long>) AS least").unionByName(within)
+    pairs = marked.repartition("place").sortWithinPartitions("place", "h").mapInArrow(_pairs(percent), "a long, b long, a_n int, b_n int, shared long")
     pairs = pairs.groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"), F.sum("shared").alias("shared"))
     # beyond its leading columns a set has ceil(p n) - 1 more
     rest = F.greatest(*(F.ceil(F.col(c) * percent / 100.0) - 1 for c in ("a_n", "b_n")))
