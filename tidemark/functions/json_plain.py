@@ -1,0 +1,43 @@
+"""A proof, in one expression, that a document is plain, and its fields.
+
+Plain documents have their fields in the usual order, strings without escapes or control characters, and a payload that is a flat object, a flat
+array or one scalar of short numbers. One regular expression matches such a document whole, so it is well-formed, has no unknown or
+repeated field, and its payload text is the matched text. All loops over characters are possessive and loops over members are bounded, so a match
+takes time in proportion to the text and little stack. Whatever does not match is left to the strict reader.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+CUT = "\x01"  # between the fields found; a plain document holds no control character
+MEMBERS = 48  # of a plain payload at most
+
+_GAP = r"[ \t\n\r]*+"
+_TEXT = r'"[^"\\\x00-\x1f]*+"'
+_NUMBER = r"-?+(?:0|[1-9][0-9]{0,17}+)(?:\.[0-9]{1,18}+)?+"
+_SCALAR = rf"(?:{_TEXT}|{_NUMBER}|true|false|null)"
+_MEMBER = rf"{_TEXT}{_GAP}:{_GAP}{_SCALAR}"
+
+
+def _list(item: str, opening: str, closing: str) -> str:
+    more = rf"(?:{_GAP},{_GAP}{item}){{0,{MEMBERS - 1}}}+"
+    return rf"{opening}{_GAP}(?:{item}{more}{_GAP})?+{closing}"
+
+
+_PAYLOAD = f"(?:{_list(_MEMBER, r'\{', r'\}')}|{_list(_SCALAR, r'\[', r'\]')}|{_SCALAR})"
+
+
+def plain_pattern(fields: tuple[str, ...]) -> str:
+    """Of a document with these fields, each once and in order; names match without regard to the case of ASCII letters."""
+    values = {f: f"({_PAYLOAD})" if f == "payload" else rf'"([^"\\\x00-\x1f]*+)"' for f in fields}
+    named = rf"{_GAP},{_GAP}".join(rf'"(?i:{f})"{_GAP}:{_GAP}{values[f]}' for f in fields)
+    return rf"\A{_GAP}\{{{_GAP}{named}{_GAP}\}}{_GAP}\z"
+
+
+def plain_fields(text: Column, fields: tuple[str, ...]) -> Column:
+    """The values of a plain document's fields as an array, else NULL; ``text`` is valid UTF-8."""
+    found = F.regexp_replace(text, F.lit(plain_pattern(fields)), F.lit(CUT.join(f"${i + 1}" for i in range(len(fields)))))
+    parts = F.split(found, CUT)
+    return F.when((F.instr(text, CUT) == 0) & (F.size(parts) == len(fields)), parts)

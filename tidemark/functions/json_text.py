@@ -118,7 +118,7 @@ def _skip(text: str, pos: int) -> int:
 def members(text: str, scan):
     """(name, value, start, end) of each member of the object that opens the text, then (None, None, end, end).
 
-    ``null`` yields no members. Raises ValueError or StopIteration on bad JSON.
+    ``null`` yields no members. Raises ValueError on bad JSON.
     """
     pos = _skip(text, 0)
     if text[pos : pos + 4] == "null":
@@ -138,7 +138,10 @@ def members(text: str, scan):
         if text[pos : pos + 1] != ":":
             raise ValueError("colon expected")
         start = _skip(text, pos + 1)
-        value, end = scan(text, start)
+        try:
+            value, end = scan(text, start)
+        except StopIteration:  # the scanner's word for no value; it must not leave a generator
+            raise ValueError("value expected") from None
         yield name, value, start, end
         pos = _skip(text, end)
         if text[pos : pos + 1] == "}":
@@ -174,7 +177,7 @@ def read_event(raw: bytes, fields: tuple[str, ...]) -> dict:
             elif value is not None or key == "event_id":
                 return {"fault": "json"}
             numbers.ok = True
-    except (ValueError, StopIteration, RecursionError):
+    except (ValueError, RecursionError):
         return {"fault": "json"}
     if _skip(text, tail) != len(text):
         return {"fault": "trailing"}
@@ -201,7 +204,7 @@ def split_batch(raw: bytes):
             if fold(name) not in BATCH_FIELDS or text[start] not in "[n":
                 return "json", None
             items = _slices(text, start, scan) if text[start] == "[" else []
-    except (ValueError, StopIteration, RecursionError):
+    except (ValueError, RecursionError):
         return "json", None
     return (None, items) if _skip(text, tail) == len(text) else ("trailing", None)
 

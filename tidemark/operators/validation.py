@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.functions.json_udfs import parse_event, parse_items, split_batch
+from tidemark.functions.json_plain import plain_fields
+from tidemark.functions.json_text import ENVELOPE_FIELDS, EVENT_FIELDS
+from tidemark.functions.json_udfs import EVENT_STRUCT, parse_event, parse_items, split_batch
 
 # Byte limits, items per batch, and the messages callers see.
 MAX_EVENT_BYTES = 262144
@@ -50,7 +52,12 @@ def validate_events(df: DataFrame, raw_col: str, max_bytes: int | None = None, k
     raw = F.col(raw_col).cast("binary")
     d = df.withColumn("__large", F.octet_length(raw) > limit)
     d = d.withColumn("__utf8", F.is_valid_utf8(raw))
-    d = d.withColumn("__doc", parse_event(kind)(F.when(~F.col("__large") & F.col("__utf8"), raw)))
+    readable = ~F.col("__large") & F.col("__utf8")
+    # documents that one expression proves plain are read by it; only others reach Python
+    fields = ENVELOPE_FIELDS if kind == "envelope" else EVENT_FIELDS
+    d = d.withColumn("__plain", F.when(readable, plain_fields(raw.cast("string"), fields)))
+    d = d.withColumn("__read", parse_event(kind)(F.when(readable & F.col("__plain").isNull(), raw)))
+    d = d.withColumn("__doc", F.when(F.col("__plain").isNotNull(), _plain_struct(F.col("__plain"), fields)).otherwise(F.col("__read"))).drop("__plain", "__read")
     p = F.col("__doc")
     # Typed fields become columns first: they are used several times and parsed once.
     typed = event_columns(p, kind)
@@ -69,6 +76,13 @@ def validate_events(df: DataFrame, raw_col: str, max_bytes: int | None = None, k
     return d.select(*kept, "error_class", *[c.alias(n) for n, c in out.items()])
 
 
+def _plain_struct(parts: Column, fields: tuple[str, ...]) -> Column:
+    """A plain document in the shape of ``parse_event``."""
+    values = {f: parts[i] for i, f in enumerate(fields)}
+    values["payload_fault"] = F.when(~values["payload"].startswith("{"), "payload_object")
+    return F.struct(*[values.get(f.name, F.lit(None)).cast("string").alias(f.name) for f in EVENT_STRUCT.fields])
+
+
 def event_columns(p: Column, kind: str) -> dict[str, Column]:
     """Typed fields of a parsed document."""
     cols = {
