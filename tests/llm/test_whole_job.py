@@ -150,3 +150,43 @@ def test_real_notices(spark):
     }
     rows = spark.createDataFrame(list(want.items()), "doc_id string, text string")
     assert {r.doc_id: r.licences for r in licenses.licences(rows).collect()} == {name: [name] for name in want}
+
+
+def test_wrapped_notices(spark):
+    """Each notice at two widths, plain and as a comment, also beside other text; and notices too far apart."""
+    import textwrap
+
+    raw = {
+        "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal "
+        "in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+        "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission "
+        "notice shall be included in all copies or substantial portions of the Software.",
+        "BSD-3-Clause": "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must "
+        "reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "GPL-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version.",
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies.",
+        "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this "
+        "software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "Unlicense": "This is free and unencumbered software released into the public domain.",
+        "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE)",
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    }
+    rows, want = [], {}
+    for name, text in raw.items():
+        for width in (72, 80):
+            for leader in ("", "# ", " * ", "// "):
+                lines = [x for par in text.split("\n\n") for x in [*textwrap.wrap(par, width - len(leader)), ""]]
+                wrapped = "\n".join((leader + x).rstrip() for x in lines)
+                key = f"{name} {width} {leader}"
+                rows.append((key, f"def f():\n    pass\n\n{wrapped}\n\nAnd more text\nof another kind"))
+                want[key] = [name]
+    rows += [("line", "Some words\nReleased under the MIT License\nmore words"), ("far", raw["MIT"].split("\n\n")[0] + " Word. " * 60 + raw["MIT"].split("\n\n")[1])]
+    want |= {"line": ["MIT"], "far": []}
+    frame = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: r.licences for r in licenses.licences(frame).collect()}
+    assert got == want
