@@ -341,7 +341,7 @@ def jaccard_components(documents: DataFrame, width: int = WIDTH, percent: int =
     links = stored(_verified(docs, keys, stars, width, percent), "jaccard-links")
     classes = stored(components(links, "jaccard"), "jaccard-classes")
 
-    marked = cells.join(classes, cells.key == classes.node, "left").select("h", "key", F.coalesce("component", "key").alias("cls"), "n")
+    marked = stored(cells.join(classes, cells.key == classes.node, "left").select("h", "key", F.coalesce("component", "key").alias("cls"), "n"), "jaccard-marked")
     # the columns of one shared passage have the same sets: dealt by their smallest set they meet in one task, which makes each pair once
     columns = marked.groupBy("h").agg(F.min("key").alias("least_key"), F.approx_count_distinct("cls").alias("classes"), F.min("cls").alias("low"), F.max("cls").alias("high"))
     columns = stored(columns.where("low <> high").select("h", "least_key", "classes"), "jaccard-columns")
