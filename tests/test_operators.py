@@ -139,3 +139,15 @@ def test_study_audit_takes_the_rules_whose_tables_are_given(spark):
         ("a", "R12", True, ""), ("b", "R12", False, "mode,unique"), ("study", "R17", False, "1"), ("x", "R17", False, "postgres://")]
     with pytest.raises(ValueError, match="R1 needs"):
         audit.audit_study({"texts": texts}, ["R1"])
+
+
+def test_running_keeps_columns(spark):
+    rows = [(k, i * 700_000, f"{k}{i}", None if i % 5 == 0 else i) for k in ("a", None) for i in range(60)]
+    frame = spark.createDataFrame(rows, "k string, o long, name string, v long").repartition(3)
+    got = running(frame, ["k"], "o", sums={"total": F.col("v")}, before_maxes={"prev": F.struct("o", "name")}, unique=True, keep=["name", "v"])
+    for r in got.collect():
+        i = r.o // 700_000
+        assert (r.name, r.v) == (f"{r.k}{i}", None if i % 5 == 0 else i) and r.total == sum(x for x in range(i + 1) if x % 5)
+        assert (r.prev and r.prev.name) == (f"{r.k}{i - 1}" if i else None)
+    with pytest.raises(ValueError):
+        running(frame, ["k"], "o", sums={"total": F.col("v")}, keep=["name"])

@@ -80,7 +80,7 @@ def _fold_cooldown(cooldown_ns: int):
                 if key != (kind, piece) or now - last >= cooldown_ns:
                     keep[i] = True
                     key, last = (kind, piece), now
-            yield pdf.loc[keep, ["kind", "seq"]]
+            yield pdf.loc[keep, ["kind", "seq", "at_ns", "failures"]]
 
     return fold
 
@@ -96,20 +96,18 @@ def alert_cooldown(operations: DataFrame, cooldown_ns: int = COOLDOWN_NS) -> Dat
     ops = operations.where(F.col("kind").isin(*OPERATION_KINDS)).select("kind", "seq", "at_ns", "failed")
     failure = F.col("failed").cast("bigint")
     now = F.struct("seq", "failed", "at_ns")
-    line = running(
-        ops, ["kind"], "seq", sums={"failures": failure}, maxes={"own": now}, before_maxes={"prev": now}, unique=True
-    ).select("kind", "seq", "failures", F.col("own.failed").alias("failed"), F.col("own.at_ns").alias("at_ns"), "prev")
+    line = running(ops, ["kind"], "seq", sums={"failures": failure}, before_maxes={"prev": now}, unique=True, keep=["failed", "at_ns"])
     after_failure = F.coalesce(F.col("prev.failed"), F.lit(False))
     sure = F.col("failed") & (~after_failure | (F.col("at_ns") - F.col("prev.at_ns") >= cooldown_ns))
     line = line.select("kind", "seq", "at_ns", "failed", "failures", after_failure.alias("after_failure"), F.when(sure, F.col("seq")).alias("start"))
-    pieces = running(line, ["kind"], "seq", maxes={"piece": F.col("start")}, unique=True)
-    failed = join_nullsafe(line.where("failed"), pieces, ["kind", "seq"], "inner").select("kind", "seq", "at_ns", "piece")
+    kept = ["at_ns", "failed", "failures", "after_failure"]
+    line = running(line, ["kind"], "seq", maxes={"piece": F.col("start")}, unique=True, keep=kept)
+    failed = line.where("failed").select("kind", "seq", "at_ns", "failures", "piece")
     ordered = failed.repartition(F.col("kind"), F.col("piece")).sortWithinPartitions("kind", "piece", "seq")
-    reported = ordered.mapInPandas(_fold_cooldown(cooldown_ns), "kind string, seq bigint").withColumn("reported", F.lit(True))
-    lines = join_nullsafe(line, reported, ["kind", "seq"], "left").where("reported OR (NOT failed AND after_failure)")
+    reported = ordered.mapInPandas(_fold_cooldown(cooldown_ns), "kind string, seq bigint, at_ns bigint, failures bigint").withColumn("failed", F.lit(True))
+    lines = reported.unionByName(line.where("NOT failed AND after_failure").select("kind", "seq", "at_ns", "failures", "failed"))
     # Failures since the line before: between two reports all but the new one, before a recovery all of them.
-    prior = running(lines, ["kind"], "seq", before_maxes={"prior": F.struct("seq", "failures", "failed")}, unique=True)
-    out = join_nullsafe(lines, prior, ["kind", "seq"], "inner")
+    out = running(lines, ["kind"], "seq", before_maxes={"prior": F.struct("seq", "failures", "failed")}, unique=True, keep=["at_ns", "failures", "failed"])
     gap = F.col("failures") - F.col("failed").cast("bigint") - F.col("prior.failures")
     within = F.coalesce(F.col("prior.failed"), F.lit(False))
     return out.select(

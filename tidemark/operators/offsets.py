@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import join_nullsafe, running
+from tidemark.operators.ordered import running
 
 # Fixed value: partitions of the event log, unless the caller names another number.
 LOG_PARTITIONS = 3
@@ -68,12 +68,9 @@ def segments(log: DataFrame, batch_size: int) -> DataFrame:
     A partition may hold any share of the log: positions come from running counts.
     """
     good = F.col("valid").cast("bigint")
-    at = running(log, ["part"], "off", sums={"poison": 1 - good, "good": good}, maxes={"bad": (~F.col("valid"))}, unique=True)
-    own = log.select("part", "off", "valid")
-    at = join_nullsafe(at, own, ["part", "off"], "inner")
+    at = running(log, ["part"], "off", sums={"poison": 1 - good, "good": good}, unique=True, keep=["valid"])
     # Good records before the latest poison record: where the current run of batches starts counting.
-    base = running(at, ["part"], "off", maxes={"base": F.when(~F.col("valid"), F.col("good"))}, unique=True)
-    j = join_nullsafe(at, base, ["part", "off"], "inner")
+    j = running(at, ["part"], "off", maxes={"base": F.when(~F.col("valid"), F.col("good"))}, unique=True, keep=["valid", "poison", "good"])
     chunk = F.floor((F.col("good") - F.coalesce("base", F.lit(0)) - 1) / batch_size)
     j = j.withColumn("chunk", F.when(F.col("valid"), chunk).otherwise(F.lit(-1)))
     return j.groupBy("part", "poison", "chunk").agg(

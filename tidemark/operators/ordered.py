@@ -35,20 +35,25 @@ def running(
     maxes: Mapping[str, Column] | None = None,
     before_maxes: Mapping[str, Column] | None = None,
     unique: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per (keys, order) with running aggregates up to that order value.
 
     ``sums`` and ``maxes`` include the row's own order value; ``before_maxes``
     cover strictly smaller ones. The maximum of ``struct(order, value)`` is the
     latest value, so ``before_maxes`` also serves as ``lag``. Set ``unique`` when
-    (keys, order) identifies a row, to save the merge of ties.
+    (keys, order) identifies a row, to save the merge of ties; then columns in ``keep``
+    come along, which saves a join back.
     """
+    if keep and not unique:
+        raise ValueError("rows of one order value are merged: their other columns can't be kept")
     sums, maxes, before = dict(sums or {}), dict(maxes or {}), dict(before_maxes or {})
     keys = list(keys)
     measures = {**{n: F.sum for n in sums}, **{n: F.max for n in maxes}, **{n: F.max for n in before}}
     exprs = {**sums, **maxes, **before}
 
-    base = df.select(*keys, order, *[c.alias(n) for n, c in exprs.items()])
+    keep = list(keep)
+    base = df.select(*keys, order, *keep, *[c.alias(n) for n, c in exprs.items()])
     if not unique:
         base = base.groupBy(*keys, order).agg(*[f(n).alias(n) for n, f in measures.items()])
 
@@ -83,9 +88,10 @@ def running(
     inside0 = base.withColumn("__b1", F.shiftright(F.col(order), RADIX_BITS)).select(
         *part0,
         order,
+        *keep,
         *[measures[n](n).over(under if n in before else upto).alias(n) for n in measures],
     )
-    return add_carry(inside0, carry1, part0, keys + [order])
+    return add_carry(inside0, carry1, part0, keys + [order] + keep)
 
 
 def prefix_sum(df: DataFrame, run: str, t: str, v: str) -> DataFrame:

@@ -119,12 +119,8 @@ def peak_overlap(intervals: DataFrame, start: str = "started_ns", end: str = "fi
 
 def monotonic(points: DataFrame, position: str = "position") -> DataFrame:
     """Per run: whether elapsed time and visible rows never decrease, in recorded order."""
-    prev = running(
-        points, ["run_id"], position, maxes={"e": F.col("elapsed_ns"), "v": F.col("visible")},
-        before_maxes={"pe": F.col("elapsed_ns"), "pv": F.col("visible")}, unique=True,
-    )
-    own = points.select("run_id", position, "elapsed_ns", "visible")
-    j = join_nullsafe(prev, own, ["run_id", position], "inner")
+    before = {"pe": F.col("elapsed_ns"), "pv": F.col("visible")}
+    j = running(points, ["run_id"], position, before_maxes=before, unique=True, keep=["elapsed_ns", "visible"])
     ok = lambda now, before: F.coalesce(F.col(now) >= F.col(before), F.lit(True))
     return j.groupBy("run_id").agg(
         F.bool_and(ok("elapsed_ns", "pe")).alias("time_ordered"), F.bool_and(ok("visible", "pv")).alias("visible_ordered")
@@ -170,8 +166,9 @@ def observed_curve(points: DataFrame) -> DataFrame:
 
 def request_positions(requests: DataFrame, order: str = "request_id") -> DataFrame:
     """Adds ``first``: the position of each request's first event in its run's attempted list."""
-    upto = running(requests, ["run_id"], order, sums={"upto": F.col("events")}, unique=True)
-    return join_nullsafe(requests, upto, ["run_id", order], "inner").withColumn("first", F.col("upto") - F.col("events")).drop("upto")
+    others = [c for c in requests.columns if c not in ("run_id", order)]
+    upto = running(requests, ["run_id"], order, sums={"upto": F.col("events")}, unique=True, keep=others)
+    return upto.withColumn("first", F.col("upto") - F.col("events")).drop("upto")
 
 
 def request_ids(requests: DataFrame, attempted: DataFrame, order: str = "request_id") -> DataFrame:
@@ -203,6 +200,6 @@ def attach_samples(samples: DataFrame, runs: DataFrame, width: int) -> DataFrame
 def consecutive_breaches(samples: DataFrame, order: str, value: str, limit: float, by: str = "run_id") -> DataFrame:
     """Rows above the limit whose previous row was above it too: where a guard stops the run."""
     over = F.col(value) > limit
-    prev = running(samples, [by], order, before_maxes={"prev": F.struct(F.col(order), over.alias("over"))}, unique=True)
-    j = join_nullsafe(samples, prev, [by, order], "inner")
+    others = [c for c in samples.columns if c not in (by, order)]
+    j = running(samples, [by], order, before_maxes={"prev": F.struct(F.col(order), over.alias("over"))}, unique=True, keep=others)
     return j.where(over & F.col("prev.over")).drop("prev")
