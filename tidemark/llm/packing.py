@@ -23,7 +23,9 @@ CAPACITY = 4096
 END_ID = 2
 DIMENSIONS, BITS = 4, 15  # of the curve
 HASHED = 512  # of the document vector
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 20  # words whose tokens a worker keeps
+CALL_WORDS = 1 << 13  # words tokenised in one call: what a call allocates stays with the worker
+BLOCK = 1 << 21  # bytes of text worked on together
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 _PIECES_DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -97,13 +99,14 @@ class WordTokens:
         unique, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
         keys = unique.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.place]
-        if new:
-            texts = [data[words.starts[f] : words.ends[f]].tobytes().decode("utf-8", "replace") for f in first[new]]
-            # one call for all words: an encoding for each would cost more than its tokens
+        for at in range(0, len(new), CALL_WORDS):
+            some = new[at : at + CALL_WORDS]
+            texts = [data[words.starts[f] : words.ends[f]].tobytes().decode("utf-8", "replace") for f in first[some]]
+            # one call for many words: an encoding for each would cost more than its tokens
             found = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
             sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(texts))
             ends = len(self.flat) + np.cumsum(sizes)
-            self.place.update(zip((keys[i] for i in new), range(len(self.begin), len(self.begin) + len(new))))
+            self.place.update(zip((keys[i] for i in some), range(len(self.begin), len(self.begin) + len(some))))
             self.flat = np.concatenate((self.flat, np.array(found.ids, np.uint32)))
             self.begin, self.end = np.concatenate((self.begin, ends - sizes)), np.concatenate((self.end, ends))
         return np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[back]
@@ -125,7 +128,7 @@ def _tokenised(vocabulary: str, end_id: int):
         cache, projection = word_tokens(vocabulary), _projection()
         schema = pa.schema([("curve", pa.int64()), ("doc_id", pa.int64()), ("check", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
-            for low, high, offsets, data in blocks(batch.column(1)):
+            for low, high, offsets, data in blocks(batch.column(1), BLOCK):
                 words = find_words(data, offsets, SPACES, lower=False)
                 row = cache.rows(data, words)
                 size = cache.end[row] - cache.begin[row]
