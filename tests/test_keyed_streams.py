@@ -17,6 +17,10 @@ from tidemark.streaming import ingest, stateful
 @pytest.fixture(autouse=True)
 def rocks(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # state stores cost more than these few rows
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", held)
 
 
 def written(spark, path, parts):
