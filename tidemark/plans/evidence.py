@@ -279,7 +279,7 @@ def _(t):
 
     key = F.col("c_custkey")
     base, listed = artifacts(t)
-    fields = captured(t).select(F.col("file").cast("bigint").alias("run_id"), "path", "index", "value")
+    fields = t.saved("capture_rows", lambda: captured(t)).select(F.col("file").cast("bigint").alias("run_id"), "path", "index", "value")
     changed = (F.col("run_id") % 13 == 5) & (F.col("path") == "total_ns")
     cases = t.customer.select(key.alias("study_id"), F.explode(F.sequence(F.lit(1), F.when(key % 7 == 1, 11).otherwise(12))).alias("case_id"))
     return au.audit_study({
@@ -361,7 +361,7 @@ def _(t):
     from tidemark.plans.reports import captured
     from tidemark.sources.captures import strip_sample_rows
 
-    fields = captured(t).select(F.col("file").cast("bigint").alias("run_id"), "path", "index", "value")
+    fields = t.saved("capture_rows", lambda: captured(t)).select(F.col("file").cast("bigint").alias("run_id"), "path", "index", "value")
     changed = (F.col("run_id") % 13 == 5) & (F.col("path") == "total_ns")
     summary = strip_sample_rows(fields).withColumn("value", F.when(changed, (F.col("value").cast("bigint") + 1).cast("string")).otherwise(F.col("value")))
     return au.r20_rows(fields, summary, ["run_id"])
