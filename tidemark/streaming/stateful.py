@@ -22,6 +22,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(folds)
 
 BUCKET_TTL_MS = 300_000
+PAGES = 1 << 16  # of state that keys are dealt over
 POISON = "poison"  # begins the key of a row that is no event; event IDs are UUIDs
 
 BUCKET_OUT = StructType([
@@ -149,42 +150,69 @@ class AlertProcessor(StatefulProcessor):
 
 
 class FirstProcessor(StatefulProcessor):
-    """Of a key's rows the first by log position, once within the horizon; repeats are one row with their number."""
+    """Of a key's rows the first by log position, once within the horizon; repeats are one row with their number.
+
+    Keys share a page of state, which is read and written once for all of its keys in a micro-batch, with one timer for the key that expires first.
+    """
+
+    PAGE = StructType([StructField("keys", ArrayType(StringType())), StructField("ms", ArrayType(LongType()))])
 
     def __init__(self, fields: list[str], horizon_ms: int):
         self.fields, self.horizon_ms = fields, horizon_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.until = handle.getValueState("until", StructType([StructField("ms", LongType())]))
+        self.until = handle.getValueState("until", self.PAGE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if key[1].startswith(POISON):
-            yield from (self._row("poison", 1, r) for r in rows)
-            return
-        first, copies, newest = None, 0, 0
+        found: dict[str, list] = {}  # first row, copies, newest receipt
         for r in rows:
-            copies += 1
-            newest = max(newest, int(r["received_at"].timestamp() * 1000))
-            if first is None or (r["partition"], r["offset"]) < (first["partition"], first["offset"]):
-                first = r
-        known, until = self.until.exists(), newest + self.horizon_ms
-        if known:
-            before = self.until.get()[0]
-            until = max(until, before)
-            if until > before:
-                self.handle.deleteTimer(before)
-        self.until.update((until,))
-        self.handle.registerTimer(until)
-        if not known:
-            yield self._row("first", 1, first)
-        if copies > (not known):
-            yield self._row("repeat", copies - (not known), None)
+            if r["__event"].startswith(POISON):
+                yield self._row("poison", 1, r)
+                continue
+            name, newest = f"{r['__event']}:{r['__tenant']}", int(r["received_at"].timestamp() * 1000)
+            seen = found.get(name)
+            if seen is None:
+                found[name] = [r, 1, newest]
+                continue
+            seen[1] += 1
+            seen[2] = max(seen[2], newest)
+            if (r["partition"], r["offset"]) < (seen[0]["partition"], seen[0]["offset"]):
+                seen[0] = r
+        if not found:
+            return
+        page = self._page()
+        due = min(page.values(), default=None)
+        for name, (first, copies, newest) in found.items():
+            known, until = name in page, newest + self.horizon_ms
+            page[name] = max(until, page[name]) if known else until
+            if not known:
+                yield self._row("first", 1, first)
+            if copies > (not known):
+                yield self._row("repeat", copies - (not known), None)
+        self._keep(page, due)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.until.clear()
+        now, watermark = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        page = {name: ms for name, ms in self._page().items() if ms > now and ms >= watermark}
+        if page:
+            self._keep(page, None)  # the timer that went off is gone
+        else:
+            self.until.clear()
         return iter(())
 
+    def _page(self) -> dict[str, int]:
+        held = self.until.get()
+        return dict(zip(held[0], held[1], strict=True)) if held is not None else {}
+
+    def _keep(self, page: dict[str, int], due: int | None) -> None:
+        self.until.update((list(page), list(page.values())))
+        first = min(page.values())
+        if first != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(first)
+
     def _row(self, kind: str, copies: int, r: Row | None) -> Row:
         return Row(kind=kind, copies=copies, **{f: r[f] if r is not None else None for f in self.fields})
 
@@ -235,11 +263,12 @@ def alert_stream(operations: DataFrame, cooldown_ns: int = COOLDOWN_NS, held: in
     )
 
 
-def first_within(checked: DataFrame, horizon: str) -> DataFrame:
+def first_within(checked: DataFrame, horizon: str, pages: int = PAGES) -> DataFrame:
     """Validated log rows, each with ``kind``: ``first`` of its key within the horizon, ``repeat`` or ``poison``, and ``copies``.
 
     The first is the earliest by (partition, offset) of a micro-batch, whatever order its rows arrive in. State of a key is dropped once the watermark
-    has passed its newest receipt time by the horizon. Poison passes the state untouched.
+    has passed its newest receipt time by the horizon. Poison passes the state untouched. Keys are dealt over ``pages`` of state by their hash: a stream that
+    was started with another number, or by a key of its own, can't be resumed.
     """
     fields = ["topic", "partition", "offset", "key", "headers", "value", "error", "tenant_id", "event_id", "event_type", "occurred_at", "received_at", "payload"]
     place = F.concat_ws(":", F.lit(POISON), "topic", "partition", "offset")
@@ -249,7 +278,8 @@ def first_within(checked: DataFrame, horizon: str) -> DataFrame:
     ).withWatermark("received_at", horizon)
     out = StructType([StructField("kind", StringType()), StructField("copies", LongType()), *(StructField(f.name, f.dataType) for f in rows.select(*fields).schema)])
     horizon_ms = int(pd.Timedelta(horizon).total_seconds() * 1000)
-    return rows.groupBy("__tenant", "__event").transformWithState(FirstProcessor(fields, horizon_ms), outputStructType=out, outputMode="Append", timeMode="EventTime")
+    page = F.pmod(F.xxhash64("__tenant", "__event"), F.lit(pages))
+    return rows.withColumn("__page", page).groupBy("__page").transformWithState(FirstProcessor(fields, horizon_ms), outputStructType=out, outputMode="Append", timeMode="EventTime")
 
 
 def observed_stream(stored: DataFrame, pending: DataFrame, keys: list[str]) -> DataFrame:
