@@ -108,10 +108,7 @@ def r4_requests(t: Tables) -> DataFrame:
     )
     sent = join_nullsafe(listed, attempted, ["run_id", "position"], "inner")
     kinds = {"accepted": F.col("accepted"), "ambiguous": F.col("ambiguous")}
-    upto = running(sent, ["run_id"], "position", sums={k: c.cast("bigint") for k, c in kinds.items()}, unique=True).select(
-        "run_id", "position", *[F.col(k).alias(f"upto_{k}") for k in kinds]
-    )
-    ranked = join_nullsafe(sent, upto, ["run_id", "position"], "inner")
+    ranked = running(sent, ["run_id"], "position", sums={f"upto_{k}": c.cast("bigint") for k, c in kinds.items()}, unique=True, keep=["event_id", *kinds])
     expected = reduce(DataFrame.unionByName, [
         ranked.where(c).select("run_id", F.lit(k).alias("set_name"), (F.col(f"upto_{k}") - 1).alias("position"), F.col("event_id").alias("sent_id"))
         for k, c in kinds.items()

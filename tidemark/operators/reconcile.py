@@ -96,14 +96,17 @@ def hash_tree(rows: DataFrame, by: Sequence[str], hashed: str, text: str, copies
     join = join or (lambda a: F.array_join(a, "\n"))
     digest = lambda c: F.sha2(join(F.array_sort(F.collect_list(c))), 256)
     large = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > wide).drop("__rows").withColumn("__wide", F.lit(True))
-    told = join_nullsafe(rows, large, by, "left")
+    told = join_nullsafe(rows, F.broadcast(large), by, "left")  # at most one set for each ``wide`` rows; a shuffle would move all members, by set
     leaf = F.when(F.col("__wide"), F.substring(hashed, 1, 8)).otherwise(F.substring(hashed, 1, 4))
-    leaves = told.groupBy(*by, leaf.alias("leaf")).agg(n.alias("c"), digest(F.col(text)).alias("d"))
+    # members go to their node's task once; leaves and nodes are then digested where they lie, and only nodes move on
+    dealt = told.withColumns({"leaf": leaf, "node": F.substring(hashed, 1, 4)}).select(*by, "node", "leaf", text, *([copies] if copies else [])).repartition(*by, "node")
+    leaves = dealt.groupBy(*by, "node", "leaf").agg(n.alias("c"), digest(F.col(text)).alias("d"))
     entry = F.concat("leaf", F.lit(":"), "d")
-    nodes = leaves.groupBy(*by, F.substring("leaf", 1, 4).alias("node")).agg(
+    nodes = leaves.groupBy(*by, "node").agg(
         F.sum("c").alias("c"), F.when(F.max(F.length("leaf")) > 4, digest(entry)).otherwise(F.max("d")).alias("d")
     )
-    return nodes.groupBy(*by).agg(F.sum("c").alias("members"), digest(F.concat("node", F.lit(":"), "d")).alias("root"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("node", F.unhex("d").alias("d")))), lambda x: F.concat(x["node"], F.lit(":"), F.lower(F.hex(x["d"]))))
+    return nodes.groupBy(*by).agg(F.sum("c").alias("members"), F.sha2(join(listed), 256).alias("root"))
 
 
 def tree_digest(sets: DataFrame, by: Sequence[str] = ("run_id", "set_name"), member: str = "event_id") -> DataFrame:

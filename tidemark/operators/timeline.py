@@ -7,6 +7,8 @@ of the rows.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,10 +166,10 @@ def observed_curve(points: DataFrame) -> DataFrame:
     )
 
 
-def request_positions(requests: DataFrame, order: str = "request_id") -> DataFrame:
-    """Adds ``first``: the position of each request's first event in its run's attempted list."""
+def request_positions(requests: DataFrame, order: str = "request_id", sums: Mapping[str, Column] | None = None) -> DataFrame:
+    """Adds ``first``: the position of each request's first event in its run's attempted list; ``sums`` are running totals made along with it."""
     others = [c for c in requests.columns if c not in ("run_id", order)]
-    upto = running(requests, ["run_id"], order, sums={"upto": F.col("events")}, unique=True, keep=others)
+    upto = running(requests, ["run_id"], order, sums={"upto": F.col("events"), **(sums or {})}, unique=True, keep=others)
     return upto.withColumn("first", F.col("upto") - F.col("events")).drop("upto")
 
 
