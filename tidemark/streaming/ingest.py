@@ -148,18 +148,18 @@ def replay_gap(log: DataFrame, table: DataFrame, order_cols=("part", "off")) ->
 
 
 def start_observer(
-    spark: SparkSession, stored: DataFrame, pending: DataFrame, out: str, checkpoint: str, keys=("event_id",), trigger: dict = DRAIN
+    spark: SparkSession, stored: DataFrame, pending: DataFrame, out: str, checkpoint: str, keys=("event_id",), trigger: dict = DRAIN, pages: int | None = None
 ) -> StreamingQuery:
     """Record, batch by batch, which pending IDs have become visible; each is recorded once.
 
     The IDs still pending are the stream's state, set up from ``pending`` when it first starts and shrinking from then on, so a batch reads its own
-    rows and their state, never earlier output. ``out/batch_id=N`` holds the IDs first seen in batch N.
+    rows and their state, never earlier output. ``out/batch_id=N`` holds the IDs first seen in batch N. With ``pages`` IDs share so many states.
     """
 
     def record(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("observed_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    seen = observed_stream(stored, pending, list(keys))
+    seen = observed_stream(stored, pending, list(keys), pages)
     return seen.writeStream.foreachBatch(record).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 

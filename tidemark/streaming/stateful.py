@@ -23,6 +23,7 @@ cloudpickle.register_pickle_by_value(folds)
 
 BUCKET_TTL_MS = 300_000
 PAGES = 1 << 16  # of state that keys are dealt over
+PENDING_PAGES = 1 << 14  # fewer, as a pending key is nothing but its name
 POISON = "poison"  # begins the key of a row that is no event; event IDs are UUIDs
 
 BUCKET_OUT = StructType([
@@ -242,6 +243,44 @@ class PendingProcessor(StatefulProcessor):
         pass
 
 
+class PendingPageProcessor(StatefulProcessor):
+    """As ``PendingProcessor``, with the waiting keys of a page as one state, which is read and written once for all of its keys in a micro-batch."""
+
+    def __init__(self, keys: list[str], fields: list[StructField]):
+        self.keys = keys
+        self.page = StructType([StructField(f.name, ArrayType(f.dataType)) for f in fields])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getValueState("waiting", self.page)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.waiting.update(tuple(initialState[k] for k in self.keys))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first: dict[tuple, object] = {}
+        for r in rows:
+            name, at = tuple(r[k] for k in self.keys), r["received_at"]
+            known = first.setdefault(name, at)
+            if known is None or (at is not None and at < known):
+                first[name] = at
+        held = self.waiting.get()
+        if held is None:
+            return
+        left = []
+        for name in zip(*held, strict=True):
+            if name in first:
+                yield Row(**dict(zip(self.keys, name, strict=True)), received_at=first[name])
+            else:
+                left.append(name)
+        if not left:
+            self.waiting.clear()
+        elif len(left) < len(held[0]):
+            self.waiting.update(tuple(list(column) for column in zip(*left, strict=True)))
+
+    def close(self) -> None:
+        pass
+
+
 def token_bucket_stream(requests: DataFrame, rps: int, idle_ttl_ms: int | None = BUCKET_TTL_MS, held: int = HELD_ROWS) -> DataFrame:
     """Decisions over a live stream of (tenant_id, at_ns, request_id); idle state is dropped after five minutes.
 
@@ -282,10 +321,19 @@ def first_within(checked: DataFrame, horizon: str, pages: int = PAGES) -> DataFr
     return rows.withColumn("__page", page).groupBy("__page").transformWithState(FirstProcessor(fields, horizon_ms), outputStructType=out, outputMode="Append", timeMode="EventTime")
 
 
-def observed_stream(stored: DataFrame, pending: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, received_at) of pending keys as they become visible in the stream ``stored``, each once."""
+def observed_stream(stored: DataFrame, pending: DataFrame, keys: list[str], pages: int | None = None) -> DataFrame:
+    """(keys, received_at) of pending keys as they become visible in the stream ``stored``, each once.
+
+    Each pending key is a state of its own. With ``pages`` keys, which must be text, whole numbers or the like, are dealt over so many states by their
+    hash: for many keys, as a state costs far more than a key in it. A stream that was started with another number can't be resumed.
+    """
     out = StructType([*(stored.schema[k] for k in keys), stored.schema["received_at"]])
-    waiting = pending.select(*keys).dropna().distinct().groupBy(*keys)
-    return stored.select(*keys, "received_at").groupBy(*keys).transformWithState(
-        PendingProcessor(keys), outputStructType=out, outputMode="Append", timeMode="None", initialState=waiting
-    )
+    rows, waiting = stored.select(*keys, "received_at"), pending.select(*keys).dropna()
+    if pages is None:
+        by, processor, initial = keys, PendingProcessor(keys), waiting.distinct().groupBy(*keys)
+    else:
+        page = F.pmod(F.xxhash64(*keys), F.lit(pages)).alias("__page")
+        by, processor, rows = ["__page"], PendingPageProcessor(keys, [stored.schema[k] for k in keys]), rows.select("*", page)
+        names = waiting.select("*", page).groupBy("__page").agg(F.collect_set(F.struct(*keys)).alias("__names"))
+        initial = names.select("__page", *[F.col(f"__names.{k}").alias(k) for k in keys]).groupBy("__page")
+    return rows.groupBy(*by).transformWithState(processor, outputStructType=out, outputMode="Append", timeMode="None", initialState=initial)
