@@ -21,6 +21,24 @@ def test_digests_move_members_once_and_never_by_set(spark, capsys):
     assert not re.search(r"hashpartitioning\([^)]*leaf", text)
 
 
+def test_digests_move_members_without_their_place(spark, capsys):
+    sets = spark.range(100).select((F.col("id") % 3).alias("run_id"), (F.col("id") % 2).cast("string").alias("set_name"), F.col("id").alias("event_id"))
+    text = plan(reconcile.tree_digest(sets), capsys)
+    assert "REPARTITION_BY_COL" in text and not re.search(r"Exchange hashpartitioning\([^)]*(node|leaf)#", text)
+
+
+def test_only_sets_that_may_be_wide_are_counted(spark):
+    """A set of many copies has many rows and few members: its leaves stay those of a small set."""
+    rows = [("a", f"{i % 40}") for i in range(300)] + [("b", f"{i}") for i in range(120)] + [("c", f"{i}") for i in range(20)] + [("c", None), (None, "7")]
+    sets = spark.createDataFrame(rows, "run_id string, event_id string")
+    got = {r.run_id: (r.ids, r.tree_sha256) for r in reconcile.tree_digest(sets, ["run_id"], wide=100).collect()}
+    ids = sets.where("event_id IS NOT NULL").distinct().withColumn("h", F.sha2("event_id", 256))
+    want = {r.run_id: (r.members, r.root) for r in reconcile.hash_tree(ids, ["run_id"], "h", "event_id", wide=100).collect()}
+    assert got == want and {k: v[0] for k, v in got.items()} == {"a": 40, "b": 120, "c": 20, None: 1}
+    eight = {r.run_id: r.root for r in reconcile.hash_tree(ids, ["run_id"], "h", "event_id", wide=0).collect()}
+    assert [got[s][1] == eight[s] for s in ("a", "b", "c")] == [False, True, False]
+
+
 def test_registered_cases_are_dealt_before_they_are_counted(spark, capsys):
     studies = spark.createDataFrame([(1, "smoke"), (2, "connections"), (3, "full"), (4, "smoke")], "run_id long, mode string")
     cases = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 1), (2, None), (4, None), (4, 1)], "study_id long, case_id long")

@@ -63,7 +63,7 @@ def fingerprint(df: DataFrame, by: Sequence[str], fields: Sequence[str], wide: i
     by = list(by)
     h = df.select(*by, F.sha2(canonical_bytes(F.struct(*fields)), 256).alias("h")).groupBy(*by, "h").agg(F.count(F.lit(1)).alias("c"))
     h = h.withColumn("entry", F.concat("h", F.lit(":"), F.col("c").cast("string")))
-    return hash_tree(h, by, "h", "entry", "c", F.to_json, wide).withColumnRenamed("root", "fingerprint")
+    return hash_tree(h, by, F.substring("entry", 1, 64), "entry", "c", F.to_json, wide).withColumnRenamed("root", "fingerprint")
 
 
 def small_fingerprint(df: DataFrame, by: Sequence[str], fields: Sequence[str]) -> DataFrame:

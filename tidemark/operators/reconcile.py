@@ -85,22 +85,26 @@ def flat_digest(ids: DataFrame, by: Sequence[str]) -> DataFrame:
 WIDE_SET = 1 << 26  # members of a set from which leaves are told by eight digits instead of four
 
 
-def hash_tree(rows: DataFrame, by: Sequence[str], hashed: str, text: str, copies: str | None = None, join: Callable[[Column], Column] | None = None, wide: int = WIDE_SET) -> DataFrame:
+def hash_tree(rows: DataFrame, by: Sequence[str], hashed: str | Column, text: str, copies: str | None = None, join: Callable[[Column], Column] | None = None, wide: int = WIDE_SET, counted: DataFrame | None = None) -> DataFrame:
     """(by, members, root): one digest for each set, from groups whose size is bounded whatever the set's.
 
-    Members fall into 65,536 leaves by the first four digits of ``hashed``, those of a set of over ``wide`` rows into 2^32 by eight. A leaf is the digest
-    of its sorted ``text``; eight-digit leaves are digested by their first four digits, and then the sorted list of what is left.
-    ``join`` makes a list one text. A set's digest depends on its members only.
+    Members fall into 65,536 leaves by the first four digits of ``hashed``, a column or better an expression over ``text``, those of a set of over ``wide``
+    rows into 2^32 by eight. A leaf is the digest of its sorted ``text``; eight-digit leaves are digested by their first four digits, and then the
+    sorted list of what is left. ``join`` makes a list one text. A set's digest depends on its members only. ``counted`` are rows that are cheaper
+    to count and at least as many in each set: members are then counted only where these are over ``wide``.
     """
     by, n = list(by), F.sum(F.col(copies)) if copies else F.count(F.lit(1))
     join = join or (lambda a: F.array_join(a, "\n"))
     digest = lambda c: F.sha2(join(F.array_sort(F.collect_list(c))), 256)
-    large = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > wide).drop("__rows").withColumn("__wide", F.lit(True))
-    told = join_nullsafe(rows, F.broadcast(large), by, "left")  # at most one set for each ``wide`` rows; a shuffle would move all members, by set
-    leaf = F.when(F.col("__wide"), F.substring(hashed, 1, 8)).otherwise(F.substring(hashed, 1, 4))
-    # members go to their node's task once; leaves and nodes are then digested where they lie, and only nodes move on
-    dealt = told.withColumns({"leaf": leaf, "node": F.substring(hashed, 1, 4)}).select(*by, "node", "leaf", text, *([copies] if copies else [])).repartition(*by, "node")
-    leaves = dealt.groupBy(*by, "node", "leaf").agg(n.alias("c"), digest(F.col(text)).alias("d"))
+    over = lambda df: df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > wide).select(*by)
+    may_be = rows if counted is None else join_nullsafe(rows, F.broadcast(over(counted)), by, "left_semi")
+    large = over(may_be).withColumn("__wide", F.lit(True))
+    # members go to their node's task once, without its name; leaves and nodes are then digested where they lie, and only nodes move on
+    node, carried = F.substring(hashed, 1, 4), dict.fromkeys([text, *([copies] if copies else []), *([hashed] if isinstance(hashed, str) else [])])
+    dealt = rows.select(*by, *carried).repartition(*by, node)
+    told = join_nullsafe(dealt, F.broadcast(large), by, "left")  # at most one set for each ``wide`` rows; a shuffle would move all members, by set
+    placed = told.withColumns({"node": node, "leaf": F.when(F.col("__wide"), F.substring(hashed, 1, 8)).otherwise(node)})
+    leaves = placed.groupBy(*by, "node", "leaf").agg(n.alias("c"), digest(F.col(text)).alias("d"))
     entry = F.concat("leaf", F.lit(":"), "d")
     nodes = leaves.groupBy(*by, "node").agg(
         F.sum("c").alias("c"), F.when(F.max(F.length("leaf")) > 4, digest(entry)).otherwise(F.max("d")).alias("d")
@@ -109,11 +113,11 @@ def hash_tree(rows: DataFrame, by: Sequence[str], hashed: str, text: str, copies
     return nodes.groupBy(*by).agg(F.sum("c").alias("members"), F.sha2(join(listed), 256).alias("root"))
 
 
-def tree_digest(sets: DataFrame, by: Sequence[str] = ("run_id", "set_name"), member: str = "event_id") -> DataFrame:
+def tree_digest(sets: DataFrame, by: Sequence[str] = ("run_id", "set_name"), member: str = "event_id", wide: int = WIDE_SET) -> DataFrame:
     """(by, ids, tree_sha256) of the distinct members of each set, in parallel."""
     by = list(by)
-    ids = sets.select(*by, F.col(member).cast("string").alias("m")).distinct().withColumn("h", F.sha2("m", 256))
-    return hash_tree(ids.where("m IS NOT NULL"), by, "h", "m").withColumnsRenamed({"members": "ids", "root": "tree_sha256"})
+    ids = sets.select(*by, F.col(member).cast("string").alias("m")).distinct().where("m IS NOT NULL")
+    return hash_tree(ids, by, F.sha2("m", 256), "m", wide=wide, counted=sets).withColumnsRenamed({"members": "ids", "root": "tree_sha256"})
 
 
 def set_digest(sets: DataFrame, by: Sequence[str] = ("run_id", "set_name"), member: str = "event_id") -> DataFrame:
