@@ -39,6 +39,23 @@ def test_only_sets_that_may_be_wide_are_counted(spark):
     assert [got[s][1] == eight[s] for s in ("a", "b", "c")] == [False, True, False]
 
 
+def test_window_audit_keeps_latencies(spark, capsys):
+    """Columns of a request come along with its place instead of by a join on its ID."""
+    requests = [(run, n, 10 * n, 10 * n + 5, 5 + n, 2, n % 3 != 0, False) for run in (1, 2) for n in range(12)]
+    acks = [(run, p, e + (run == 2 and p == 3)) for run in (1, 2) for p, e in enumerate(r[4] for r in requests if r[0] == run and r[6])]
+    sets = [(run, s, i) for run in (1, 2) for s, k in (("accepted", 16), ("attempted", 24)) for i in range(k)]
+    tables = {
+        "requests": spark.createDataFrame(requests, "run_id long, request_id long, started_ns long, finished_ns long, elapsed_ns long, events long, accepted boolean, ambiguous boolean"),
+        "acks": spark.createDataFrame(acks, "run_id long, position long, latency_ns long"),
+        "sets": spark.createDataFrame(sets, "run_id long, set_name string, event_id long"),
+        "runs": spark.createDataFrame([(run, 50, 6, 12, 10, 12) for run in (1, 2)],
+                                      "run_id long, window_ns long, accepted_in_window long, attempted_in_window long, accepted_after_window long, attempted_after_window long"),
+    }
+    got = audit.r6_window(tables)
+    assert not re.search(r"Join[^\n]*request_id", plan(got, capsys))
+    assert {r.run_id: r.detail for r in got.collect()} == {1: "", 2: "acks"}
+
+
 def test_registered_cases_are_dealt_before_they_are_counted(spark, capsys):
     studies = spark.createDataFrame([(1, "smoke"), (2, "connections"), (3, "full"), (4, "smoke")], "run_id long, mode string")
     cases = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 1), (2, None), (4, None), (4, 1)], "study_id long, case_id long")

@@ -149,10 +149,8 @@ def r6_window(t: Tables) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("started_ns") <= F.col("window_ns"), ev)), F.lit(0)).alias("starts"),
         F.coalesce(F.sum(F.when(F.col("accepted") & (F.col("finished_ns") <= F.col("window_ns")), ev)), F.lit(0)).alias("inside"),
     )
-    acked = running(t["requests"].where("accepted"), ["run_id"], "request_id", sums={"n": F.lit(1)}, unique=True)
-    mine = join_nullsafe(t["requests"].where("accepted"), acked, ["run_id", "request_id"], "inner").select(
-        "run_id", (F.col("n") - 1).alias("position"), "elapsed_ns"
-    )
+    acked = running(t["requests"].where("accepted"), ["run_id"], "request_id", sums={"n": F.lit(1)}, unique=True, keep=["elapsed_ns"])
+    mine = acked.select("run_id", (F.col("n") - 1).alias("position"), "elapsed_ns")
     same = t["acks"].join(mine, ["run_id", "position"], "full").groupBy("run_id").agg(
         F.bool_and(F.coalesce(F.col("latency_ns") == F.col("elapsed_ns"), F.lit(False))).alias("same")
     )
